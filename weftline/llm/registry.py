@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftline.llm import byte_bpe, packing, sharding, token_files
+from weftline.llm import byte_bpe, line_dedup, packing, quality, sharding, simhash, token_files
 from weftline.llm.common import table
 
 END_ID = 2
@@ -16,6 +16,21 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), END_ID)
 
 
+def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.near_duplicates(table(spark, sf_dir, "documents"), shingle=3)
+    return found.select("doc_id", simhash.hex16(F.col("fp")).alias("fingerprint"), "component_id")
+
+
+def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = line_dedup.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return rows.select("row.doc_id", "text", "n_lines", "removed")
+
+
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = quality.judge(table(spark, sf_dir, "documents").select("doc_id", "lang", "text"))
+    return rows.select("row.doc_id", *[f"measures.{c}" for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")], "base_failed", "kept", "measures.log_ppl")
+
+
 def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     files = token_files.write_token_files(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), END_ID)
     return token_files.read_token_files(files.read())
@@ -31,8 +46,14 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(table(spark, sf_dir, "documents"), 40)
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_packing, op7_token_files, op8_byte_bpe, op10_sharding)}
+    return {f.__name__: f for f in (op1_packing, op3_simhash, op5_line_dedup, op6_quality, op7_token_files, op8_byte_bpe, op10_sharding, pipeline)}
 
 
 def oracle_sql() -> dict:
