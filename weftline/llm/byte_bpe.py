@@ -1,9 +1,9 @@
 """Byte-level BPE by ranks: a segment tree over byte positions keeps the leftmost pair of least rank.
 
-A leaf is a byte position; its value is the rank of the pair that its token makes with the next live token. An
-inner node holds the least value below it, and a descent that goes left on ties finds the leftmost such
-position. A merge removes one live neighbour and changes at most three leaves, each a logarithmic update, so an
-n-byte match costs O(n log n).
+A leaf is a byte position; its value is the rank of the pair that its token makes with the next live token, then the
+position. An inner node holds the least value below it, so the root names the leftmost pair of least rank. A merge
+removes one live neighbour and changes at most three leaves, each a logarithmic update, so an n-byte match costs
+O(n log n).
 """
 
 from __future__ import annotations
@@ -17,9 +17,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from weftline.llm.common import small_batches, text_of
-from weftline.llm.pieces import SpacedEncoder
+from weftline.llm.pieces import CACHED_LENGTH, SpacedEncoder
 
 NO_PAIR = 1 << 62
+#: Matches whose ids a worker remembers.
+MATCHES = 1 << 18
 ENCODED = "doc_id long, ids array<int>, decoded binary"
 
 
@@ -29,45 +31,44 @@ def merge(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
     if n == 1 or piece in ranks:
         return [ranks[piece]]
     get = ranks.get
-    width = 1 << (n - 1).bit_length()
+    shift = n.bit_length()
+    width, position = 1 << (n - 2).bit_length(), (1 << shift) - 1
     tree = [NO_PAIR] * (2 * width)
     for i in range(n - 1):
-        tree[width + i] = get(piece[i : i + 2], NO_PAIR)
+        if (rank := get(piece[i : i + 2])) is not None:
+            tree[width + i] = rank << shift | i
     for i in range(width - 1, 0, -1):
         a, b = tree[2 * i], tree[2 * i + 1]
-        tree[i] = a if a <= b else b
+        tree[i] = a if a < b else b
 
-    def put(i: int, rank: int) -> None:
+    def put(i: int, rank: int | None) -> None:
+        value = NO_PAIR if rank is None else rank << shift | i
         i += width
-        tree[i] = rank
-        i >>= 1
-        while i:
-            a, b = tree[2 * i], tree[2 * i + 1]
-            least = a if a <= b else b
-            if tree[i] == least:
-                break
-            tree[i] = least
+        tree[i] = value
+        while i > 1:
+            other = tree[i ^ 1]
+            if other < value:
+                value = other
             i >>= 1
+            if tree[i] == value:
+                return
+            tree[i] = value
 
     end = list(range(1, n + 1))  # of the token that starts here: the next live position
     before = list(range(-1, n))
     while (least := tree[1]) != NO_PAIR:
-        i = 1
-        while i < width:
-            i *= 2
-            if tree[i] != least:
-                i += 1
-        i -= width
+        i = least & position
         gone = end[i]
         end[i] = stop = end[gone]
-        put(gone, NO_PAIR)
+        if gone < n - 1:
+            put(gone, None)
         if stop < n:
             before[stop] = i
-            put(i, get(piece[i : end[stop]], NO_PAIR))
+            put(i, get(piece[i : end[stop]]))
         else:
-            put(i, NO_PAIR)
+            put(i, None)
         if (j := before[i]) >= 0:
-            put(j, get(piece[j:stop], NO_PAIR))
+            put(j, get(piece[j:stop]))
     out, i = [], 0
     while i < n:
         out.append(ranks[piece[i : end[i]]])
@@ -87,12 +88,10 @@ def encoder(path: str, pattern: str) -> SpacedEncoder:
     import regex
 
     find, ranks = regex.compile(pattern).findall, ranks_of(path)
+    known = functools.lru_cache(MATCHES)(lambda match: array("I", merge(match.encode(), ranks)).tobytes())
 
     def encode(piece: str) -> bytes:
-        out = array("I")
-        for match in find(piece):
-            out.extend(merge(match.encode(), ranks))
-        return out.tobytes()
+        return b"".join([known(x) if len(x) <= CACHED_LENGTH else known.__wrapped__(x) for x in find(piece)])
 
     return SpacedEncoder(encode)
 

@@ -9,8 +9,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-#: Entries of a worker's cache before it starts anew, and the longest piece that is kept.
-CACHE_ENTRIES, CACHED_LENGTH = 400_000, 64
+#: Entries of a worker's cache before it becomes the older half and a new one starts; the longest piece that is kept.
+CACHE_ENTRIES, CACHED_LENGTH = 350_000, 64
+#: A run of letters ends before a sign, so a sign after a letter at a piece's end is encoded on its own.
+MARKS = tuple(".,!?;:")
 
 
 class Uneven(Exception):
@@ -23,13 +25,20 @@ class PieceCache(dict):
     def __init__(self, encode: Callable[[str], bytes], strict: bool):
         super().__init__()
         self.encode, self.strict = encode, strict
+        self.older: dict[str, bytes] = {}
+        self.marks = {mark: encode(mark) for mark in MARKS}
 
     def __missing__(self, piece: str) -> bytes:
         if self.strict and (not piece or piece[0].isspace() or piece[-1].isspace()):
             raise Uneven
-        found = self.encode(" " + piece if self.strict else piece)
+        if piece[-1:] in MARKS and piece[-2:-1].isalpha():
+            return self[piece[:-1]] + self.marks[piece[-1]]
+        found = self.older.get(piece)
+        if found is None:
+            found = self.encode(" " + piece if self.strict else piece)
         if len(piece) <= CACHED_LENGTH:
             if len(self) >= CACHE_ENTRIES:
+                self.older = dict(self)
                 self.clear()
             self[piece] = found
         return found
