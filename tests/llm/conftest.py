@@ -10,7 +10,7 @@ def odd_texts():
 
     rnd = random.Random(5)
     long = " ".join(rnd.choice(WORDS) + rnd.choice(["", "", ".", ",", "!"]) for _ in range(9000))
-    return [None, "", " ", "   ", "\n", "a", " a", "a ", "a  b", "a \n b", "\ta b c \x1cd", "it's  they'LL 'S don't", "x" * 3000, "  lead and trail  ", long, long, "line one.\nline two!\n\n line three?", "İstanbul ΣΑΣ ǅ ﬁ é ́x", "<|endoftext|> ordinary <|startoftext|>", "a\x00b", "1234567 8 9", "..." * 50]
+    return [None, "", " ", "   ", "\n", "a", " a", "a ", "a  b", "a \n b", "\ta b c \x1cd", "it's  they'LL 'S don't", "x" * 3000, "  lead and trail  ", long, long, "line one.\nline two!\n\n line three?", "İstanbul ΣΑΣ ǅ ﬁ é ́x", "<|endoftext|> ordinary <|startoftext|>", "a\x00b", "1234567 8 9", "..." * 50, "\n".join(["word"] * 5000) + " end", "a\n\nb.\nC&&&\nÉ,\n d"]
 
 
 @pytest.fixture(scope="session")

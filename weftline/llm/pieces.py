@@ -11,8 +11,8 @@ from collections.abc import Callable
 
 #: Entries of a worker's cache before it becomes the older half and a new one starts; the longest piece that is kept.
 CACHE_ENTRIES, CACHED_LENGTH = 350_000, 64
-#: A run of letters ends before a sign, so a sign after a letter at a piece's end is encoded on its own.
-MARKS = tuple(".,!?;:")
+#: A run of letters ends before such signs, so those after a letter at a piece's end are encoded on their own.
+MARKS = ".,!?;:&*#%$|"
 
 
 class Uneven(Exception):
@@ -20,22 +20,35 @@ class Uneven(Exception):
 
 
 class PieceCache(dict):
-    """piece -> bytes of its ids; a missing piece is encoded."""
+    """piece -> bytes of its ids; a missing piece is encoded, after ``lead``. strict: white space at a piece's ends is Uneven."""
 
-    def __init__(self, encode: Callable[[str], bytes], strict: bool):
+    def __init__(self, encode: Callable[[str], bytes], lead: str, strict: bool):
         super().__init__()
-        self.encode, self.strict = encode, strict
+        self.encode, self.lead, self.strict = encode, lead, strict
         self.older: dict[str, bytes] = {}
-        self.marks = {mark: encode(mark) for mark in MARKS}
+        self.after_break: PieceCache | None = None
+        self.line_break = encode("\n")
+        self.marks: dict[str, bytes] = {}
 
     def __missing__(self, piece: str) -> bytes:
+        stem = piece.rstrip(MARKS)
+        if stem != piece and stem[-1:].isalpha():
+            marks = piece[len(stem) :]
+            if marks not in self.marks:
+                if len(self.marks) > 1000:
+                    self.marks.clear()
+                self.marks[marks] = self.encode(marks)
+            return self[stem] + self.marks[marks]
         if self.strict and (not piece or piece[0].isspace() or piece[-1].isspace()):
             raise Uneven
-        if piece[-1:] in MARKS and piece[-2:-1].isalpha():
-            return self[piece[:-1]] + self.marks[piece[-1]]
+        if "\n" in piece:  # between two characters that aren't white space it is a token border
+            lines = piece.split("\n")
+            if all(x and not x[0].isspace() and not x[-1].isspace() for x in lines):
+                after = self if self.after_break is None else self.after_break
+                return self[lines[0]] + b"".join([self.line_break + after[x] for x in lines[1:]])
         found = self.older.get(piece)
         if found is None:
-            found = self.encode(" " + piece if self.strict else piece)
+            found = self.encode(self.lead + piece)
         if len(piece) <= CACHED_LENGTH:
             if len(self) >= CACHE_ENTRIES:
                 self.older = dict(self)
@@ -48,7 +61,8 @@ class SpacedEncoder:
     """For patterns in which a word takes the space before it: pieces are ' word'."""
 
     def __init__(self, encode: Callable[[str], bytes]):
-        self.encode, self.cache = encode, PieceCache(encode, strict=True)
+        self.encode, self.cache = encode, PieceCache(encode, " ", strict=True)
+        self.cache.after_break = PieceCache(encode, "", strict=True)
 
     def __call__(self, text: str) -> bytes:
         if not text:
@@ -85,7 +99,7 @@ class WordEncoder:
     """For patterns that drop white space: every piece stands alone."""
 
     def __init__(self, encode: Callable[[str], bytes]):
-        self.cache = PieceCache(encode, strict=False)
+        self.cache = PieceCache(encode, "", strict=False)
 
     def __call__(self, text: str) -> bytes:
         return b"".join(map(self.cache.__getitem__, text.split(" ")))

@@ -17,21 +17,55 @@ def tokenizer(path: str):
     return found
 
 
-def _ids(path: str):
-    encode = tokenizer(path).encode
-    return lambda piece: array("I", encode(piece, add_special_tokens=False).ids).tobytes()
+#: Words on which the short way below must agree with the tokenizer before it is used.
+TRIED = ("the", "The", "THE", "internationalisation", "qzxv", "a", "Zz", "wordwordwordword", "ñandú", "ÉTÉ", "größe", "façon", "ßµªº")
+
+
+def _byte_characters() -> list[str]:
+    """The character that stands for each byte in byte-level vocabularies: itself where it is printable, else the next from 256 on."""
+    out, spare = [], 256
+    for byte in range(256):
+        printable = 33 <= byte <= 126 or 161 <= byte <= 172 or byte >= 174
+        out.append(chr(byte if printable else spare))
+        spare += not printable
+    return out
+
+
+BYTE_CHARACTERS = str.maketrans(dict(enumerate(_byte_characters())))
+
+
+def byte_level(text: str) -> str:
+    return text.encode().decode("latin-1").translate(BYTE_CHARACTERS)
+
+
+def _ids(path: str, shape):
+    """piece -> bytes of its ids. A run of Latin-1 letters is one pre-token, which goes to the tokenizer's model directly;
+    ``shape`` gives it the form that the normaliser and pre-tokenizer would."""
+    encode, model = tokenizer(path).encode, tokenizer(path).model
+
+    def whole(piece: str) -> bytes:
+        return array("I", encode(piece, add_special_tokens=False).ids).tobytes()
+
+    def short(piece: str) -> bytes:
+        word = piece[1:] if piece[:1] == " " else piece
+        if word.isalpha() and (word.isascii() or max(word) <= "ÿ"):
+            return array("I", [token.id for token in model.tokenize(shape(piece))]).tobytes()
+        return whole(piece)
+
+    agree = all(short(x) == whole(x) for word in TRIED for x in (word, " " + word))
+    return short if agree else whole
 
 
 @functools.cache
 def spaced_encoder(path: str) -> SpacedEncoder:
     """text -> little-endian unsigned 32-bit ids, for byte-level files whose pattern keeps spaces."""
-    return SpacedEncoder(_ids(path))
+    return SpacedEncoder(_ids(path, byte_level))
 
 
 @functools.cache
 def word_encoder(path: str) -> WordEncoder:
     """text -> little-endian unsigned 32-bit ids, for files whose pattern drops white space."""
-    return WordEncoder(_ids(path))
+    return WordEncoder(_ids(path, lambda piece: byte_level(piece.strip().lower())))
 
 
 @functools.cache
