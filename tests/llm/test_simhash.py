@@ -5,6 +5,7 @@ import numpy as np
 import xxhash
 from pyspark.sql import functions as F
 
+from help_components import brute_components
 from weftline.llm import golay, simhash
 from weftline.llm.components import connected_components
 
@@ -18,20 +19,6 @@ def brute_fingerprint(text):
     return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
 
 
-def brute_components(pairs, nodes):
-    at = {x: x for x in nodes}
-
-    def root(x):
-        while at[x] != x:
-            x = at[x]
-        return x
-
-    for a, b in pairs:
-        ra, rb = sorted((root(a), root(b)))
-        at[rb] = ra
-    return {x: root(x) for x in nodes}
-
-
 def test_golay_keys_of_neighbours_meet():
     rnd = np.random.default_rng(3)
     words = rnd.integers(0, 1 << 23, 3000)
