@@ -18,9 +18,15 @@ def query(name: str, sql: str | None = None):
     return keep
 
 
+def _load() -> None:
+    from weftline.plans import trend  # noqa: F401
+
+
 def queries() -> dict:
+    _load()
     return dict(REGISTERED)
 
 
 def oracle_sql() -> dict:
+    _load()
     return dict(ORACLES)
