@@ -175,7 +175,8 @@ def template(pages: DataFrame, min_pages: int = MIN_PAGES, min_share: float = MI
     counts = saved(rows.distinct().groupBy("host", "subtree").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_pages), "subtrees")
     totals = counts.where("subtree = 0").select("host", F.col("n").alias("pages"))
     often = counts.where("subtree <> 0").join(totals, "host").where(F.col("n") >= min_share * F.col("pages"))
-    return often.groupBy("host").agg(F.collect_list("subtree").alias("subtrees"))
+    # written, so that the join with pages by host is one whose crowded hosts Spark can split
+    return saved(often.groupBy("host").agg(F.collect_list("subtree").alias("subtrees")), "template")
 
 
 def main_texts(pages: DataFrame, min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE) -> DataFrame:
