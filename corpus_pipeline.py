@@ -16,6 +16,8 @@ from weftline.llm.common import shared_dir, table
 
 #: Near duplicates in the pipeline are compared by shingles of so many words.
 SHINGLE = 5
+#: ... and link from this Jaccard similarity on, besides fingerprints at two bits.
+SIMILARITY = 0.8
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -32,7 +34,7 @@ def line_deduplication(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 def near_deduplication(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates stays: the one with the least doc_id."""
-    found = simhash.near_duplicates(docs, shingle=SHINGLE)
+    found = simhash.near_duplicates(docs, shingle=SHINGLE, similarity=SIMILARITY)
     later = found.where("component_id IS NOT NULL AND doc_id <> component_id").select("doc_id").distinct()
     return docs.join(later, "doc_id", "left_anti").select(*docs.columns)
 

@@ -83,3 +83,49 @@ def test_near_duplicates(spark, odd_documents, no_documents):
         if r.doc_id is not None:
             assert r.component_id == want[r.doc_id]
     assert simhash.near_duplicates(no_documents).count() == 0
+
+
+def near_copies(rnd, words, base, n):
+    """Texts of 120 words, each with up to two words changed."""
+    for _ in range(n):
+        text = list(base)
+        for _ in range(rnd.randrange(3)):
+            text[rnd.randrange(len(text))] = rnd.choice(words)
+        yield text
+
+
+def test_similar_texts_link(spark):
+    """No link of Jaccard 0.8 is lost and none is made up, also in groups larger than FULL with a passage in common."""
+    rnd = random.Random(5)
+    words = [f"w{i}" for i in range(4000)]
+    common = rnd.choices(words, k=30)
+    texts = [rnd.choices(words, k=120) for _ in range(40)] + [common + rnd.choices(words, k=90) for _ in range(60)]
+    for base, n in ((texts[0], 90), (texts[50], 60), (texts[70], 5), (texts[71], 1)):
+        texts += near_copies(rnd, words, base, n)
+    texts += [["a"], ["b"], [], [], texts[3], texts[3][:100]]
+    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in simhash.near_duplicates(docs, 5, 0.8).collect()}
+    sets = [set(zip(*(t[k:] for k in range(5)), strict=False)) or {tuple(t)} for t in texts]
+    fps = [simhash.fingerprint(" ".join(t), 5) for t in texts]
+    near = [(a, b) for a, b in combinations(range(len(texts)), 2) if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]) or (fps[a] ^ fps[b]).bit_count() <= 2]
+    assert len(near) > 1000
+    assert got == brute_components(near, range(len(texts)))
+
+
+def test_similarity_of_odd_documents(spark, odd_documents, no_documents):
+    assert simhash.near_duplicates(odd_documents, 5, 0.8).count() == odd_documents.count()
+    assert simhash.near_duplicates(no_documents, 5, 0.8).count() == 0
+
+
+def test_similar_table_rows(spark):
+    """On the given documents: all pairs at 0.8 that an inverted index finds lie in one component."""
+    rows = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    got = {r.doc_id: r.component_id for r in simhash.near_duplicates(rows, 5, 0.8).collect()}
+    sets = {r.doc_id: set(simhash.shingle_hashes(r.text or "", 5).tolist()) for r in rows.collect()}
+    holders = {}
+    for d, s in sets.items():
+        for h in sorted(s)[: len(s) // 5 + 1]:
+            holders.setdefault(h, []).append(d)
+    near = {(a, b) for ds in holders.values() for a, b in combinations(ds, 2)}
+    near = {(a, b) for a, b in near if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])}
+    assert near and all(got[a] == got[b] for a, b in near)
