@@ -20,14 +20,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from weftline.llm import golay
 from weftline.llm.common import Saved, small_batches, text_of
 from weftline.llm.components import connected_components
 
-SEED, MAX_DISTANCE, FULL = 42, 2, 16
+SEED, MAX_DISTANCE, FULL, HUBS = 42, 2, 16, 4
 #: (first bit, bits) of each segment.
 SEGMENTS = ((0, 22), (22, 21), (43, 21))
 _LANES = np.uint64(0x0101010101010101)
@@ -71,29 +71,56 @@ def fingerprints(documents: DataFrame, shingle: int = 3) -> DataFrame:
     return documents.select(F.col("doc_id").cast("long"), text_of().alias("text")).mapInArrow(run, "doc_id long, fp long")
 
 
-def shingle_sets(documents: DataFrame, shingle: int, similarity: float) -> DataFrame:
-    """doc_id, fp, head (the least hashes of the distinct shingles, so many that two sets of at least the similarity share one of
-    them) and shingles (all, as their low 32 bits) of every row."""
-    small_batches(documents.sparkSession)
+def _distinct(text: str, shingle: int) -> tuple[np.ndarray, np.ndarray, int]:
+    """The shingle hashes, the distinct ones in ascending (unsigned) order, and a hash of these as the set's id."""
+    from xxhash import xxh64_intdigest
+
+    hashes = shingle_hashes(text, shingle)
+    distinct = np.unique(hashes)
+    return hashes, distinct.view(np.int64), xxh64_intdigest(distinct.tobytes(), SEED)
+
+
+def _lists(parts: list[np.ndarray], kind: type) -> pa.Array:
+    offsets = np.concatenate(([0], np.cumsum([len(x) for x in parts]))).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([*parts, np.zeros(0, kind)]).astype(kind)))
 
-    def lists(parts: list[np.ndarray], kind: type) -> pa.Array:
-        offsets = np.concatenate(([0], np.cumsum([len(x) for x in parts]))).astype(np.int32)
-        return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([*parts, np.zeros(0, kind)]).astype(kind)))
+
+def _longs(values: list[int]) -> pa.Array:
+    return pa.array(np.array(values, np.uint64).view(np.int64))
+
+
+def shingle_heads(documents: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """doc_id, fp, id (of the set of shingles), n (their number) and head of every row: the least hashes of the set, so many that
+    two sets of at least the similarity share one of them."""
+    small_batches(documents.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fps, heads, sets = [], [], []
+            fps, ids, sizes, heads = [], [], [], []
             for text in batch.column(1).to_pylist():
-                hashes = shingle_hashes(text, shingle)
+                hashes, distinct, set_id = _distinct(text, shingle)
                 fps.append(fingerprint_of(hashes))
-                distinct = np.unique(hashes).view(np.int64)
+                ids.append(set_id)
+                sizes.append(len(distinct))
                 heads.append(distinct[: len(distinct) - math.ceil(similarity * len(distinct) - 1e-9) + 1])
-                sets.append(np.unique(distinct.astype(np.int32)))
-            columns = [batch.column(0), pa.array(np.array(fps, np.uint64).view(np.int64)), lists(heads, np.int64), lists(sets, np.int32)]
-            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "fp", "head", "shingles"])
+            columns = [batch.column(0), _longs(fps), _longs(ids), pa.array(sizes, pa.int32()), _lists(heads, np.int64)]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "fp", "id", "n", "head"])
 
     rows = documents.select(F.col("doc_id").cast("long"), text_of().alias("text"))
-    return rows.mapInArrow(run, "doc_id long, fp long, head array<long>, shingles array<int>")
+    return rows.mapInArrow(run, "doc_id long, fp long, id long, n int, head array<long>")
+
+
+def shingle_sets(documents: DataFrame, shingle: int) -> DataFrame:
+    """id and shingles (the distinct hashes' low 32 bits) of every row."""
+    small_batches(documents.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [_distinct(text, shingle)[1:] for text in batch.column(0).to_pylist()]
+            columns = [_longs([set_id for _, set_id in sets]), _lists([np.unique(x.astype(np.int32)) for x, _ in sets], np.int32)]
+            yield pa.RecordBatch.from_arrays(columns, names=["id", "shingles"])
+
+    return documents.select(text_of().alias("text")).mapInArrow(run, "id long, shingles array<int>")
 
 
 def _golay_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -120,37 +147,46 @@ def links(fps: DataFrame) -> DataFrame:
     return pairs.union(at.join(least, "point").where("fp <> least").select("fp", "least"))
 
 
-def similar_links(sets: DataFrame, similarity: float) -> DataFrame:
-    """Edges (u, v) between the fingerprints of shingle sets of at least the similarity (Jaccard).
+def similar_links(documents: DataFrame, heads: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """Edges (u, v) between the fingerprints of shingle sets of at least the similarity (Jaccard); heads: shingle_heads of the documents.
+
+    The sets themselves are taken from the texts again, for candidates alone, as to store them all costs more than the texts.
 
     Sets that share a head hash are compared, all with all where at most ``FULL`` share it. A hash that more sets share is refined by
-    its successor in the head; there each set is compared with two sets of its own size class and two of the one below: the hub, whose
-    head is shared most (what others were copied from), and one by chance, another for each hash. So the work stays linear in the group.
+    its successor among the shared ones of the head; there each set is compared with ``HUBS`` sets of its own size class and as many of the one
+    below: those whose head is shared most (what others were copied from), ties drawn anew for each hash. So the work stays linear in the group.
     Sets that are alike share most of their head, so they meet in many such groups; still, in groups above ``FULL`` a link is certain
     only through hubs.
     """
-    one = sets.where(F.size("shingles") > 0).groupBy("fp", F.xxhash64("shingles").alias("id"))
-    nodes = Saved(one.agg(F.first("head").alias("head"), F.first("shingles").alias("shingles")), "sets").read().withColumn("n", F.size("shingles"))
-    keyed = nodes.select("id", "n", F.explode(F.arrays_zip(F.col("head").alias("key"), F.expr("slice(head, 2, size(head))").alias("next"))).alias("at")).select("id", "n", "at.*")
-    shared = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("sharers")).where("sharers > 1")
-    met = Saved(keyed.join(shared, "key"), "heads").read()
-    few = met.where(F.col("sharers") <= FULL)
+    keyed = heads.select("id", F.explode("head").alias("key"))
+    repeated = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("rows")).where("rows > 1")
+    met = Saved(keyed.join(repeated, "key", "left_semi").distinct(), "heads").read()  # exact copies are one from here on
+    sharers = met.groupBy("key").agg(F.count(F.lit(1)).alias("sharers")).where("sharers > 1")
+    nodes = heads.groupBy("id").agg(F.max("n").alias("n"), F.min("fp").alias("fp"))
+    mine = Window.partitionBy("id")
+    known = met.join(sharers, "key").join(nodes.select("id", "n"), "id")
+    known = Saved(known.select("*", F.lead("key").over(mine.orderBy("key")).alias("next"), F.sum("sharers").over(mine).alias("weight")), "shared-heads").read()
+    few = known.where(F.col("sharers") <= FULL)
     a, b = few.select("key", F.col("id").alias("u"), F.col("n").alias("nu")), few.select("key", F.col("id").alias("v"), F.col("n").alias("nv"))
-    sized = F.least("nu", "nv") >= F.greatest("nu", "nv") * similarity - 1
+    sized = F.least("nu", "nv") >= F.greatest("nu", "nv") * similarity - 1e-9
     pairs = a.join(b, (a.key == b.key) & (F.col("u") < F.col("v")) & sized).select("u", "v")
     size_class = F.floor(F.log("n") / -math.log(similarity))
-    weights = met.groupBy("id").agg(F.sum("sharers").alias("weight"))
-    many = met.where(F.col("sharers") > FULL).select("key", F.coalesce("next", F.lit(0)).alias("next"), "id", size_class.alias("class"))
-    hub, chance = F.max(F.struct("weight", "id"))["id"], F.min(F.struct(F.xxhash64("key", "id"), "id"))["id"]
-    chosen = many.join(weights, "id").groupBy("key", "next", "class").agg(F.array_distinct(F.array(hub, chance)).alias("v"))
+    many = known.where(F.col("sharers") > FULL).select("key", F.coalesce("next", F.lit(0)).alias("next"), "id", "weight", size_class.alias("class"))
+    hub = F.max(F.struct("weight", F.xxhash64("key", "id").alias("draw"), "id"))["id"]
+    hubs = many.groupBy("key", "next", "class", F.pmod(F.xxhash64("id"), F.lit(HUBS)).alias("salt")).agg(hub.alias("hub"))
+    chosen = hubs.groupBy("key", "next", "class").agg(F.collect_list("hub").alias("v"))
     visits = many.select("key", "next", F.col("id").alias("u"), F.explode(F.array(F.col("class"), F.col("class") - 1)).alias("class"))
-    pairs = pairs.union(visits.join(chosen, ["key", "next", "class"]).select("u", F.explode("v").alias("v")).where("u <> v").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")))
-    both = pairs.distinct()
+    visits = visits.join(chosen, ["key", "next", "class"]).select("u", F.explode("v").alias("v")).where("u <> v")
+    both = Saved(pairs.union(visits.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"))).distinct(), "candidates").read()
+    needed = both.select(F.col("u").alias("id")).union(both.select("v")).distinct()
+    sets = Saved(shingle_sets(documents, shingle).join(needed, "id", "left_semi").dropDuplicates(["id"]), "sets").read()
+    sets = sets.join(nodes.select("id", "fp"), "id")
     for side in ("u", "v"):
-        both = both.join(nodes.select(F.col("id").alias(side), F.col("fp").alias(f"fp_{side}"), F.col("shingles").alias(f"set_{side}")), side)
+        both = both.join(sets.select(F.col("id").alias(side), F.col("fp").alias(f"fp_{side}"), F.col("shingles").alias(f"set_{side}")), side)
     common = F.size(F.array_intersect("set_u", "set_v"))
     alike = common >= similarity * (F.size("set_u") + F.size("set_v") - common) - 1e-9
-    return both.where(alike).select(F.col("fp_u").alias("u"), F.col("fp_v").alias("v"))
+    same = heads.select("id", F.col("fp").alias("u")).distinct().join(nodes.select("id", F.col("fp").alias("v")), "id").where("u <> v")
+    return both.where(alike).select(F.col("fp_u").alias("u"), F.col("fp_v").alias("v")).union(same.select("u", "v"))
 
 
 def near_duplicates(documents: DataFrame, shingle: int = 3, similarity: float | None = None) -> DataFrame:
@@ -161,10 +197,10 @@ def near_duplicates(documents: DataFrame, shingle: int = 3, similarity: float |
     any other; rows with a null doc_id link too but are nobody's least; where all ids of a component are null it is null. Repeated
     rows stay; an empty table gives no rows; other columns are ignored.
     """
-    docs = Saved(fingerprints(documents, shingle) if similarity is None else shingle_sets(documents, shingle, similarity), "fingerprints").read()
+    docs = Saved(fingerprints(documents, shingle) if similarity is None else shingle_heads(documents, shingle, similarity), "fingerprints").read()
     fps = docs.groupBy("fp").agg(F.min("doc_id").alias("least_doc"))
     nodes = Saved(fps, "fps").read()
-    edges = links(nodes) if similarity is None else links(nodes).union(similar_links(docs, similarity))
+    edges = links(nodes) if similarity is None else links(nodes).union(similar_links(documents, docs, shingle, similarity))
     found = connected_components(edges).withColumnRenamed("node", "fp")
     rooted = nodes.join(found, "fp", "left").withColumn("root", F.coalesce("component", "fp"))
     roots = rooted.groupBy("root").agg(F.min("least_doc").alias("component_id"))
