@@ -28,6 +28,8 @@ from weftline.llm.common import Saved, small_batches, text_of
 from weftline.llm.components import connected_components
 
 SEED, MAX_DISTANCE, FULL, HUBS = 42, 2, 16, 4
+#: Sets at a similarity of 0.8 differ in 10 of 64 bits of their fingerprints, with a deviation of 3; others in 32, with one of 4.
+FAR = 26
 #: (first bit, bits) of each segment.
 SEGMENTS = ((0, 22), (22, 21), (43, 21))
 _LANES = np.uint64(0x0101010101010101)
@@ -90,24 +92,25 @@ def _longs(values: list[int]) -> pa.Array:
 
 
 def shingle_heads(documents: DataFrame, shingle: int, similarity: float) -> DataFrame:
-    """doc_id, fp, id (of the set of shingles), n (their number) and head of every row: the least hashes of the set, so many that
+    """doc_id, fp, id (of the set of shingles), mark (their fingerprint, without repeats), n (their number) and head of every row: the least hashes of the set, so many that
     two sets of at least the similarity share one of them."""
     small_batches(documents.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fps, ids, sizes, heads = [], [], [], []
+            fps, ids, marks, sizes, heads = [], [], [], [], []
             for text in batch.column(1).to_pylist():
                 hashes, distinct, set_id = _distinct(text, shingle)
                 fps.append(fingerprint_of(hashes))
                 ids.append(set_id)
+                marks.append(fps[-1] if len(distinct) == len(hashes) else fingerprint_of(distinct.view(np.uint64)))
                 sizes.append(len(distinct))
                 heads.append(distinct[: len(distinct) - math.ceil(similarity * len(distinct) - 1e-9) + 1])
-            columns = [batch.column(0), _longs(fps), _longs(ids), pa.array(sizes, pa.int32()), _lists(heads, np.int64)]
-            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "fp", "id", "n", "head"])
+            columns = [batch.column(0), _longs(fps), _longs(ids), _longs(marks), pa.array(sizes, pa.int32()), _lists(heads, np.int64)]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "fp", "id", "mark", "n", "head"])
 
     rows = documents.select(F.col("doc_id").cast("long"), text_of().alias("text"))
-    return rows.mapInArrow(run, "doc_id long, fp long, id long, n int, head array<long>")
+    return rows.mapInArrow(run, "doc_id long, fp long, id long, mark long, n int, head array<long>")
 
 
 def shingle_sets(documents: DataFrame, shingle: int) -> DataFrame:
@@ -150,6 +153,7 @@ def links(fps: DataFrame) -> DataFrame:
 def similar_links(documents: DataFrame, heads: DataFrame, shingle: int, similarity: float) -> DataFrame:
     """Edges (u, v) between the fingerprints of shingle sets of at least the similarity (Jaccard); heads: shingle_heads of the documents.
 
+    Candidates whose sets' fingerprints differ in over ``FAR`` bits go (at 0.8 that is five deviations off); the rest is verified.
     The sets themselves are taken from the texts again, for candidates alone, as to store them all costs more than the texts.
 
     Sets that share a head hash are compared, all with all where at most ``FULL`` share it. A hash that more sets share is refined by
@@ -162,7 +166,7 @@ def similar_links(documents: DataFrame, heads: DataFrame, shingle: int, similari
     repeated = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("rows")).where("rows > 1")
     met = Saved(keyed.join(repeated, "key", "left_semi").distinct(), "heads").read()  # exact copies are one from here on
     sharers = met.groupBy("key").agg(F.count(F.lit(1)).alias("sharers")).where("sharers > 1")
-    nodes = heads.groupBy("id").agg(F.max("n").alias("n"), F.min("fp").alias("fp"))
+    nodes = heads.groupBy("id").agg(F.max("n").alias("n"), F.min("fp").alias("fp"), F.max("mark").alias("mark"))
     mine = Window.partitionBy("id")
     known = met.join(sharers, "key").join(nodes.select("id", "n"), "id")
     known = Saved(known.select("*", F.lead("key").over(mine.orderBy("key")).alias("next"), F.sum("sharers").over(mine).alias("weight")), "shared-heads").read()
@@ -178,6 +182,9 @@ def similar_links(documents: DataFrame, heads: DataFrame, shingle: int, similari
     visits = many.select("key", "next", F.col("id").alias("u"), F.explode(F.array(F.col("class"), F.col("class") - 1)).alias("class"))
     visits = visits.join(chosen, ["key", "next", "class"]).select("u", F.explode("v").alias("v")).where("u <> v")
     both = Saved(pairs.union(visits.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"))).distinct(), "candidates").read()
+    for side in ("u", "v"):
+        both = both.join(nodes.select(F.col("id").alias(side), F.col("mark").alias(f"mark_{side}")), side)
+    both = Saved(both.where(F.bit_count(F.col("mark_u").bitwiseXOR(F.col("mark_v"))) <= FAR).select("u", "v"), "candidates").read()
     needed = both.select(F.col("u").alias("id")).union(both.select("v")).distinct()
     sets = Saved(shingle_sets(documents, shingle).join(needed, "id", "left_semi").dropDuplicates(["id"]), "sets").read()
     sets = sets.join(nodes.select("id", "fp"), "id")
