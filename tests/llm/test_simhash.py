@@ -112,6 +112,23 @@ def test_similar_texts_link(spark):
     assert got == brute_components(near, range(len(texts)))
 
 
+def test_links_where_every_shingle_is_crowded(spark):
+    """Pairs at 0.8 are found though over FULL other sets, which are far from both, share each of their hashes."""
+    rnd = random.Random(7)
+    words = [f"w{i}" for i in range(30)]
+    texts = []
+    for _ in range(100):
+        text = rnd.sample(words, 20)
+        texts += [text, [*text[:18], *rnd.sample(sorted(set(words) - set(text)), 2)]]
+    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in simhash.near_duplicates(docs, 1, 0.8).collect()}
+    sets = [set(t) for t in texts]
+    fps = [simhash.fingerprint(" ".join(t), 1) for t in texts]
+    near = [(a, b) for a, b in combinations(range(len(texts)), 2) if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]) or (fps[a] ^ fps[b]).bit_count() <= 2]
+    assert 100 <= len(near) < 400
+    assert got == brute_components(near, range(len(texts)))
+
+
 def test_similarity_of_odd_documents(spark, odd_documents, no_documents):
     assert simhash.near_duplicates(odd_documents, 5, 0.8).count() == odd_documents.count()
     assert simhash.near_duplicates(no_documents, 5, 0.8).count() == 0

@@ -27,9 +27,9 @@ from weftline.llm import golay
 from weftline.llm.common import Saved, small_batches, text_of
 from weftline.llm.components import connected_components
 
-SEED, MAX_DISTANCE, FULL, HUBS = 42, 2, 16, 4
-#: Sets at a similarity of 0.8 differ in 10 of 64 bits of their fingerprints, with a deviation of 3; others in 32, with one of 4.
-FAR = 26
+SEED, MAX_DISTANCE, FULL, HUBS, TURNS = 42, 2, 16, 4, 2
+#: Values that shingles are counted by, and how many of them one row holds.
+BUCKETS, CHUNK = 1 << 22, 1 << 12
 #: (first bit, bits) of each segment.
 SEGMENTS = ((0, 22), (22, 21), (43, 21))
 _LANES = np.uint64(0x0101010101010101)
@@ -91,26 +91,56 @@ def _longs(values: list[int]) -> pa.Array:
     return pa.array(np.array(values, np.uint64).view(np.int64))
 
 
+def shingle_levels(documents: DataFrame, shingle: int) -> np.ndarray:
+    """How common shingles are: a level for each of BUCKETS values of their hashes' low bits, from the number of texts that
+    hold one of them. Any order of shingles finds all pairs; by rising level the heads hold what few texts share."""
+    small_batches(documents.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(BUCKETS, np.int32)
+        for batch in batches:
+            for text in batch.column(0).to_pylist():
+                np.add.at(total, _distinct(text, shingle)[1] & (BUCKETS - 1), 1)
+        rows = np.minimum(total, 255).astype(np.uint8).reshape(-1, CHUNK)
+        some = np.flatnonzero(rows.any(axis=1))
+        yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array([rows[k].tobytes() for k in some], pa.binary())], names=["chunk", "counts"])
+
+    def add(group: pa.Table) -> pa.Table:
+        total = np.zeros(CHUNK, np.int64)
+        for counts in group.column("counts").to_pylist():
+            total += np.frombuffer(counts, np.uint8)
+        levels = (2 * np.log2(np.maximum(total, 1))).astype(np.uint8).tobytes()
+        return pa.table({"chunk": group.column("chunk")[:1], "counts": pa.array([levels], pa.binary())})
+
+    counted = documents.select(text_of().alias("text")).mapInArrow(run, "chunk int, counts binary")
+    out = np.zeros((BUCKETS // CHUNK, CHUNK), np.uint8)
+    for row in counted.groupBy("chunk").applyInArrow(add, "chunk int, counts binary").collect():  # BUCKETS bytes in all
+        out[row.chunk] = np.frombuffer(row.counts, np.uint8)
+    return out.reshape(-1)
+
+
 def shingle_heads(documents: DataFrame, shingle: int, similarity: float) -> DataFrame:
-    """doc_id, fp, id (of the set of shingles), mark (their fingerprint, without repeats), n (their number) and head of every row: the least hashes of the set, so many that
+    """doc_id, fp, id (of the set of shingles), n (its size) and head of every row: the rarest hashes of the set, so many that
     two sets of at least the similarity share one of them."""
     small_batches(documents.sparkSession)
+    shared = documents.sparkSession.sparkContext.broadcast(shingle_levels(documents, shingle))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        levels = shared.value
         for batch in batches:
-            fps, ids, marks, sizes, heads = [], [], [], [], []
+            fps, ids, sizes, heads = [], [], [], []
             for text in batch.column(1).to_pylist():
                 hashes, distinct, set_id = _distinct(text, shingle)
                 fps.append(fingerprint_of(hashes))
                 ids.append(set_id)
-                marks.append(fps[-1] if len(distinct) == len(hashes) else fingerprint_of(distinct.view(np.uint64)))
                 sizes.append(len(distinct))
-                heads.append(distinct[: len(distinct) - math.ceil(similarity * len(distinct) - 1e-9) + 1])
-            columns = [batch.column(0), _longs(fps), _longs(ids), _longs(marks), pa.array(sizes, pa.int32()), _lists(heads, np.int64)]
-            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "fp", "id", "mark", "n", "head"])
+                order = np.argsort(levels[distinct & (BUCKETS - 1)], kind="stable")  # equals stay by hash
+                heads.append(distinct[order[: len(distinct) - math.ceil(similarity * len(distinct) - 1e-9) + 1]])
+            columns = [batch.column(0), _longs(fps), _longs(ids), pa.array(sizes, pa.int32()), _lists(heads, np.int64)]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "fp", "id", "n", "head"])
 
     rows = documents.select(F.col("doc_id").cast("long"), text_of().alias("text"))
-    return rows.mapInArrow(run, "doc_id long, fp long, id long, mark long, n int, head array<long>")
+    return rows.mapInArrow(run, "doc_id long, fp long, id long, n int, head array<long>")
 
 
 def shingle_sets(documents: DataFrame, shingle: int) -> DataFrame:
@@ -151,49 +181,69 @@ def links(fps: DataFrame) -> DataFrame:
 
 
 def similar_links(documents: DataFrame, heads: DataFrame, shingle: int, similarity: float) -> DataFrame:
-    """Edges (u, v) between the fingerprints of shingle sets of at least the similarity (Jaccard); heads: shingle_heads of the documents.
+    """Edges (u, v) between the fingerprints of shingle sets; heads: shingle_heads of the documents. Their components are those of all
+    pairs of at least the similarity (Jaccard).
 
-    Candidates whose sets' fingerprints differ in over ``FAR`` bits go (at 0.8 that is five deviations off); the rest is verified.
-    The sets themselves are taken from the texts again, for candidates alone, as to store them all costs more than the texts.
+    Sets that share a head hash are candidates, less those that sizes or the hash's places in both orders rule out, and are verified on whole
+    sets. Where at most ``FULL`` share a hash all are compared with all. Where more do, each set is first compared with ``HUBS`` others of
+    the group; from then on only pairs that no chain of links joins yet are open, and all of these are compared. So a group of near
+    copies costs no pairs beyond its hubs', and no link between components is lost.
 
-    Sets that share a head hash are compared, all with all where at most ``FULL`` share it. A hash that more sets share is refined by
-    its successor among the shared ones of the head; there each set is compared with ``HUBS`` sets of its own size class and as many of the one
-    below: those whose head is shared most (what others were copied from), ties drawn anew for each hash. So the work stays linear in the group.
-    Sets that are alike share most of their head, so they meet in many such groups; still, in groups above ``FULL`` a link is certain
-    only through hubs.
+    The sets themselves are taken from the texts again, for sets with a shared head hash alone, as to store them all costs more than the texts.
     """
-    keyed = heads.select("id", F.explode("head").alias("key"))
+    keyed = heads.select("id", "n", F.posexplode("head").alias("pos", "key"))
     repeated = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("rows")).where("rows > 1")
     met = Saved(keyed.join(repeated, "key", "left_semi").distinct(), "heads").read()  # exact copies are one from here on
     sharers = met.groupBy("key").agg(F.count(F.lit(1)).alias("sharers")).where("sharers > 1")
-    nodes = heads.groupBy("id").agg(F.max("n").alias("n"), F.min("fp").alias("fp"), F.max("mark").alias("mark"))
-    mine = Window.partitionBy("id")
-    known = met.join(sharers, "key").join(nodes.select("id", "n"), "id")
-    known = Saved(known.select("*", F.lead("key").over(mine.orderBy("key")).alias("next"), F.sum("sharers").over(mine).alias("weight")), "shared-heads").read()
-    few = known.where(F.col("sharers") <= FULL)
-    a, b = few.select("key", F.col("id").alias("u"), F.col("n").alias("nu")), few.select("key", F.col("id").alias("v"), F.col("n").alias("nv"))
-    sized = F.least("nu", "nv") >= F.greatest("nu", "nv") * similarity - 1e-9
-    pairs = a.join(b, (a.key == b.key) & (F.col("u") < F.col("v")) & sized).select("u", "v")
-    size_class = F.floor(F.log("n") / -math.log(similarity))
-    many = known.where(F.col("sharers") > FULL).select("key", F.coalesce("next", F.lit(0)).alias("next"), "id", "weight", size_class.alias("class"))
-    hub = F.max(F.struct("weight", F.xxhash64("key", "id").alias("draw"), "id"))["id"]
-    hubs = many.groupBy("key", "next", "class", F.pmod(F.xxhash64("id"), F.lit(HUBS)).alias("salt")).agg(hub.alias("hub"))
-    chosen = hubs.groupBy("key", "next", "class").agg(F.collect_list("hub").alias("v"))
-    visits = many.select("key", "next", F.col("id").alias("u"), F.explode(F.array(F.col("class"), F.col("class") - 1)).alias("class"))
-    visits = visits.join(chosen, ["key", "next", "class"]).select("u", F.explode("v").alias("v")).where("u <> v")
-    both = Saved(pairs.union(visits.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"))).distinct(), "candidates").read()
-    for side in ("u", "v"):
-        both = both.join(nodes.select(F.col("id").alias(side), F.col("mark").alias(f"mark_{side}")), side)
-    both = Saved(both.where(F.bit_count(F.col("mark_u").bitwiseXOR(F.col("mark_v"))) <= FAR).select("u", "v"), "candidates").read()
-    needed = both.select(F.col("u").alias("id")).union(both.select("v")).distinct()
+    known = met.join(sharers, "key").withColumn("weight", F.sum("sharers").over(Window.partitionBy("id")))
+    known = Saved(known, "shared-heads").read()
+    needed = known.select("id").distinct()
     sets = Saved(shingle_sets(documents, shingle).join(needed, "id", "left_semi").dropDuplicates(["id"]), "sets").read()
-    sets = sets.join(nodes.select("id", "fp"), "id")
-    for side in ("u", "v"):
-        both = both.join(sets.select(F.col("id").alias(side), F.col("fp").alias(f"fp_{side}"), F.col("shingles").alias(f"set_{side}")), side)
-    common = F.size(F.array_intersect("set_u", "set_v"))
-    alike = common >= similarity * (F.size("set_u") + F.size("set_v") - common) - 1e-9
+
+    def side(rows: DataFrame, x: str, *more: str) -> DataFrame:
+        return rows.select("key", F.col("id").alias(x), F.col("n").alias(f"n{x}"), F.col("pos").alias(f"pos{x}"), *[F.col(c).alias(f"{c}{x}") for c in more])
+
+    sized = F.least("nu", "nv") >= F.greatest("nu", "nv") * similarity - 1e-9
+    # at the first hash that both have, all others they share come later in both
+    placed = F.least(F.col("nu") - F.col("posu"), F.col("nv") - F.col("posv")) >= similarity / (1 + similarity) * (F.col("nu") + F.col("nv")) - 1e-9
+
+    def alike(pairs: DataFrame) -> DataFrame:
+        both = Saved(pairs.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct(), "candidates").read()
+        for x in ("u", "v"):
+            both = both.join(sets.select(F.col("id").alias(x), F.col("shingles").alias(f"set_{x}")), x)
+        common = F.size(F.array_intersect("set_u", "set_v"))
+        return Saved(both.where(common >= similarity * (F.size("set_u") + F.size("set_v") - common) - 1e-9).select("u", "v"), "similar").read()
+
+    few = known.where(F.col("sharers") <= FULL)
+    a, b = side(few, "u"), side(few, "v")
+    edges = alike(a.join(b, (a.key == b.key) & (F.col("u") < F.col("v")) & sized & placed).select("u", "v"))
+    many = known.where(F.col("sharers") > FULL)
+    crowded = not many.isEmpty()
+    for turn in range(TURNS + 1 if crowded else 0):
+        found = connected_components(edges).select(F.col("node").alias("id"), "component")
+        grouped = Saved(many.join(found, "id", "left").withColumn("part", F.coalesce("component", "id")).drop("component"), "crowded").read()
+        parts = grouped.groupBy("key", "part").agg(F.count(F.lit(1)).alias("c"))
+        split = parts.groupBy("key").agg(F.sum("c").alias("s"), F.sum(F.col("c") * F.col("c")).alias("q")).where("q < s * s")
+        pairs, members = split.agg(F.sum((F.col("s") * F.col("s") - F.col("q")) / 2), F.sum("s")).first()
+        if not pairs:
+            break
+        rows = grouped.join(split, "key", "left_semi")
+        if last := turn == TURNS or pairs <= 2 * HUBS * members:
+            other = rows
+        else:
+            draw = F.xxhash64("key", "id", F.lit(turn))
+            best = F.max(F.struct("weight", draw.alias("draw"), "id", "n", "pos", "part") if turn == 0 else F.struct(draw.alias("draw"), "id", "n", "pos", "part"))
+            other = rows.groupBy("key", F.pmod(F.xxhash64("part"), F.lit(HUBS)).alias("salt")).agg(best.alias("hub")).select("key", "hub.*")
+        a, b = side(rows, "u", "part"), side(other, "v", "part")
+        once = F.col("u") < F.col("v") if last else F.col("u") != F.col("v")
+        edges = edges.union(alike(a.join(b, (a.key == b.key) & (F.col("partu") != F.col("partv")) & once & sized & placed).select("u", "v")))
+        if last:
+            break
+    nodes = heads.groupBy("id").agg(F.min("fp").alias("fp"))
+    for x in ("u", "v"):
+        edges = edges.join(nodes.select(F.col("id").alias(x), F.col("fp").alias(f"fp_{x}")), x)
     same = heads.select("id", F.col("fp").alias("u")).distinct().join(nodes.select("id", F.col("fp").alias("v")), "id").where("u <> v")
-    return both.where(alike).select(F.col("fp_u").alias("u"), F.col("fp_v").alias("v")).union(same.select("u", "v"))
+    return edges.select(F.col("fp_u").alias("u"), F.col("fp_v").alias("v")).union(same.select("u", "v"))
 
 
 def near_duplicates(documents: DataFrame, shingle: int = 3, similarity: float | None = None) -> DataFrame:
