@@ -10,21 +10,21 @@ def brute(docs, min_words):
     for d, t in sorted(docs):
         lines = [(i, x) for i, x in enumerate((t or "").split("\n")) if re.search(r"[^\x20\x09-\x0D]", x)]
         rows.append((d, [i for i, _ in lines], [x for _, x in lines], [len(re.findall(r"[^\x20\x09-\x0D]+", x)) for _, x in lines]))
-    first, out = {}, {d: set() for d, _ in docs}
-    for k, (d, numbers, lines, words) in enumerate(rows):
+    seen, out = set(), {d: set() for d, _ in docs}
+    for d, numbers, lines, words in rows:
         for p in range(len(lines)):
             head = next((m for m in range(1, len(lines) - p + 1) if sum(words[p : p + m]) >= min_words), None)
             if head is None:
                 continue
-            key = tuple(lines[p : p + head])
-            if key not in first:
-                first[key] = (k, p)
-                continue
-            _, _, lines_q, _ = rows[first[key][0]]
-            q, n = first[key][1], head
-            while p + n < len(lines) and q + n < len(lines_q) and lines[p + n] == lines_q[q + n] and sum(words[p + head : p + n + 1]) < min_words:
+            n = head
+            while True:
+                key = tuple(lines[p : p + n])
+                if key in seen:  # in an earlier document, or earlier in this one
+                    out[d].update(numbers[p : p + n])
+                seen.add(key)
+                if p + n == len(lines) or sum(words[p + head : p + n + 1]) >= min_words:
+                    break
                 n += 1
-            out[d].update(numbers[p : p + n])
     return out
 
 
@@ -50,11 +50,18 @@ def test_against_brute_force(spark):
             assert got[d].text == "\n".join(x for i, x in enumerate(lines) if i not in want[d]) and got[d].n_lines == len(lines)
 
 
+def test_runs_that_only_later_copies_share(spark):
+    a, b = " ".join(["a"] * 60), " ".join(["b"] * 40)
+    df = spark.createDataFrame([(1, a), (2, a + "\n" + b), (3, a + "\n" + b)], "doc_id long, text string")
+    got = {r.row.doc_id: r.text for r in line_dedup.dedup_lines(df).collect()}
+    assert got == {1: a, 2: b, 3: ""}
+
+
 def test_odd_documents(spark, odd_documents, no_documents):
     found = line_dedup.dedup_lines(odd_documents).collect()
     assert len(found) == odd_documents.count()
     long = [r for r in found if r.row.text and len(r.row.text) > 20_000]
-    assert [len(r.text) > 0 for r in sorted(long, key=lambda r: r.row.doc_id)] == [True, False]
+    assert [len(r.text) > 0 for r in sorted(long, key=lambda r: r.row.doc_id)] == [True, False, True]
     assert all(r.text == r.row.text for r in found if r not in long)
     assert {r.row.key for r in found} == {"clash", None}
     assert line_dedup.dedup_lines(no_documents).count() == 0

@@ -5,8 +5,9 @@ are passed over). A suffix is a position of a stretch. Ranks of suffixes by thei
 lines come from sorting pairs (rank at p, rank at p + 2^k) across range partitions; they preserve order, so suffixes
 that share a prefix are consecutive. Every suffix has a head: the fewest lines that hold ``MIN_WORDS`` words.
 Suffixes with the same head form an interval of the array in which adjacent longest common prefixes reach that many
-words. The earliest member of an interval (by doc_id, then line) is the original. Every later member
-loses the lines of its longest common run with the original, head and all; ranks beyond the longest head are not needed.
+words. Within an interval, every prefix from the head on (up to as many lines after it as hold fewer words than that in
+all: a longer run is found again at a later suffix) stays where it occurs first, by doc_id, then line. A suffix loses the lines of its
+longest prefix that occurs before it, wherever that is; ranks beyond the longest head are not needed.
 
 DataFrame operations only. No task holds an interval or a line's occurrences: copies of one rank count once in the array,
 and joins are by keys that skew handling can split.
@@ -65,7 +66,8 @@ def _reach(ahead: Column, min_words: int) -> Column:
 def suffixes(documents: DataFrame, min_words: int) -> Saved:
     """doc, text_hash, grp, pos, line, r (rank by first line), lines, head, ids: suffixes with a whole head."""
     lines = _lines(documents)
-    often = lines.groupBy("h", "c").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h", "c")
+    # written, so that the join with all lines is one whose crowded lines Spark can split
+    often = saved(lines.groupBy("h", "c").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h", "c"), "often")
     hits = lines.join(often, ["h", "c"], "left_semi").dropDuplicates([*DOC, "pos"])
     hits = hits.withColumn("grp", F.col("pos") - F.row_number().over(Window.partitionBy(*DOC).orderBy("pos")))
     total = F.sum("words").over(Window.partitionBy(*DOC, "grp"))
@@ -110,13 +112,15 @@ def intervals(rows: DataFrame) -> DataFrame:
 def repeated_lines(documents: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """doc, text_hash, removed (sorted line numbers from 0): the lines that later copies lose."""
     rows = doubled(suffixes(documents, min_words)).read().where("head IS NOT NULL")
-    placed = rows.join(intervals(rows), "r").select(*DOC, "pos", "head", "ids", "lines", "interval")
-    placed = saved(placed, "placed")
-    firsts = placed.groupBy("interval").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct(*DOC, "pos", "ids")).alias("q")).where("n > 1")
-    later = placed.join(firsts.select("interval", "q"), "interval").where(F.struct(*DOC, "pos") != F.struct(*[F.col("q")[c] for c in (*DOC, "pos")]))
-    same = F.zip_with("ids", F.col("q.ids"), lambda a, b: F.coalesce(a == b, F.lit(False)))
-    common = F.coalesce(F.nullif(F.array_position(same, F.lit(False)), F.lit(0)) - 1, F.size("ids")).cast("int")
-    gone = later.select(*DOC, F.explode(F.slice("lines", 1, F.least(common, F.size("ids")))).alias("line")).distinct()
+    own = F.struct(*DOC, "pos")
+    placed = saved(rows.join(intervals(rows), "r").select(*DOC, "pos", "head", "ids", "lines", "interval"), "placed")
+    many = saved(placed.groupBy("interval").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("interval"), "shared")
+    lengths = placed.join(many, "interval").withColumn("n", F.explode(F.sequence("head", F.size("ids"))))
+    prefixes = saved(lengths.select(*DOC, "pos", "interval", "n", F.slice("ids", F.col("head") + 1, F.col("n") - F.col("head")).alias("rest"), F.slice("lines", 1, F.col("n")).alias("lines")), "prefixes")
+    firsts = prefixes.groupBy("interval", "rest").agg(F.count(F.lit(1)).alias("m"), F.min(own).alias("first")).where("m > 1").drop("m")
+    later = prefixes.join(saved(firsts, "firsts"), ["interval", "rest"]).where(own != F.col("first"))
+    longest = later.groupBy(*DOC, "pos").agg(F.max_by("lines", "n").alias("lines"))
+    gone = longest.select(*DOC, F.explode("lines").alias("line")).distinct()
     return gone.groupBy(*DOC).agg(F.sort_array(F.collect_list("line")).alias("removed"))
 
 
