@@ -16,7 +16,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from weftline.llm.common import small_batches, text_of
+from weftline.llm.common import small, text_of
 from weftline.llm.pieces import CACHED_LENGTH, SpacedEncoder
 
 NO_PAIR = 1 << 62
@@ -112,14 +112,13 @@ def encode_documents(documents: DataFrame, ranks_path: str, pattern: str) -> Dat
     Null and empty texts have no ids; lone surrogates can't occur in Spark's UTF-8; repeated rows are encoded each;
     an empty table gives no rows; other columns are ignored. No shuffle.
     """
-    small_batches(documents.sparkSession)
     kinds = pa.schema([("doc_id", pa.int64()), ("ids", pa.list_(pa.int32())), ("decoded", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import numpy as np
 
         encode, words = encoder(ranks_path, pattern), vocabulary(ranks_path)
-        for batch in batches:
+        for batch in small(batches):
             rows = [np.frombuffer(encode(text), "<u4") for text in batch.column(1).to_pylist()]
             decoded = [b"".join(map(words.__getitem__, ids.tolist())) for ids in rows]
             offsets = np.zeros(len(rows) + 1, np.int32)

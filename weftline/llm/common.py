@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,9 +14,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir; a new one only where it is unset (tests)."""
+    """The folder that driver and executors share: the session's spark.checkpoint.dir. Without one there is no safe place: an error."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        import tempfile  # one machine: its folders are shared by nature
+
         found = f"file://{tempfile.mkdtemp(prefix='spark-')}"
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -45,10 +49,11 @@ def saved(df: DataFrame, name: str) -> DataFrame:
     return Saved(df, name).read()
 
 
-def small_batches(spark: SparkSession, rows: int = 512) -> None:
-    """Holds a Python worker's input batch to few rows, as texts may be very long."""
-    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > rows:
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
+def small(batches: Iterator, rows: int = 512) -> Iterator:
+    """Slices of few rows, as texts may be very long; Spark itself holds a batch to 64 MB. No session setting changes."""
+    for batch in batches:
+        for k in range(0, batch.num_rows, rows):
+            yield batch.slice(k, rows)
 
 
 def text_of(column: str = "text"):

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from weftline.llm.common import small_batches, text_of
+from weftline.llm.common import small, text_of
 from weftline.llm.tokenizer import sentence_end_ids, word_encoder
 
 WINDOW = 4096
@@ -73,7 +73,6 @@ def pack_documents(documents: DataFrame, tokenizer_path: str, end_id: int, windo
     end id alone; repeated rows are packed each; an empty table gives no rows; other columns are ignored.
     """
     assert 0 < stride <= window
-    small_batches(documents.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, end = word_encoder(tokenizer_path), np.array([end_id], "<u4").tobytes()
@@ -115,7 +114,7 @@ def pack_documents(documents: DataFrame, tokenizer_path: str, end_id: int, windo
             held, size = rest, at - begin
             return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*rows, strict=True)], schema=_ARROW)
 
-        for batch in batches:
+        for batch in small(batches):
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 ids = np.frombuffer(encode(text) + end, "<u4")
                 held.append([doc_id, ids, 0])

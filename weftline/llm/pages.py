@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftline.llm.common import saved, small_batches
+from weftline.llm.common import saved, small
 
 MIN_PAGES, MIN_SHARE = 5, 0.3
 
@@ -160,7 +160,7 @@ def template(pages: DataFrame, min_pages: int = MIN_PAGES, min_share: float = MI
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from xxhash import xxh64_intdigest
 
-        for batch in batches:
+        for batch in small(batches):
             rows = set()
             for host, source in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 page = Page(source)
@@ -170,7 +170,6 @@ def template(pages: DataFrame, min_pages: int = MIN_PAGES, min_share: float = MI
             columns = list(zip(*rows, strict=True)) or [[], [], []]
             yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.string()), pa.array(columns[1], pa.int64()), pa.array(columns[2], pa.int64())], names=["host", "main", "subtree"])
 
-    small_batches(pages.sparkSession)
     rows = pages.select(host_of("url").alias("host"), F.coalesce("html", F.lit("")).alias("html")).mapInArrow(run, "host string, main long, subtree long")
     counts = saved(rows.distinct().groupBy("host", "subtree").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_pages), "subtrees")
     totals = counts.where("subtree = 0").select("host", F.col("n").alias("pages"))
@@ -192,7 +191,6 @@ def main_texts(pages: DataFrame, min_pages: int = MIN_PAGES, min_share: float =
         for sources, subtrees in parts:
             yield pa.array([Page(a).text(set(b or ())) for a, b in zip(sources.to_pylist(), subtrees.to_pylist(), strict=True)], pa.string())
 
-    small_batches(pages.sparkSession)
     found = template(pages, min_pages, min_share)
     rows = pages.select("page_id", "url", host_of("url").alias("host"), F.coalesce("html", F.lit("")).alias("html")).join(found, "host", "left")
     text = rows.withColumn("text", extract("html", "subtrees"))

@@ -10,7 +10,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 #: Entries of a worker's cache before it becomes the older half and a new one starts; the longest piece that is kept.
-CACHE_ENTRIES, CACHED_LENGTH = 350_000, 64
+CACHE_ENTRIES, CACHED_LENGTH = 450_000, 64
 #: A run of letters ends before such signs, so those after a letter at a piece's end are encoded on their own.
 MARKS = ".,!?;:&*#%$|"
 
@@ -31,6 +31,9 @@ class PieceCache(dict):
         self.marks: dict[str, bytes] = {}
 
     def __missing__(self, piece: str) -> bytes:
+        found = self.older.get(piece)
+        if found is not None:
+            return self._keep(piece, found)
         stem = piece.rstrip(MARKS)
         if stem != piece and stem[-1:].isalpha():
             marks = piece[len(stem) :]
@@ -38,7 +41,9 @@ class PieceCache(dict):
                 if len(self.marks) > 1000:
                     self.marks.clear()
                 self.marks[marks] = self.encode(marks)
-            return self[stem] + self.marks[marks]
+            again = stem in self  # a stem seen before may come with these marks again
+            found = self[stem] + self.marks[marks]
+            return self._keep(piece, found) if again else found
         if self.strict and (not piece or piece[0].isspace() or piece[-1].isspace()):
             raise Uneven
         if "\n" in piece:  # between two characters that aren't white space it is a token border
@@ -46,9 +51,9 @@ class PieceCache(dict):
             if all(x and not x[0].isspace() and not x[-1].isspace() for x in lines):
                 after = self if self.after_break is None else self.after_break
                 return self[lines[0]] + b"".join([self.line_break + after[x] for x in lines[1:]])
-        found = self.older.get(piece)
-        if found is None:
-            found = self.encode(self.lead + piece)
+        return self._keep(piece, self.encode(self.lead + piece))
+
+    def _keep(self, piece: str, found: bytes) -> bytes:
         if len(piece) <= CACHED_LENGTH:
             if len(self) >= CACHE_ENTRIES:
                 self.older = dict(self)

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from weftline.llm import golay
-from weftline.llm.common import Saved, small_batches, text_of
+from weftline.llm.common import Saved, small, text_of
 from weftline.llm.components import connected_components
 
 SEED, MAX_DISTANCE, FULL, HUBS, TURNS = 42, 2, 16, 4, 2
@@ -63,10 +63,9 @@ def fingerprint(text: str, shingle: int = 3) -> int:
 
 def fingerprints(documents: DataFrame, shingle: int = 3) -> DataFrame:
     """doc_id, fp (a signed 64-bit integer) of every row; null texts count as empty."""
-    small_batches(documents.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small(batches):
             fps = np.array([fingerprint(text, shingle) for text in batch.column(1).to_pylist()], np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps)], names=["doc_id", "fp"])
 
@@ -94,11 +93,10 @@ def _longs(values: list[int]) -> pa.Array:
 def shingle_levels(documents: DataFrame, shingle: int) -> np.ndarray:
     """How common shingles are: a level for each of BUCKETS values of their hashes' low bits, from the number of texts that
     hold one of them. Any order of shingles finds all pairs; by rising level the heads hold what few texts share."""
-    small_batches(documents.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(BUCKETS, np.int32)
-        for batch in batches:
+        for batch in small(batches):
             for text in batch.column(0).to_pylist():
                 np.add.at(total, _distinct(text, shingle)[1] & (BUCKETS - 1), 1)
         rows = np.minimum(total, 255).astype(np.uint8).reshape(-1, CHUNK)
@@ -122,12 +120,11 @@ def shingle_levels(documents: DataFrame, shingle: int) -> np.ndarray:
 def shingle_heads(documents: DataFrame, shingle: int, similarity: float) -> DataFrame:
     """doc_id, fp, id (of the set of shingles), n (its size) and head of every row: the rarest hashes of the set, so many that
     two sets of at least the similarity share one of them."""
-    small_batches(documents.sparkSession)
     shared = documents.sparkSession.sparkContext.broadcast(shingle_levels(documents, shingle))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         levels = shared.value
-        for batch in batches:
+        for batch in small(batches):
             fps, ids, sizes, heads = [], [], [], []
             for text in batch.column(1).to_pylist():
                 hashes, distinct, set_id = _distinct(text, shingle)
@@ -145,10 +142,9 @@ def shingle_heads(documents: DataFrame, shingle: int, similarity: float) -> Data
 
 def shingle_sets(documents: DataFrame, shingle: int) -> DataFrame:
     """id and shingles (the distinct hashes' low 32 bits) of every row."""
-    small_batches(documents.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small(batches):
             sets = [_distinct(text, shingle)[1:] for text in batch.column(0).to_pylist()]
             columns = [_longs([set_id for _, set_id in sets]), _lists([np.unique(x.astype(np.int32)) for x, _ in sets], np.int32)]
             yield pa.RecordBatch.from_arrays(columns, names=["id", "shingles"])

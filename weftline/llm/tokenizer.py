@@ -38,18 +38,22 @@ def byte_level(text: str) -> str:
     return text.encode().decode("latin-1").translate(BYTE_CHARACTERS)
 
 
-def _ids(path: str, shape):
+def _ids(path: str, shape, shape_ascii):
     """piece -> bytes of its ids. A run of Latin-1 letters is one pre-token, which goes to the tokenizer's model directly;
-    ``shape`` gives it the form that the normaliser and pre-tokenizer would."""
-    encode, model = tokenizer(path).encode, tokenizer(path).model
+    ``shape`` gives it the form that the normaliser and pre-tokenizer would, ``shape_ascii`` does so for ASCII letters (of a
+    piece, and the piece without a leading space)."""
+    encode, tokenize = tokenizer(path).encode, tokenizer(path).model.tokenize
 
     def whole(piece: str) -> bytes:
         return array("I", encode(piece, add_special_tokens=False).ids).tobytes()
 
     def short(piece: str) -> bytes:
         word = piece[1:] if piece[:1] == " " else piece
-        if word.isalpha() and (word.isascii() or max(word) <= "ÿ"):
-            return array("I", [token.id for token in model.tokenize(shape(piece))]).tobytes()
+        if word.isalpha():
+            if word.isascii():
+                return array("I", [token.id for token in tokenize(shape_ascii(piece, word))]).tobytes()
+            if max(word) <= "ÿ":
+                return array("I", [token.id for token in tokenize(shape(piece))]).tobytes()
         return whole(piece)
 
     agree = all(short(x) == whole(x) for word in TRIED for x in (word, " " + word))
@@ -59,13 +63,13 @@ def _ids(path: str, shape):
 @functools.cache
 def spaced_encoder(path: str) -> SpacedEncoder:
     """text -> little-endian unsigned 32-bit ids, for byte-level files whose pattern keeps spaces."""
-    return SpacedEncoder(_ids(path, byte_level))
+    return SpacedEncoder(_ids(path, byte_level, lambda piece, word: word if word is piece else BYTE_CHARACTERS[32] + word))
 
 
 @functools.cache
 def word_encoder(path: str) -> WordEncoder:
     """text -> little-endian unsigned 32-bit ids, for files whose pattern drops white space."""
-    return WordEncoder(_ids(path, lambda piece: byte_level(piece.strip().lower())))
+    return WordEncoder(_ids(path, lambda piece: byte_level(piece.strip().lower()), lambda _, word: word.lower()))
 
 
 @functools.cache
