@@ -10,11 +10,12 @@ from weftline.llm.common import table
 
 def brute(rows, threshold=0.95):
     """rows: (vec_id, list or None). n_links and component by position."""
-    length = max(len(v) for _, v in rows if v) if any(v for _, v in rows) else 4
-    fine = [i for i, (_, v) in enumerate(rows) if v and len(v) == length and all(x is not None and math.isfinite(x) for x in v) and any(v)]
-    x = embeddings.unit(np.array([rows[i][1] for i in fine], float)) if fine else np.zeros((0, 1))
-    hits = x @ x.T >= threshold
-    pairs = [(fine[a], fine[b]) for a, b in combinations(range(len(fine)), 2) if hits[a, b]]
+    pairs = []
+    for length in {len(v) for _, v in rows if v}:
+        fine = [i for i, (_, v) in enumerate(rows) if v and len(v) == length and all(x is not None and math.isfinite(x) for x in v) and any(v)]
+        x = embeddings.unit(np.array([rows[i][1] for i in fine], float)) if fine else np.zeros((0, 1))
+        hits = x @ x.T >= threshold
+        pairs += [(fine[a], fine[b]) for a, b in combinations(range(len(fine)), 2) if hits[a, b]]
     links = [0] * len(rows)
     for a, b in pairs:
         links[a] += 1
@@ -40,6 +41,7 @@ def test_odd_vectors(spark):
     rows = [(1, [1.0, 0, 0, 0]), (2, [2.0, 0.1, 0, 0]), (3, None), (4, [0.0] * 4), (5, [nan, 1, 1, 1]), (6, [inf, 1, 1, 1]), (7, [None, 1.0, 1, 1]), (8, [1.0, 0, 0, 0]), (8, [1.0, 0, 0, 0]), (9, []), (10, [1.0, 2.0]), (None, [0, 0, 1.0, 0]), (12, [0.0, 1, 0, 0])]
     check(spark, rows)
     check(spark, [(None, None), (2, [])])
+    check(spark, [(1, [1.0, 0]), (2, [2.0, 0]), (3, [1.0, 0, 0]), (4, [3.0, 0, 0]), (5, [0, 1.0, 0]), (6, [1e-30, 0])])
     empty = spark.createDataFrame([], "vec_id long, embedding array<float>, label int")
     assert embeddings.near_duplicates(empty).count() == 0
 
