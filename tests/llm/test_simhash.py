@@ -146,3 +146,13 @@ def test_similar_table_rows(spark):
     near = {(a, b) for ds in holders.values() for a, b in combinations(ds, 2)}
     near = {(a, b) for a, b in near if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])}
     assert near and all(got[a] == got[b] for a, b in near)
+
+
+def test_one_of_each_by_row(spark):
+    base = " ".join(f"w{i}" for i in range(200))
+    other = " ".join(f"v{i}" for i in range(200))
+    rows = [(1, base, 1), (1, other, 2), (2, base, 3), (2, base, 3), (3, other + " x", 4), (None, base, 5), (7, "alone here", 6), (7, "alone here", 6), (None, None, 7), (8, "", 8)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, h int").repartition(3)
+    got = sorted((r.h, r.doc_id) for r in simhash.one_of_each(df, 5, 0.8).collect())
+    assert got == [(1, 1), (2, 1), (6, 7), (8, 8)]
+    assert simhash.one_of_each(df.limit(0), 5, 0.8).count() == 0

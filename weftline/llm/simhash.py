@@ -118,11 +118,13 @@ def shingle_levels(documents: DataFrame, shingle: int) -> np.ndarray:
 
 
 def shingle_heads(documents: DataFrame, shingle: int, similarity: float) -> DataFrame:
-    """doc_id, fp, id (of the set of shingles), n (its size) and head of every row: the rarest hashes of the set, so many that
+    """doc_id, h (the text's hash, as Spark's xxhash64 has it), fp, id (of the set of shingles), n (its size) and head of every row: the rarest hashes of the set, so many that
     two sets of at least the similarity share one of them."""
     shared = documents.sparkSession.sparkContext.broadcast(shingle_levels(documents, shingle))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from xxhash import xxh64_intdigest
+
         levels = shared.value
         for batch in small(batches):
             fps, ids, sizes, heads = [], [], [], []
@@ -133,11 +135,12 @@ def shingle_heads(documents: DataFrame, shingle: int, similarity: float) -> Data
                 sizes.append(len(distinct))
                 order = np.argsort(levels[distinct & (BUCKETS - 1)], kind="stable")  # equals stay by hash
                 heads.append(distinct[order[: len(distinct) - math.ceil(similarity * len(distinct) - 1e-9) + 1]])
-            columns = [batch.column(0), _longs(fps), _longs(ids), pa.array(sizes, pa.int32()), _lists(heads, np.int64)]
-            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "fp", "id", "n", "head"])
+            texts = [xxh64_intdigest(text.encode(), SEED) for text in batch.column(1).to_pylist()]
+            columns = [batch.column(0), _longs(texts), _longs(fps), _longs(ids), pa.array(sizes, pa.int32()), _lists(heads, np.int64)]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "h", "fp", "id", "n", "head"])
 
     rows = documents.select(F.col("doc_id").cast("long"), text_of().alias("text"))
-    return rows.mapInArrow(run, "doc_id long, fp long, id long, n int, head array<long>")
+    return rows.mapInArrow(run, "doc_id long, h long, fp long, id long, n int, head array<long>")
 
 
 def shingle_sets(documents: DataFrame, shingle: int) -> DataFrame:
@@ -194,7 +197,8 @@ def similar_links(documents: DataFrame, heads: DataFrame, shingle: int, similari
     known = met.join(sharers, "key").withColumn("weight", F.sum("sharers").over(Window.partitionBy("id")))
     known = Saved(known, "shared-heads").read()
     needed = known.select("id").distinct()
-    sets = Saved(shingle_sets(documents, shingle).join(needed, "id", "left_semi").dropDuplicates(["id"]), "sets").read()
+    # copies are dropped where they are read, so that none of a crowd of them meets the others before
+    sets = Saved(shingle_sets(documents, shingle).dropDuplicates(["id"]).join(needed, "id", "left_semi"), "sets").read()
 
     def side(rows: DataFrame, x: str, *more: str) -> DataFrame:
         return rows.select("key", F.col("id").alias(x), F.col("n").alias(f"n{x}"), F.col("pos").alias(f"pos{x}"), *[F.col(c).alias(f"{c}{x}") for c in more])
@@ -242,6 +246,16 @@ def similar_links(documents: DataFrame, heads: DataFrame, shingle: int, similari
     return edges.select(F.col("fp_u").alias("u"), F.col("fp_v").alias("v")).union(same.select("u", "v"))
 
 
+def _rooted(documents: DataFrame, shingle: int, similarity: float | None, least) -> tuple[DataFrame, DataFrame]:
+    """The fingerprints of all rows, and fp, root and the group's least for each distinct fingerprint; ``least``: what a row is ordered by."""
+    docs = Saved(fingerprints(documents, shingle) if similarity is None else shingle_heads(documents, shingle, similarity), "fingerprints").read()
+    nodes = Saved(docs.groupBy("fp").agg(F.min(least).alias("least")), "fps").read()
+    edges = links(nodes) if similarity is None else links(nodes).union(similar_links(documents, docs, shingle, similarity))
+    found = connected_components(edges).withColumnRenamed("node", "fp")
+    rooted = nodes.join(found, "fp", "left").withColumn("root", F.coalesce("component", "fp"))
+    return docs, rooted.select("fp", "root").join(rooted.groupBy("root").agg(F.min("least").alias("least")), "root")
+
+
 def near_duplicates(documents: DataFrame, shingle: int = 3, similarity: float | None = None) -> DataFrame:
     """doc_id, fp, component_id for every row of ``documents`` (doc_id, text).
 
@@ -250,14 +264,32 @@ def near_duplicates(documents: DataFrame, shingle: int = 3, similarity: float |
     any other; rows with a null doc_id link too but are nobody's least; where all ids of a component are null it is null. Repeated
     rows stay; an empty table gives no rows; other columns are ignored.
     """
-    docs = Saved(fingerprints(documents, shingle) if similarity is None else shingle_heads(documents, shingle, similarity), "fingerprints").read()
-    fps = docs.groupBy("fp").agg(F.min("doc_id").alias("least_doc"))
-    nodes = Saved(fps, "fps").read()
-    edges = links(nodes) if similarity is None else links(nodes).union(similar_links(documents, docs, shingle, similarity))
-    found = connected_components(edges).withColumnRenamed("node", "fp")
-    rooted = nodes.join(found, "fp", "left").withColumn("root", F.coalesce("component", "fp"))
-    roots = rooted.groupBy("root").agg(F.min("least_doc").alias("component_id"))
-    return docs.join(rooted.select("fp", "root").join(roots, "root").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
+    docs, rooted = _rooted(documents, shingle, similarity, F.col("doc_id"))
+    return docs.join(rooted, "fp").select("doc_id", "fp", F.col("least").alias("component_id"))
+
+
+def one_of_each(documents: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """The rows of ``documents`` (doc_id, text) that stay, all columns as they are: one of each group of near_duplicates.
+
+    That of the least doc_id stays; where two texts have it, the one of lesser hash; of rows equal in doc_id and text, any one. A
+    null doc_id comes last. Null texts count as empty, and all texts without words are one group. An empty table gives no rows.
+    """
+    least = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "h")
+    docs, rooted = _rooted(documents, shingle, similarity, least)
+    key = ["doc_id", "h"]
+    keyed = documents.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text_of()).alias("h"))
+
+    def on(other: DataFrame):
+        return keyed["doc_id"].eqNullSafe(other["doc_id"]) & (keyed["h"] == other["h"])
+
+    later = Saved(docs.join(rooted, "fp").where(least != F.col("least")).select(*key).distinct(), "later").read()
+    again = Saved(docs.groupBy(*key).agg(F.count(F.lit(1)).alias("m")).where("m > 1").select(*key), "repeated").read()
+    if again.isEmpty():
+        return keyed.join(later, on(later), "left_anti").select("row.*")
+    gone = Saved(later.union(again).distinct(), "gone").read()
+    stay = again.join(later, again["doc_id"].eqNullSafe(later["doc_id"]) & (again["h"] == later["h"]), "left_anti")
+    once = keyed.join(stay, on(stay), "left_semi").groupBy(*key).agg(F.any_value("row").alias("row")).select("row.*")
+    return keyed.join(gone, on(gone), "left_anti").select("row.*").union(once)
 
 
 def hex16(fp):
