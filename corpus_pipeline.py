@@ -21,26 +21,25 @@ SIMILARITY = 0.8
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that fail the base rules or leave their language's perplexity band go."""
+    """Documents that fail the base rules or leave their language's perplexity band go; null texts are empty and go, equal rows share one verdict."""
     return quality.judge(docs).where("kept").select("row.*")
 
 
 def line_deduplication(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Later copies of repeated line runs go; a document of which nothing is left stays, with an empty text."""
+    """Later copies of repeated line runs go; a document of which nothing is left stays, with an empty text. Null texts stay null; equal rows get one result."""
     rows = line_dedup.dedup_lines(docs)
     new = {"text": F.col("text"), "n_chars": F.when(F.size("removed") > 0, F.length("text").cast("long")).otherwise(F.col("row.n_chars"))} if "n_chars" in docs.columns else {"text": F.col("text")}
     return rows.select(*[new.get(c, F.col("row")[c]).alias(c) for c in docs.columns])
 
 
 def near_deduplication(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates stays: the one with the least doc_id."""
-    found = simhash.near_duplicates(docs, shingle=SHINGLE, similarity=SIMILARITY)
-    later = found.where("component_id IS NOT NULL AND doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(later, "doc_id", "left_anti").select(*docs.columns)
+    """One document of each group of near duplicates stays: the one with the least doc_id (null: last), then by a hash of its text.
+    Rows equal in both are one document. Null texts count as empty."""
+    return simhash.one_of_each(docs, shingle=SHINGLE, similarity=SIMILARITY)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of all documents that are left."""
+    """The pieces of all documents that are left; a null or empty text is its end id alone."""
     return packing.pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"), end_id=2)
 
 
