@@ -2,7 +2,7 @@ import html
 import re
 
 from weftline.llm.common import table
-from weftline.llm.pages import Page, main_texts
+from weftline.llm.pages import Page, host_of, main_texts, template
 
 
 def text(source):
@@ -28,6 +28,36 @@ def test_boilerplate():
     assert text("<body><nav>n</nav><main><p>a</p></main><p>b</p>") == "a"
 
 
+def test_attributes_and_words_are_read_whole():
+    kept = """<article><p style="overflow:hidden">a</p><p title="a hidden gem">b</p><p data-note="hidden" data-id="ad-1">c</p><p class="notice-period">d</p>
+    <section id="share-price">e</section><p>f <math><mi>x</mi></math></p></article>"""
+    assert text(kept) == "a\nb\nc\nd\ne\nf x"
+    assert text("<article><header><h1>Title</h1><p>by me</p></header><p>x</p><p hidden>y</p><p class='ad'>z</p></article>") == "Title\nx"
+
+
+def test_shapes_recur_though_words_differ(spark):
+    def page(i):
+        menu = "".join(f"<li><a href=/{i}/{k}>entry {i} {k}</a>" for k in range(3 + i % 4))
+        body = "".join(f"<p>own sentence {i} {k} of this page, which is long</p>" for k in range(4 + i % 3))
+        return (i, "https://soup.example/", f"<body><div class=top><ul>{menu}</ul></div><div class=box>{body}</div><div class=promotext>buy {i}</div></body>")
+
+    df = spark.createDataFrame([page(i) for i in range(20)], "page_id long, url string, html string")
+    for r in main_texts(df).collect():
+        assert r.text.split("\n") == [f"own sentence {r.page_id} {k} of this page, which is long" for k in range(4 + r.page_id % 3)]
+
+
+def test_template_alone_finds_menus_of_given_pages(spark):
+    """Without articles and without the rules by tag or class, the counted template takes the menus of all crowded hosts."""
+    found = {r.host: set(r.subtrees) for r in template(table(spark, "/root/testdata/sf0.1", "pages")).collect()}
+    hosts = table(spark, "/root/testdata/sf0.1", "pages").select(host_of("url").alias("host"), "html").collect()
+    changed = 0
+    for r in hosts[:600]:
+        page = Page(r.html)
+        page.boilerplate = lambda i: False
+        changed += page.text(found.get(r.host, set()), articles=False) != page.text(articles=False)
+    assert changed > 0.8 * 600
+
+
 def test_deep_nesting_and_length():
     assert text("<div>" * 20_000 + "deep" + "</div>" * 20_000) == "deep"
     assert len(text("<article><p>" + "word " * 200_000)) == 5 * 200_000 - 1

@@ -1,10 +1,14 @@
 """Main text of web pages: site template removal by counted subtree hashes.
 
-Each page is parsed into a light element tree whose subtrees are hashed bottom-up. Spark counts, for every host, in how many pages with
-different main text a subtree occurs; subtrees found in at least ``MIN_PAGES`` such pages and in ``MIN_SHARE`` of the host's are template.
-A second pass takes the article (else the main element, else the body) and drops template subtrees and
-elements that are boilerplate by tag, role, class or id. Inside an article or main element only containers count as template:
-paragraphs, headings and quotes stay, however often a site repeats them.
+Each page is parsed into a light element tree whose subtrees are hashed bottom-up, twice: with their texts, and by shape alone (tags,
+classes, ids, roles, repeats of a child once), as menus and footers may carry words of their own on each page. Spark counts, for every host,
+in how many pages with different main text a subtree occurs; those found in at least ``MIN_PAGES`` such pages and in a share of the host's pages
+(``MIN_SHARE``, or ``ROOT`` times the square root of their number where that is less) are template.
+
+A page's core is its article, else its main element, else the smallest element that holds half of its text. A second pass drops
+subtrees whose text recurs, subtrees outside the core whose shape recurs, lists of links anywhere whose shape recurs, and
+elements that are boilerplate by tag, role, or a class or id that consists of nothing but words for it. Inside an article only containers count as
+template by text: paragraphs, headings and quotes stay, however often a site repeats them. Of a header inside an article the headings stay.
 """
 
 from __future__ import annotations
@@ -19,11 +23,11 @@ from pyspark.sql import functions as F
 
 from weftline.llm.common import saved, small
 
-MIN_PAGES, MIN_SHARE = 5, 0.3
+MIN_PAGES, MIN_SHARE, ROOT, LINKS = 5, 0.3, 10, 0.5
 
 # Element names of HTML.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = "script|style|noscript|template|textarea|title|iframe|svg|math|xmp|noembed|noframes"
+RAW = "script|style|noscript|template|textarea|title|iframe|svg|xmp|noembed|noframes"
 BLOCK = frozenset("address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hr html legend li main menu nav ol optgroup option p pre section summary table tbody td tfoot th thead tr ul".split())
 CLOSES_P = BLOCK - frozenset("body head html legend optgroup option tbody td tfoot th thead tr".split())
 #: A start tag ends an open element of these names, up to the nearest of the stops.
@@ -36,7 +40,10 @@ BOILERPLATE_ROLES = frozenset("alert alertdialog banner complementary contentinf
 BOILERPLATE_WORDS = frozenset("ad ads adsense advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments consent cookie cookies disqus footer gdpr header menu modal nav navbar navigation newsletter notice notices pagination paywall popup promo promotion related share sharing sidebar signup social sponsor sponsored sponsors subscribe subscription toolbar widget widgets".split())
 
 TOKEN = re.compile(rf"<!--.*?(?:-->|\Z)|<(?P<raw>{RAW})\b(?:\"[^\"]*\"|'[^']*'|[^'\">])*>.*?(?:</(?P=raw)\s*>|\Z)|<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*)(?P<attrs>(?:\"[^\"]*\"|'[^']*'|[^'\">])*)(?:>|\Z)|<[!?/][^>]*(?:>|\Z)|(?P<text>[^<]+|<)", re.I | re.S)
-ATTRIBUTE = re.compile(r"""(class|id|role|hidden|aria-hidden)\s*(?:=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
+#: One attribute after another, so that a value is never read as a name.
+ATTRIBUTE = re.compile(r"""([^\s"'<>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
+READ_ATTRIBUTES = frozenset("class id role hidden aria-hidden".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 WORDS = re.compile(r"[a-z]+")
 SPACE = re.compile(r"\s+")
 
@@ -45,7 +52,8 @@ class Page:
     """Elements in page order (a parent comes before its children), and the texts and block borders between."""
 
     def __init__(self, source: str):
-        self.tags, self.labels, self.parents = ["#"], [""], [-1]
+        self.tags, self.parents = ["#"], [-1]
+        self.labels: list[dict] = [{}]
         self.parts: list[list] = [[]]  # of each element: texts, and numbers of child elements
         self.events: list[tuple[int, str | None]] = []  # (element, text), or (element, None) at a block's border
         stack, tags = [0], self.tags
@@ -69,8 +77,11 @@ class Page:
                 continue
             number = len(tags)
             tags.append(tag)
-            found = {k.lower(): a or b or c for k, a, b, c in ATTRIBUTE.findall(m["attrs"])} if m["attrs"] else {}
-            self.labels.append(" ".join(f"{k}={v}" for k, v in sorted(found.items())))
+            found: dict = {}
+            for k, a, b, c in ATTRIBUTE.findall(m["attrs"]) if m["attrs"] else ():
+                if (k := k.lower()) in READ_ATTRIBUTES:
+                    found.setdefault(k, a or b or c)  # the first of a name counts
+            self.labels.append(found)
             self.parents.append(stack[-1])
             self.parts.append([])
             self.parts[stack[-1]].append(number)
@@ -94,43 +105,99 @@ class Page:
     def boilerplate(self, i: int) -> bool:
         if self.tags[i] in BOILERPLATE_TAGS:
             return True
-        if not (label := self.labels[i]) or self.tags[i] in {"html", "body"}:
+        if not (found := self.labels[i]) or self.tags[i] in {"html", "body"}:
             return False
-        found = dict(x.partition("=")[::2] for x in re.split(r" (?=(?:class|id|role|hidden|aria-hidden)=)", label))
         if "hidden" in found or found.get("aria-hidden") == "true" or found.get("role") in BOILERPLATE_ROLES:
             return True
-        return not BOILERPLATE_WORDS.isdisjoint(WORDS.findall(f"{found.get('class', '')} {found.get('id', '')}".lower()))
+        names = f"{found.get('class', '')} {found.get('id', '')}".lower().split()
+        return any((words := WORDS.findall(x)) and BOILERPLATE_WORDS.issuperset(words) for x in names)
 
-    def hashes(self) -> list[int]:
-        """Of each element's subtree: its tag, class, id and role, its texts and its children's hashes."""
+    def measure(self) -> None:
+        """Of each element's subtree: exact and shape (hashes), size and linked (characters of text, and of those in links)."""
         from xxhash import xxh64_intdigest
 
-        out = [0] * len(self.tags)
-        for i in range(len(out) - 1, -1, -1):
-            body = "\x00".join([x if isinstance(x, str) else f"\x01{out[x]:x}" for x in self.parts[i]])
-            out[i] = xxh64_intdigest(f"{self.tags[i]} {self.labels[i]}\x00{SPACE.sub(' ', body)}".encode("utf-8", "surrogatepass")) - (1 << 63)
-        return out
+        n = len(self.tags)
+        self.exact, self.shape, self.size, self.linked = [0] * n, [0] * n, [0] * n, [0] * n
+        for i in range(n - 1, -1, -1):
+            body, kinds, size, linked = [], [], 0, 0
+            for x in self.parts[i]:
+                if isinstance(x, str):
+                    body.append(x)
+                    size += len(x.strip())
+                else:
+                    body.append(f"\x01{self.exact[x]:x}")
+                    size += self.size[x]
+                    linked += self.linked[x]
+                    if not kinds or kinds[-1] != self.shape[x]:
+                        kinds.append(self.shape[x])
+            label = f"{self.tags[i]} {sorted(self.labels[i].items()) if self.labels[i] else ''}\x00"
+            joined = SPACE.sub(" ", "\x00".join(body))
+            self.exact[i] = xxh64_intdigest(f"{label}{joined}".encode("utf-8", "surrogatepass")) - (1 << 63)
+            self.shape[i] = xxh64_intdigest(f"{label}{kinds}".encode("utf-8", "surrogatepass"), 1) - (1 << 63)
+            self.size[i], self.linked[i] = size, size if self.tags[i] == "a" else linked
 
-    def regions(self) -> tuple[list[bool], list[bool]]:
-        """Of each element: whether it is in the main region, and whether it is boilerplate or inside such."""
-        skipped = [False] * len(self.tags)
-        for i in range(1, len(skipped)):
-            skipped[i] = skipped[self.parents[i]] or self.boilerplate(i)
-        for own in (lambda i: self.tags[i] == "article", lambda i: self.tags[i] == "main" or "role=main" in self.labels[i], lambda i: self.tags[i] == "body", lambda i: i == 0):
-            main = [False] * len(skipped)
-            for i in range(len(main)):
+    def regions(self, articles: bool = True) -> tuple[list[bool], list[bool], bool]:
+        """Of each element: whether it is in the main region, and whether it is boilerplate or inside such; whether there is an article or
+        main element. articles: without them, the body is the main region."""
+        tags, n = self.tags, len(self.tags)
+        inside, soft, skipped = [False] * n, [False] * n, [False] * n
+        for i in range(1, n):
+            up = self.parents[i]
+            inside[i] = inside[up] or tags[up] == "article"
+            if tags[i] == "header" and inside[i] and not skipped[up]:
+                soft[i] = skipped[i] = True  # an article's own header: its headings stay
+            elif soft[up]:
+                skipped[i] = soft[i] = tags[i] not in HEADINGS
+            else:
+                skipped[i] = skipped[up] or self.boilerplate(i)
+        kinds = [lambda i: tags[i] == "article", lambda i: tags[i] == "main" or self.labels[i].get("role") == "main", lambda i: tags[i] == "body", lambda i: i == 0]
+        for k, own in enumerate(kinds):
+            if k < 2 and not articles:
+                continue
+            main = [False] * n
+            for i in range(n):
                 main[i] = (i > 0 and main[self.parents[i]]) or (own(i) and not skipped[i])
             if any(main):
                 break
-        return main, skipped
+        return main, skipped, k < 2
+
+    def outside(self, main: list[bool], article: bool) -> list[bool]:
+        """Of each element: whether it is neither in the page's core nor around it. Needs measure()."""
+        n, up = len(self.tags), self.parents
+        core = list(main)
+        if not article:
+            least = n - 1
+            while least and 2 * self.size[least] < self.size[0]:
+                least -= 1  # a later element holding half of the text is the smallest: only its ancestors hold as much
+            core = [False] * n
+            core[least] = True
+            for i in range(least + 1, n):
+                core[i] = core[up[i]]
+        around = list(core)
+        for i in range(n - 1, 0, -1):
+            around[up[i]] |= around[i]
+        return [not a and not c for a, c in zip(around, core, strict=True)]
+
+    def keys(self, main: list[bool], article: bool) -> set[int]:
+        """The hashes by which the page's subtrees are counted. Needs measure()."""
+        out = {h for tag, h in zip(self.tags, self.exact, strict=True) if tag in COUNTED}
+        outside = self.outside(main, article)
+        out.update(self.shape[i] for i, tag in enumerate(self.tags) if tag in COUNTED and self.size[i] and (outside[i] or self._links(i)))
+        return out
+
+    def _links(self, i: int) -> bool:
+        return self.tags[i] in CONTAINERS and self.linked[i] > 0 and self.linked[i] >= LINKS * self.size[i]
 
-    def text(self, template: frozenset | set = frozenset()) -> str:
-        main, skipped = self.regions()
+    def text(self, template: frozenset | set = frozenset(), articles: bool = True) -> str:
+        main, skipped, article = self.regions(articles)
         if template:
-            hashes, article = self.hashes(), not main[0] and not any(self.tags[i] == "body" and main[i] for i in range(len(main)))
+            self.measure()
+            outside, gone = self.outside(main, article), [False] * len(main)
             for i in range(1, len(main)):
                 fit = CONTAINERS if article and main[i] else COUNTED
-                skipped[i] = skipped[i] or skipped[self.parents[i]] or (self.tags[i] in fit and hashes[i] in template)
+                known = self.tags[i] in fit and self.exact[i] in template or self.tags[i] in COUNTED and self.shape[i] in template and (outside[i] or self._links(i))
+                gone[i] = known or gone[self.parents[i]]
+                skipped[i] = skipped[i] or gone[i]
         blocks, held = [], []
 
         def flush() -> None:
@@ -164,8 +231,10 @@ def template(pages: DataFrame, min_pages: int = MIN_PAGES, min_share: float = MI
             rows = set()
             for host, source in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 page = Page(source)
+                page.measure()
+                region = page.regions()
                 main = xxh64_intdigest(page.text().encode("utf-8", "surrogatepass")) - (1 << 63)
-                rows.update((host, main, h) for tag, h in zip(page.tags, page.hashes(), strict=True) if tag in COUNTED)
+                rows.update((host, main, h) for h in page.keys(region[0], region[2]))
                 rows.add((host, main, 0))
             columns = list(zip(*rows, strict=True)) or [[], [], []]
             yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.string()), pa.array(columns[1], pa.int64()), pa.array(columns[2], pa.int64())], names=["host", "main", "subtree"])
@@ -173,8 +242,9 @@ def template(pages: DataFrame, min_pages: int = MIN_PAGES, min_share: float = MI
     rows = pages.select(host_of("url").alias("host"), F.coalesce("html", F.lit("")).alias("html")).mapInArrow(run, "host string, main long, subtree long")
     counts = saved(rows.distinct().groupBy("host", "subtree").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_pages), "subtrees")
     totals = counts.where("subtree = 0").select("host", F.col("n").alias("pages"))
-    often = counts.where("subtree <> 0").join(totals, "host").where(F.col("n") >= min_share * F.col("pages"))
-    # written, so that the join with pages by host is one whose crowded hosts Spark can split
+    needed = F.least(min_share * F.col("pages"), ROOT * F.sqrt("pages"))
+    # both are written, so that the joins by host are ones whose crowded hosts Spark can split
+    often = saved(counts.where("subtree <> 0").join(totals, "host").where(F.col("n") >= needed).select("host", "subtree"), "recurring")
     return saved(often.groupBy("host").agg(F.collect_list("subtree").alias("subtrees")), "template")
 
 
