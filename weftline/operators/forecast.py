@@ -10,6 +10,7 @@ from weftline.functions.expr import EPSILON, average_rank, log_growth
 #: Growths that agree to so many digits tie: the last bits depend on the order of a sum.
 TIE_DIGITS = 9
 KEYS = ["split", "week_id", "attr_type"]
+# The columns of a prediction, in order.
 PREDICTION_COLUMNS = "week_id attr_id attr_type attr_value model_name split share_t pred_share_t1 target_growth pred_target_growth target_rank_in_type_t1".split()
 
 
@@ -41,6 +42,8 @@ def predicted(split: DataFrame, model: str, growth: str, epsilon: float = EPSILO
     return _predictions(split, model, F.col(growth), epsilon)
 
 
+#: Rounds and step of boosting: as much is learnt as by 300 rounds at 0.05, or less where the valid rows stop it.
+TREES, STEP = 40, 0.3
 NOT_FEATURES = {"split", "week_id", "attr_id", "attr_type", "attr_value", "target_growth", "target_log_heat_t1", "target_rank_in_type_t1"}
 GRAPH_FEATURES = {"article_count", "is_core_attr", "parent_count", "child_count", "degree"}
 
@@ -49,7 +52,7 @@ def numeric_features(split: DataFrame) -> list[str]:
     return [c for c, kind in split.dtypes if c not in NOT_FEATURES and kind in ("bigint", "int", "double", "boolean")]
 
 
-def fit_boosted_trees(split: DataFrame, features: list[str], trees: int = 20, depth: int = 6, seed: int = 42):
+def fit_boosted_trees(split: DataFrame, features: list[str], trees: int = TREES, depth: int = 6, seed: int = 42):
     """Absolute-loss boosted trees on the train rows, stopped early on the valid rows; types are indexed on train."""
     from pyspark.ml import Pipeline
     from pyspark.ml.feature import StringIndexer, VectorAssembler
@@ -58,7 +61,7 @@ def fit_boosted_trees(split: DataFrame, features: list[str], trees: int = 20, de
     rows = prepared(split, features).where("split <> 'test'").withColumn("is_valid", F.col("split") == "valid")
     index = StringIndexer(inputCol="attr_type", outputCol="attr_type_index", handleInvalid="keep")
     assemble = VectorAssembler(inputCols=["attr_type_index", *features], outputCol="features")
-    trees_ = GBTRegressor(featuresCol="features", labelCol="target_growth", predictionCol="predicted_growth", lossType="absolute", maxIter=trees, maxDepth=depth, stepSize=0.05, subsamplingRate=0.8, seed=seed, validationIndicatorCol="is_valid", maxBins=32)
+    trees_ = GBTRegressor(featuresCol="features", labelCol="target_growth", predictionCol="predicted_growth", lossType="absolute", maxIter=trees, maxDepth=depth, stepSize=STEP, subsamplingRate=0.8, seed=seed, validationIndicatorCol="is_valid", maxBins=32)
     return Pipeline(stages=[index, assemble, trees_]).fit(rows)
 
 
@@ -66,7 +69,7 @@ def prepared(split: DataFrame, features: list[str]) -> DataFrame:
     return split.withColumns({c: F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in features})
 
 
-def boosted_trees(split: DataFrame, features: list[str] | None = None, trees: int = 20) -> DataFrame:
+def boosted_trees(split: DataFrame, features: list[str] | None = None, trees: int = TREES) -> DataFrame:
     features = features or numeric_features(split)
     model = fit_boosted_trees(split, features, trees)
     return predicted(model.transform(prepared(split, features)).drop("features"), "boosted_trees", "predicted_growth")

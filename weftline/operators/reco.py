@@ -18,7 +18,8 @@ TOP, RECENT = 12, 4
 SOURCES = ("popularity", "similarity", "trend", "reorder", "product_variant", "age_popularity", "preference_popularity")
 TREND_WEIGHTS = {"product_type_name": 0.35, "colour_group_name": 0.25, "garment_group_name": 0.20, "product_group_name": 0.10, "graphical_appearance_name": 0.10}
 SCORES = ("pop_score", "recent_score", "sim_score", "trend_score", "reorder_score", "variant_score", "age_pop_score", "preference_pop_score", "source_rank_score", "source_count_score")
-# Score weights of the methods.
+# Which popularity fills up the users of a method (none for the enhanced one), and the methods' score weights.
+FILL = {"global_popularity": "pop_score", "recent_popularity": "recent_score", "attribute_similarity": "recent_score", "pop_similarity": "recent_score", "pop_similarity_trend": "recent_score"}
 METHODS = {
     "global_popularity": {"pop_score": 1.0},
     "recent_popularity": {"recent_score": 1.0},
@@ -27,8 +28,8 @@ METHODS = {
     "pop_similarity_trend": {"pop_score": 0.2, "sim_score": 0.2, "trend_score": 0.1, "recent_score": 0.5},
     "enhanced_pop_similarity_trend": dict(zip(SCORES, (0.14, 0.30, 0.10, 0.08, 0.16, 0.08, 0.04, 0.04, 0.03, 0.03), strict=True)),
 }
-STRATEGY = {"global_popularity": "popularity", "recent_popularity": "popularity", "attribute_similarity": "similarity", "pop_similarity": "default", "pop_similarity_trend": "default", "enhanced_pop_similarity_trend": "enhanced_default"}
-STRATEGIES = {"popularity": SOURCES[:1], "similarity": SOURCES[1:2], "trend_union": SOURCES[2:3], "default": SOURCES[:3], "enhanced_default": SOURCES}
+STRATEGY = {"global_popularity": "popularity", "recent_popularity": "recent_popularity", "attribute_similarity": "similarity", "pop_similarity": "default", "pop_similarity_trend": "default", "enhanced_pop_similarity_trend": "enhanced_default"}
+STRATEGIES = {"popularity": SOURCES[:1], "recent_popularity": SOURCES[:1], "similarity": SOURCES[1:2], "trend_union": SOURCES[2:3], "default": SOURCES[:3], "enhanced_default": SOURCES}
 
 
 def customer_profile(customers: DataFrame) -> DataFrame:
@@ -38,7 +39,7 @@ def customer_profile(customers: DataFrame) -> DataFrame:
     bucket = F.when(age.isNull() | F.isnan(age) | (age < 0), "unknown").when(age < 20, "0-19")
     for low in (20, 30, 40, 50):
         bucket = bucket.when(age < low + 10, f"{low}-{low + 9}")
-    return customers.select("customer_id", age.alias("age"), bucket.otherwise("60+").alias("age_bucket"), text("club_member_status"), text("fashion_news_frequency"))
+    return customers.select("customer_id", age.alias("age"), bucket.otherwise("60+").alias("age_bucket"), text("club_member_status"), text("news_frequency"))
 
 
 def windows_of(predictions: DataFrame) -> DataFrame:
@@ -72,11 +73,18 @@ def core_edges(edges: DataFrame) -> DataFrame:
     return edges.where(F.col("attr_type").isin(*CORE_TYPES)).select("article_id", "attr_id", "attr_type", "attr_value")
 
 
-def user_profile(weekly: DataFrame, edges: DataFrame, windows: DataFrame, users: DataFrame, top: int = 3) -> DataFrame:
-    """Preferred attributes: their share of all core attributes a user bought, the first ``top`` rows."""
-    bought = weekly.groupBy("customer_id", "article_id", "week_id").agg(F.count(F.lit(1)).alias("n"))
-    history = upto(bought, windows).join(users.select(*USER), USER, "left_semi")
-    per = history.join(core_edges(edges), "article_id").groupBy(*USER, "attr_id", "attr_type", "attr_value").agg(F.sum("n").alias("purchase_count"), F.max("week_id").alias("last_purchase_week"))
+def history(weekly: DataFrame, users: DataFrame) -> DataFrame:
+    """Last week and number of purchases of every (user, article) up to the user's cutoff. Users meet their own purchases
+    alone, already counted by week, so no purchase is copied for windows that don't ask for it."""
+    known = users.select("customer_id").distinct()
+    bought = weekly.join(known, "customer_id", "left_semi").groupBy("customer_id", "article_id", "week_id").agg(F.count(F.lit(1)).alias("n"))
+    upto_cutoff = users.select(*USER).join(bought, "customer_id").where(F.col("week_id") <= F.col("cutoff_week"))
+    return upto_cutoff.groupBy(*ITEM).agg(F.max("week_id").alias("last_week"), F.sum("n").alias("n"))
+
+
+def user_profile(past: DataFrame, edges: DataFrame, top: int = 3) -> DataFrame:
+    """Preferred attributes: their share of all core attributes in a user's history, the first ``top`` rows."""
+    per = past.join(core_edges(edges), "article_id").groupBy(*USER, "attr_id", "attr_type", "attr_value").agg(F.sum("n").alias("purchase_count"), F.max("last_week").alias("last_purchase_week"))
     per = per.withColumn("preference_score", F.col("purchase_count") / F.sum("purchase_count").over(Window.partitionBy(*USER)))
     return top_k(per, USER, [F.round("preference_score", 9).desc(), F.desc("purchase_count"), F.desc("last_purchase_week"), "attr_id"], top).drop("rn").select(*USER, "attr_id", "attr_type", "attr_value", "preference_score", "purchase_count", "last_purchase_week")
 
@@ -101,8 +109,9 @@ def _to_users(ranked: DataFrame, users: DataFrame, source: str) -> DataFrame:
     return users.select(*USER).join(F.broadcast(ranked), WIN).select(*ITEM, F.lit(source).alias("source"), F.col("rn").alias("source_rank"))
 
 
-def from_popularity(weekly: DataFrame, windows: DataFrame, users: DataFrame, recent: int | None = None, top: int = TOP) -> DataFrame:
-    return _to_users(top_k(popularity(weekly, windows, recent), WIN, [F.desc("n"), "article_id"], top), users, "popularity")
+def from_popularity(popular: DataFrame, users: DataFrame, top: int = TOP) -> DataFrame:
+    """popular: popularity() of all weeks or of the recent ones."""
+    return _to_users(top_k(popular, WIN, [F.desc("n"), "article_id"], top), users, "popularity")
 
 
 def from_similarity(profile: DataFrame, edges: DataFrame, top: int = TOP) -> DataFrame:
@@ -119,30 +128,22 @@ def from_trend(predictions: DataFrame, edges: DataFrame, windows: DataFrame, use
     return _to_users(top_k(scored, WIN, [F.round("score", 9).desc(), "article_id"], top), users, "trend")
 
 
-def history(weekly: DataFrame, windows: DataFrame, users: DataFrame) -> DataFrame:
-    """Last week and number of purchases of every (user, article) up to the cutoff."""
-    bought = weekly.groupBy("customer_id", "article_id", "week_id").agg(F.count(F.lit(1)).alias("n"))
-    return upto(bought, windows).join(users.select(*USER), USER, "left_semi").groupBy(*ITEM).agg(F.max("week_id").alias("last_week"), F.sum("n").alias("n"))
-
+def from_reorder(past: DataFrame, top: int = TOP) -> DataFrame:
+    return top_k(past, USER, [F.desc("last_week"), F.desc("n"), "article_id"], top).select(*ITEM, F.lit("reorder").alias("source"), F.col("rn").alias("source_rank"))
 
-def from_reorder(weekly: DataFrame, windows: DataFrame, users: DataFrame, top: int = TOP) -> DataFrame:
-    return top_k(history(weekly, windows, users), USER, [F.desc("last_week"), F.desc("n"), "article_id"], top).select(*ITEM, F.lit("reorder").alias("source"), F.col("rn").alias("source_rank"))
 
-
-def variant_rows(reorder: DataFrame, weekly: DataFrame, products: DataFrame, windows: DataFrame, seeds: int = 6, per_seed: int = 3) -> DataFrame:
+def variant_rows(reorder: DataFrame, popular: DataFrame, products: DataFrame, seeds: int = 6, per_seed: int = 3) -> DataFrame:
     """Other articles of the products of a user's first reorder articles, by popularity: the first few of each seed."""
     seed = reorder.where(F.col("source_rank") <= seeds).select(*USER, F.col("article_id").alias("seed_id"), F.col("source_rank").alias("seed_rank"))
     known = products.select("article_id", "product_code")
-    popular = popularity(weekly, windows).join(known, "article_id")
     # a product's candidates are cut to the seeds' needs first: a seed takes the best few that aren't itself
-    best = top_k(popular, [*WIN, "product_code"], [F.desc("n"), "article_id"], per_seed + 1).drop("rn")
+    best = top_k(popular.join(known, "article_id"), [*WIN, "product_code"], [F.desc("n"), "article_id"], per_seed + 1).drop("rn")
     pairs = seed.join(known.withColumnRenamed("article_id", "seed_id"), "seed_id").join(best, [*WIN, "product_code"]).where("article_id <> seed_id")
     return top_k(pairs, [*USER, "seed_id"], [F.desc("n"), "article_id"], per_seed)
 
 
-def from_variants(reorder: DataFrame, weekly: DataFrame, products: DataFrame, windows: DataFrame, top: int = TOP) -> DataFrame:
-    rows = variant_rows(reorder, weekly, products, windows)
-    once = top_k(rows.drop("rn"), ITEM, ["seed_rank", F.desc("n")], 1).drop("rn")
+def from_variants(variants: DataFrame, top: int = TOP) -> DataFrame:
+    once = top_k(variants.drop("rn"), ITEM, ["seed_rank", F.desc("n")], 1).drop("rn")
     return top_k(once, USER, ["seed_rank", F.desc("n"), "article_id"], top).select(*ITEM, F.lit("product_variant").alias("source"), F.col("rn").alias("source_rank"))
 
 
@@ -152,19 +153,18 @@ def age_pool(weekly: DataFrame, profile: DataFrame, windows: DataFrame, pool: in
     return top_k(recent, [*WIN, "age_bucket"], [F.desc("n"), "article_id"], pool)
 
 
-def from_age(weekly: DataFrame, profile: DataFrame, windows: DataFrame, users: DataFrame, top: int = TOP) -> DataFrame:
-    pool = age_pool(weekly, profile, windows).where(F.col("rn") <= top)
+def from_age(pool: DataFrame, profile: DataFrame, users: DataFrame, top: int = TOP) -> DataFrame:
     who = users.select(*USER).join(profile.select("customer_id", "age_bucket"), "customer_id")
-    return who.join(pool, [*WIN, "age_bucket"]).select(*ITEM, F.lit("age_popularity").alias("source"), F.col("rn").alias("source_rank"))
+    return who.join(pool.where(F.col("rn") <= top), [*WIN, "age_bucket"]).select(*ITEM, F.lit("age_popularity").alias("source"), F.col("rn").alias("source_rank"))
 
 
-def attribute_pool(weekly: DataFrame, edges: DataFrame, windows: DataFrame, per: int = 4) -> DataFrame:
-    popular = popularity(weekly, windows, RECENT).join(core_edges(edges), "article_id")
-    return top_k(popular, [*WIN, "attr_id"], [F.desc("n"), "article_id"], per).select(*WIN, "attr_id", "article_id", "n", F.col("rn").alias("attr_rank"))
+def attribute_pool(recent: DataFrame, edges: DataFrame, per: int = 4) -> DataFrame:
+    """The most popular articles of each core attribute in each window; recent: popularity of the last weeks."""
+    return top_k(recent.join(core_edges(edges), "article_id"), [*WIN, "attr_id"], [F.desc("n"), "article_id"], per).select(*WIN, "attr_id", "article_id", "n", F.col("rn").alias("attr_rank"))
 
 
-def from_preference(weekly: DataFrame, edges: DataFrame, profile: DataFrame, windows: DataFrame, top: int = TOP) -> DataFrame:
-    rows = profile.select(*USER, "attr_id", "preference_score").join(attribute_pool(weekly, edges, windows), [*WIN, "attr_id"])
+def from_preference(pool: DataFrame, profile: DataFrame, top: int = TOP) -> DataFrame:
+    rows = profile.select(*USER, "attr_id", "preference_score").join(pool, [*WIN, "attr_id"])
     best = rows.groupBy(*ITEM).agg(F.max("preference_score").alias("p"), F.max("n").alias("n"))
     return top_k(best, USER, [F.round("p", 9).desc(), F.desc("n"), "article_id"], top).select(*ITEM, F.lit("preference_popularity").alias("source"), F.col("rn").alias("source_rank"))
 
@@ -184,29 +184,50 @@ def merge_sources(frames: list[DataFrame], strategy: str) -> DataFrame:
     return one.select(*WIN, F.lit(strategy).alias("strategy"), "customer_id", "article_id", F.array_join(names, "|").alias("candidate_sources"), F.col("best.source").alias("primary_source"), F.col("best.source_rank").alias("best_source_rank"), "mask", (F.col("mask").bitwiseAND(1 << SOURCES.index("reorder")) > 0).alias("has_reorder_source"))
 
 
-def seen(rows: DataFrame, weekly: DataFrame) -> DataFrame:
-    """With is_seen: bought at or before the cutoff."""
-    joined = rows.join(first_weeks(weekly), ["customer_id", "article_id"], "left")
+def seen(rows: DataFrame, first: DataFrame) -> DataFrame:
+    """With is_seen: bought at or before the cutoff. first: first_weeks."""
+    joined = rows.join(first, ["customer_id", "article_id"], "left")
     return joined.withColumn("is_seen", F.coalesce(F.col("first_week") <= F.col("cutoff_week"), F.lit(False))).drop("first_week")
 
 
-def without_seen(rows: DataFrame, weekly: DataFrame, reorder_may: bool = False) -> DataFrame:
-    flagged = seen(rows, weekly)
-    keep = ~F.col("is_seen") | F.col("has_reorder_source") if reorder_may else ~F.col("is_seen")
-    return flagged.where(keep).drop("is_seen")
+def allowed(flagged: DataFrame, reorder_may: bool = False) -> DataFrame:
+    """The rows whose flag is_seen permits them: unseen ones, and with ``reorder_may`` seen ones that the reorder source brought."""
+    return flagged.where(~F.col("is_seen") | F.col("has_reorder_source") if reorder_may else ~F.col("is_seen"))
+
+
+def without_seen(rows: DataFrame, first: DataFrame, reorder_may: bool = False) -> DataFrame:
+    return allowed(seen(rows, first), reorder_may).drop("is_seen")
 
 
 def _attach(rows: DataFrame, score: DataFrame, on: list[str], name: str) -> DataFrame:
     return rows.join(score, on, "left").withColumn(name, F.coalesce(name, F.lit(0.0)))
 
 
+def minmax_groups(rows: DataFrame, name: str, group: list[str]) -> DataFrame:
+    """Min-max within large groups: partial sums of the extremes, a row for each group, joined back."""
+    ends = rows.groupBy(*group).agg(F.min(name).alias("low"), F.max(name).alias("high"))
+    return rows.join(ends, group).withColumn(name, unit_range(F.col(name), F.col("low"), F.col("high"))).drop("low", "high")
+
+
 def _scaled(rows: DataFrame, name: str, group: list[str]) -> DataFrame:
     return rows.withColumn(name, minmax(name, group))
 
 
-def pop_score(rows: DataFrame, weekly: DataFrame, windows: DataFrame, name: str = "pop_score", recent: int | None = None) -> DataFrame:
-    counts = popularity(weekly, windows, recent).withColumn(name, F.col("n").cast("double")).drop("n")
-    return _scaled(_attach(rows, counts, [*WIN, "article_id"], name), name, WIN)
+def unit_range(x: Column, low: Column, high: Column) -> Column:
+    return F.when(low == high, 0.0).otherwise((x - low) / (high - low))
+
+
+def article_scores(rows: DataFrame, popular: DataFrame, recent: DataFrame, trends: DataFrame) -> DataFrame:
+    """With pop_score, recent_score (min-maxed over a window's candidates) and trend_score, which an article has once in a window.
+
+    The extremes come from the distinct articles of a window by partial aggregation, so no task holds a window's candidates; they are a row
+    for each window, of which there are as many as in the broadcast list of windows.
+    """
+    key = [*WIN, "article_id"]
+    each = rows.select(*key).distinct().join(popular.select(*key, F.col("n").cast("double").alias("p")), key, "left").join(recent.select(*key, F.col("n").cast("double").alias("r")), key, "left").join(trends, key, "left").na.fill(0.0)
+    ends = each.groupBy(*WIN).agg(F.min("p").alias("p0"), F.max("p").alias("p1"), F.min("r").alias("r0"), F.max("r").alias("r1"))
+    scored = each.join(F.broadcast(ends), WIN).select(*key, unit_range(F.col("p"), F.col("p0"), F.col("p1")).alias("pop_score"), unit_range(F.col("r"), F.col("r0"), F.col("r1")).alias("recent_score"), "trend_score")
+    return rows.join(scored, key)
 
 
 def sim_score(rows: DataFrame, edges: DataFrame, profile: DataFrame) -> DataFrame:
@@ -225,84 +246,125 @@ def article_trend(predictions: DataFrame, edges: DataFrame, windows: DataFrame)
     return scaled.join(core_edges(edges).select("article_id", "attr_id"), "attr_id").groupBy(*WIN, "article_id").agg((F.sum(F.col("g") * F.col("w")) / F.sum("w")).alias("trend_score"))
 
 
-def trend_score(rows: DataFrame, predictions: DataFrame, edges: DataFrame, windows: DataFrame) -> DataFrame:
-    return _attach(rows, article_trend(predictions, edges, windows), [*WIN, "article_id"], "trend_score")
-
-
-def reorder_score(rows: DataFrame, weekly: DataFrame, windows: DataFrame, users: DataFrame) -> DataFrame:
+def reorder_score(rows: DataFrame, past: DataFrame) -> DataFrame:
     own = Window.partitionBy(*USER)
     last = F.row_number().over(own.orderBy(F.desc("last_week"), F.desc("n"), "article_id"))
     count = F.row_number().over(own.orderBy(F.desc("n"), F.desc("last_week"), "article_id"))
-    ranks = history(weekly, windows, users).select(*ITEM, (0.7 * rank_norm(last, TOP) + 0.3 * rank_norm(count, TOP)).alias("reorder_score"))
+    ranks = past.select(*ITEM, (0.7 * rank_norm(last, TOP) + 0.3 * rank_norm(count, TOP)).alias("reorder_score"))
     out = _attach(rows, ranks, ITEM, "reorder_score").withColumn("reorder_score", F.when(F.col("has_reorder_source"), F.col("reorder_score")).otherwise(0.0))
     return _scaled(out, "reorder_score", USER)
 
 
-def variant_score(rows: DataFrame, reorder: DataFrame, weekly: DataFrame, products: DataFrame, windows: DataFrame) -> DataFrame:
-    pairs = variant_rows(reorder, weekly, products, windows)
-    best = pairs.groupBy(*ITEM).agg(F.max(0.7 * rank_norm(F.col("rn"), TOP) + 0.3 * rank_norm(F.col("seed_rank"), 6)).alias("variant_score"))
+def variant_score(rows: DataFrame, variants: DataFrame) -> DataFrame:
+    best = variants.groupBy(*ITEM).agg(F.max(0.7 * rank_norm(F.col("rn"), TOP) + 0.3 * rank_norm(F.col("seed_rank"), 6)).alias("variant_score"))
     return _scaled(_attach(rows, best, ITEM, "variant_score"), "variant_score", USER)
 
 
-def age_pop_score(rows: DataFrame, weekly: DataFrame, profile: DataFrame, windows: DataFrame) -> DataFrame:
-    pool = age_pool(weekly, profile, windows).select(*WIN, "age_bucket", "article_id", rank_norm(F.col("rn"), TOP).alias("age_pop_score"))
+def age_pop_score(rows: DataFrame, pool: DataFrame, profile: DataFrame) -> DataFrame:
+    scored = pool.select(*WIN, "age_bucket", "article_id", rank_norm(F.col("rn"), TOP).alias("age_pop_score"))
     who = rows.join(profile.select("customer_id", "age_bucket"), "customer_id", "left")
-    return _scaled(_attach(who, pool, [*WIN, "age_bucket", "article_id"], "age_pop_score").drop("age_bucket"), "age_pop_score", USER)
+    return _scaled(_attach(who, scored, [*WIN, "age_bucket", "article_id"], "age_pop_score").drop("age_bucket"), "age_pop_score", USER)
 
 
-def preference_pop_score(rows: DataFrame, weekly: DataFrame, edges: DataFrame, profile: DataFrame, windows: DataFrame) -> DataFrame:
-    pool = attribute_pool(weekly, edges, windows)
+def preference_pop_score(rows: DataFrame, pool: DataFrame, profile: DataFrame) -> DataFrame:
     found = profile.select(*USER, "attr_id", "preference_score").join(pool, [*WIN, "attr_id"]).groupBy(*ITEM).agg(F.max(F.col("preference_score") * rank_norm(F.col("attr_rank"), 4)).alias("preference_pop_score"))
     return _scaled(_attach(rows, found, ITEM, "preference_pop_score"), "preference_pop_score", USER)
 
 
 def source_scores(rows: DataFrame) -> DataFrame:
-    out = rows.withColumns({"source_rank_score": rank_norm(F.col("best_source_rank"), TOP), "source_count_score": F.bit_count("mask") / F.bit_count(F.bit_or("mask").over(Window.partitionBy(*WIN)))})
+    used = F.broadcast(rows.groupBy(*WIN).agg(F.bit_or("mask").alias("used")))  # a row for each window
+    out = rows.join(used, WIN).withColumns({"source_rank_score": rank_norm(F.col("best_source_rank"), TOP), "source_count_score": F.bit_count("mask") / F.bit_count("used")}).drop("used")
     return _scaled(_scaled(out, "source_rank_score", USER), "source_count_score", USER)
 
 
-def weighted(rows: DataFrame, weights: dict[str, float], top: int = TOP) -> DataFrame:
+def without_sources(rows: DataFrame, dropped: set[str]) -> DataFrame:
+    """Candidates by the other sources alone: those of dropped sources only go, and what depends on the sources is computed again. The first
+    source left, in order, becomes the primary one; source scores are min-maxed over a user's candidates from 1 / rank and the number of sources."""
+    left = F.filter(F.split("candidate_sources", r"\|"), lambda x: ~x.isin(*sorted(dropped))) if dropped else F.split("candidate_sources", r"\|")
+    mask = reduce(lambda a, b: a + b, [F.when(F.array_contains("left", name), 1 << k).otherwise(0) for k, name in enumerate(SOURCES)])
+    kept = rows.withColumn("left", left).where(F.size("left") > 0)
+    kept = kept.withColumns({"candidate_sources": F.array_join("left", "|"), "primary_source": F.col("left")[0], "mask": mask, "has_reorder_source": F.array_contains("left", "reorder"), "source_rank_score": 1 / F.col("best_source_rank"), "source_count_score": F.size("left").cast("double")}).drop("left")
+    return _scaled(_scaled(kept, "source_rank_score", USER), "source_count_score", USER)
+
+
+def weighted(rows: DataFrame, weights: dict[str, float], top: int = TOP, by: tuple[str, ...] = ()) -> DataFrame:
     """score and rank: the first ``top`` of each user by the weighted sum, then by article."""
     assert all(w >= 0 for w in weights.values()) and abs(sum(weights.values()) - 1) < 1e-9
     score = reduce(lambda a, b: a + b, [F.col(c) * F.lit(w) for c, w in weights.items()])
-    return top_k(rows.withColumn("score", score), USER, [F.round("score", 9).desc(), "article_id"], top, "rank")
+    return top_k(rows.withColumn("score", score), [*by, *USER], [F.round("score", 9).desc(), "article_id"], top, "rank")
 
 
-def backfill(ranked: DataFrame, weekly: DataFrame, windows: DataFrame, users: DataFrame, recent: int | None, top: int = TOP, pool: int = 50) -> DataFrame:
-    """Users with fewer than ``top`` items get popular ones, not seen and not ranked yet, after their own."""
+def fill_items(ranked: DataFrame, popular: DataFrame, first: DataFrame, users: DataFrame, top: int = TOP, pool: int = 50) -> DataFrame:
+    """Popular items for users with fewer than ``top`` ranked ones: not bought up to the cutoff, not ranked, after their own.
+    popular: popularity of all or of recent weeks; first: first_weeks. source_score falls with the place among the popular."""
     have = ranked.groupBy(*USER).agg(F.count(F.lit(1)).alias("have"))
     short = users.select(*USER).join(have, USER, "left").withColumn("have", F.coalesce("have", F.lit(0))).where(F.col("have") < top)
-    popular = top_k(popularity(weekly, windows, recent), WIN, [F.desc("n"), "article_id"], pool).select(*WIN, "article_id", F.col("rn").alias("source_rank"))
-    offered = seen(short.join(F.broadcast(popular), WIN), weekly).where("NOT is_seen").drop("is_seen").join(ranked.select(*ITEM), ITEM, "left_anti")
-    more = top_k(offered, USER, ["source_rank"], top).withColumn("rank", F.col("have") + F.col("rn")).where(F.col("rank") <= top)
-    return ranked.select(*ITEM, "rank", F.lit(False).alias("is_backfill")).unionByName(more.select(*ITEM, "rank", F.lit(True).alias("is_backfill")))
+    best = top_k(popular, WIN, [F.desc("n"), "article_id"], pool).select(*WIN, "article_id", F.col("rn").alias("source_rank"))
+    offered = seen(short.join(F.broadcast(best), WIN), first).where("NOT is_seen").drop("is_seen").join(ranked.select(*ITEM), ITEM, "left_anti")
+    more = top_k(offered, USER, ["source_rank"], top).withColumn("rank", (F.col("have") + F.col("rn")).cast("int")).where(F.col("rank") <= top)
+    last = F.broadcast(more.agg(F.greatest(F.max("source_rank"), F.lit(1)).alias("last")))
+    return more.crossJoin(last).select(*ITEM, "rank", F.greatest(F.lit(0.0), F.least(F.lit(1.0), (F.col("last") + 1 - F.col("source_rank")) / F.col("last"))).alias("source_score"))
+
+
+ITEM_SCORES = ("pop_score", "recent_score", "sim_score", "trend_score")
+
 
+def with_fill(ranked: DataFrame, fill: DataFrame, mode: str, weights: dict[str, float]) -> DataFrame:
+    """Ranked items and the fill behind them. mode: the score (pop_score or recent_score) that a filled item's source score stands for;
+    its other scores are 0."""
+    scores = {c: F.col("source_score") if c == mode else F.lit(0.0) for c in ITEM_SCORES}
+    score = reduce(lambda a, b: a + b, [scores[c] * F.lit(w) for c, w in weights.items()])
+    own = ranked.select(*ITEM, "rank", "score", *ITEM_SCORES, "candidate_sources", F.lit(False).alias("is_backfill"))
+    more = fill.select(*ITEM, "rank", score.alias("score"), *[x.alias(c) for c, x in scores.items()], F.lit("popularity").alias("candidate_sources"), F.lit(True).alias("is_backfill"))
+    return own.unionByName(more)
 
-def packed(items: DataFrame) -> DataFrame:
+
+def packed(items: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     ordered = F.transform(F.array_sort(F.collect_list(F.struct("rank", "article_id"))), lambda x: x["article_id"])
-    return items.groupBy(*USER).agg(F.array_join(ordered, " ").alias("prediction"))
+    return items.groupBy(*by, *USER).agg(F.array_join(ordered, " ").alias("prediction"))
+
+
+def unpacked(predictions: DataFrame, k: int = TOP) -> DataFrame:
+    """One row per item of a prediction; a prediction with a repeated item or more than ``k`` is an error."""
+    ids = F.filter(F.split(F.trim("prediction"), r"\s+"), lambda x: x != "")
+    checked = F.when((F.size("ids") <= k) & (F.size(F.array_distinct("ids")) == F.size("ids")), F.col("ids")).otherwise(F.raise_error(F.concat(F.lit("prediction repeats an item or is too long: "), F.col("prediction"))))
+    return predictions.withColumn("ids", ids).select(*USER, F.posexplode(checked).alias("p", "article_id")).select(*ITEM, (F.col("p") + 1).cast("long").alias("rank"))
 
 
-def user_metrics(items: DataFrame, users: DataFrame, truth: DataFrame, k: int = TOP) -> DataFrame:
-    """Average precision, recall, hit and NDCG of every target user; users without items score 0."""
-    hits = items.where(F.col("rank") <= k).join(truth, ITEM).select(*USER, "rank")
-    upto_here = F.count(F.lit(1)).over(Window.partitionBy(*USER).orderBy("rank"))
-    gained = hits.withColumn("p", upto_here / F.col("rank")).groupBy(*USER).agg(F.sum("p").alias("ap"), F.count(F.lit(1)).alias("hits"), F.sum(1 / F.log2(F.col("rank") + 1)).alias("dcg"))
+def user_metrics(items: DataFrame, users: DataFrame, truth: DataFrame, k: int = TOP, by: tuple[str, ...] = ()) -> DataFrame:
+    """Average precision, recall, hit and NDCG of every target user; users without items score 0. by: what items are compared over,
+    such as methods; each of its values is held against all users."""
+    keys = [*by, *USER]
+    hits = items.where(F.col("rank") <= k).join(truth, ITEM).select(*keys, "rank")
+    upto_here = F.count(F.lit(1)).over(Window.partitionBy(*keys).orderBy("rank"))
+    gained = hits.withColumn("p", upto_here / F.col("rank")).groupBy(*keys).agg(F.sum("p").alias("ap"), F.count(F.lit(1)).alias("hits"), F.sum(1 / F.log2(F.col("rank") + 1)).alias("dcg"))
     wanted = truth.groupBy(*USER).agg(F.count(F.lit(1)).alias("n"))
     ideal = F.aggregate(F.sequence(F.lit(1), F.least("n", F.lit(k)).cast("int")), F.lit(0.0), lambda a, i: a + 1 / F.log2(i + 1))
-    rows = users.select(*USER).join(wanted, USER).join(gained, USER, "left")
+    rows = users.select(*USER).join(wanted, USER).withColumn("ideal", ideal)
+    rows = (rows.crossJoin(F.broadcast(items.select(*by).distinct())) if by else rows).join(gained, keys, "left")  # a row for each method
+    have = items.select(*keys).distinct().withColumn("has", F.lit(True))
     z = lambda c: F.coalesce(c, F.lit(0))
-    return rows.select(*USER, (z("ap") / F.least("n", F.lit(k))).alias("ap"), (z("hits") / F.col("n")).alias("recall"), (z("hits") > 0).cast("double").alias("hit"), (z("dcg") / ideal).alias("ndcg"))
+    return rows.join(have, keys, "left").select(*keys, (z("ap") / F.least("n", F.lit(k))).alias("ap"), (z("hits") / F.col("n")).alias("recall"), (z("hits") > 0).cast("double").alias("hit"), (z("dcg") / F.col("ideal")).alias("ndcg"), F.col("has").isNull().alias("missing"))
+
+
+METRICS = ("map_at_12", "recall_at_12", "hit_rate_at_12", "ndcg_at_12", "coverage")
 
 
-def evaluate(items: DataFrame, users: DataFrame, truth: DataFrame, pool: DataFrame, k: int = TOP) -> DataFrame:
-    per = user_metrics(items, users, truth, k).groupBy("split").agg(F.count(F.lit(1)).alias("n_users"), F.avg("ap").alias("map_at_12"), F.avg("recall").alias("recall_at_12"), F.avg("hit").alias("hit_rate_at_12"), F.avg("ndcg").alias("ndcg_at_12"))
-    return per.join(coverage(items, pool, k).groupBy("split").agg(F.avg("coverage").alias("coverage_at_12")), "split", "left")
+def evaluate(items: DataFrame, users: DataFrame, truth: DataFrame, pool: DataFrame, k: int = TOP, by: tuple[str, ...] = ()) -> DataFrame:
+    """All metrics by split, with the number of users and of those without any item."""
+    keys = [*by, "split"]
+    per = user_metrics(items, users, truth, k, by).groupBy(*keys).agg(F.avg("ap").alias("map_at_12"), F.avg("recall").alias("recall_at_12"), F.avg("hit").alias("hit_rate_at_12"), F.avg("ndcg").alias("ndcg_at_12"), F.count(F.lit(1)).alias("user_count"), F.count_if("missing").alias("missing_users"))
+    shown = coverage(items, pool, k, by).join(users.select(*WIN).distinct(), WIN, "left_semi").groupBy(*keys).agg(F.avg("coverage").alias("coverage"))
+    return per.join(shown, keys, "left").select(*keys, *METRICS, "user_count", "missing_users")
 
 
-def coverage(items: DataFrame, pool: DataFrame, k: int = TOP) -> DataFrame:
-    shown = items.where(F.col("rank") <= k).select(*WIN, "article_id").distinct().join(pool, [*WIN, "article_id"], "left_semi").groupBy(*WIN).agg(F.count(F.lit(1)).alias("shown"))
-    return pool.groupBy(*WIN).agg(F.count(F.lit(1)).alias("n")).join(shown, WIN, "left").select(*WIN, (F.coalesce("shown", F.lit(0)) / F.col("n")).alias("coverage"))
+def coverage(items: DataFrame, pool: DataFrame, k: int = TOP, by: tuple[str, ...] = ()) -> DataFrame:
+    keys = [*by, *WIN]
+    shown = items.where(F.col("rank") <= k).select(*keys, "article_id").distinct().join(pool, [*WIN, "article_id"], "left_semi").groupBy(*keys).agg(F.count(F.lit(1)).alias("shown"))
+    all_of = pool.groupBy(*WIN).agg(F.count(F.lit(1)).alias("n"))
+    if by:
+        all_of = all_of.crossJoin(F.broadcast(items.select(*by).distinct()))
+    return all_of.join(shown, keys, "left").select(*keys, (F.coalesce("shown", F.lit(0)) / F.col("n")).alias("coverage"))
 
 
 def candidate_recall(rows: DataFrame, truth: DataFrame) -> DataFrame:

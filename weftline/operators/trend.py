@@ -149,7 +149,7 @@ def sibling_features(base: DataFrame, hierarchy: DataFrame) -> DataFrame:
     other = base.select("week_id", F.col("attr_id").alias("sibling_id"), F.col("share_t").alias("s"), F.col("growth_lag_1").alias("g"), F.col("rank_pct").alias("r"))
     own = base.select("week_id", "attr_id", F.col("share_t").alias("own_s"), F.col("growth_lag_1").alias("own_g"))
     mean = lambda c: F.sum(F.col(c) * F.col("weight")) / F.sum("weight")
-    joined = own.join(F.broadcast(sibling_links(hierarchy)), "attr_id").join(other, ["week_id", "sibling_id"])
+    joined = own.join(sibling_links(hierarchy), "attr_id").join(other, ["week_id", "sibling_id"])
     return joined.groupBy("week_id", "attr_id").agg(F.countDistinct("sibling_id").alias("sibling_count"), mean("s").alias("sibling_share"), mean("g").alias("sibling_growth"), mean("r").alias("sibling_rank_pct"), F.max("s").alias("sibling_max_share"), (F.first("own_s") - mean("s")).alias("sibling_share_gap"), (F.first("own_g") - mean("g")).alias("sibling_growth_gap"))
 
 
@@ -165,8 +165,17 @@ def graph_context(samples: DataFrame, nodes: DataFrame, hierarchy: DataFrame) ->
     """All graph columns of a sample; none where there is no such neighbour means 0."""
     base = rank_percent(samples).select("week_id", "attr_id", "heat_t", "share_t", "growth_lag_1", "rank_pct")
     keys = ["week_id", "attr_id"]
-    out = base.join(neighbour_means(base, hierarchy, "parent"), keys, "left").join(neighbour_means(base, hierarchy, "child"), keys, "left").join(sibling_features(base, hierarchy), keys, "left").join(F.broadcast(hierarchy_structure(nodes, hierarchy)), "attr_id", "left")
+    out = base.join(neighbour_means(base, hierarchy, "parent"), keys, "left").join(neighbour_means(base, hierarchy, "child"), keys, "left").join(sibling_features(base, hierarchy), keys, "left").join(hierarchy_structure(nodes, hierarchy), "attr_id", "left")
     gap = lambda a, b: F.coalesce(F.col(a) - F.col(b), F.lit(0.0))
     gaps = [gap(a, f"{s}_{n}").alias(f"{s}_{n}_gap") for s in ("parent", "child") for a, n in (("share_t", "share"), ("growth_lag_1", "growth"))]
     kept = [c for c in out.columns if c not in ("week_id", "attr_id", "heat_t", "share_t", "growth_lag_1")]
     return out.select(*keys, *[F.coalesce(c, F.lit(0)).alias(c) for c in kept], *gaps)
+
+
+def neighbourhood(hierarchy: DataFrame, attribute: str) -> DataFrame:
+    """An attribute's edges to parents and children, and the nodes at their ends, each once."""
+    edges = hierarchy.where((F.col("parent_attr_id") == attribute) | (F.col("child_attr_id") == attribute))
+    nodes = edges.select(F.col("parent_attr_id").alias("attr_id"), F.col("parent_attr_type").alias("attr_type")).union(edges.select("child_attr_id", "child_attr_type")).dropDuplicates()
+    none = F.lit(None).cast("string")
+    shown = edges.select(F.lit("edge").alias("kind"), "parent_attr_id", "child_attr_id", "relation_type", none.alias("attr_id"), none.alias("attr_type"))
+    return shown.unionByName(nodes.select(F.lit("node").alias("kind"), none.alias("parent_attr_id"), none.alias("child_attr_id"), none.alias("relation_type"), "attr_id", "attr_type"))

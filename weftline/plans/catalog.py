@@ -19,7 +19,7 @@ def query(name: str, sql: str | None = None):
 
 
 def _load() -> None:
-    from weftline.plans import checks, reco, trend  # noqa: F401
+    from weftline.plans import cases, checks, reco, stores, trend  # noqa: F401
 
 
 def queries() -> dict:

@@ -4,10 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from weftline.functions.expr import top_k
-from weftline.operators import checks, forecast
+from weftline.operators import checks
 from weftline.plans.catalog import query
-from weftline.plans.sql import rounds
 from weftline.plans.trend import _register
 from weftline.sources import tables
 
@@ -28,29 +26,6 @@ _register("dq_share_distribution", "SELECT count(*) AS n_violations FROM (SELECT
 _register("dq_prediction_align", "SELECT count(*) AS n_violations FROM pred ANTI JOIN samples USING (week_id, attr_id)", lambda t: t.predictions().join(t.samples.select("week_id", "attr_id"), ["week_id", "attr_id"], "left_anti").agg(F.count(F.lit(1)).alias("n_violations")))
 _register("dq_core_types_present", "SELECT CAST(5 - count(DISTINCT attr_type) FILTER (is_core_attr = 1) AS BIGINT) AS n_violations FROM nodes", lambda t: t.nodes.where("is_core_attr = 1").agg((F.lit(5) - F.countDistinct("attr_type")).cast("long").alias("n_violations")))
 
-MA = "SELECT * FROM pred WHERE model_name = 'moving_average' AND split <> 'train'"
-_rank = "row_number() OVER (PARTITION BY week_id, attr_type ORDER BY round(pred_target_growth, 9) DESC, attr_id)"
-
-
-def _trends(t, k: int):
-    rows = forecast.moving_average(t.split).where("split <> 'train'")
-    return top_k(rows, ["week_id", "attr_type"], [F.round("pred_target_growth", 9).desc(), "attr_id"], k)
-
-
-_register("win_topk_trend_attrs", f"SELECT week_id, attr_type, attr_id, rn, round(pred_target_growth, 6) AS pred_target_growth FROM (SELECT *, {_rank} AS rn FROM ({MA})) WHERE rn <= 50", lambda t: _trends(t, 50).select("week_id", "attr_type", "attr_id", "rn", "pred_target_growth"))
-_register("win_core_trends", f"SELECT week_id, attr_type, attr_id, rn FROM (SELECT *, {_rank} AS rn FROM ({MA})) WHERE rn <= 5 AND attr_type IN {tables.CORE_TYPES}", lambda t: _trends(t, 5).where(F.col("attr_type").isin(*tables.CORE_TYPES)).select("week_id", "attr_type", "attr_id", "rn"))
-_register("win_new_high_potential", f"SELECT min(week_id) AS week_id, attr_id FROM (SELECT *, {_rank} AS rn FROM ({MA})) WHERE rn <= 5 GROUP BY attr_id", lambda t: _trends(t, 5).groupBy("attr_id").agg(F.min("week_id").alias("week_id")).select("week_id", "attr_id"))
-_register("win_latest_per_attr", f"SELECT attr_id, max(week_id) AS week_id, round(arg_max(pred_target_growth, week_id), 6) AS pred_target_growth FROM ({MA}) GROUP BY 1", lambda t: forecast.moving_average(t.split).where("split <> 'train'").groupBy("attr_id").agg(F.max("week_id").alias("week_id"), F.max_by("pred_target_growth", "week_id").alias("pred_target_growth")))
-_register("win_heat_at_or_before", f"SELECT attr_id, week_id, heat_cnt, {rounds('heat_share')} FROM (SELECT *, row_number() OVER (PARTITION BY attr_id ORDER BY week_id DESC) AS rn FROM heat WHERE week_id <= 300) WHERE rn <= 8", lambda t: top_k(t.heat.where("week_id <= 300"), ["attr_id"], [F.desc("week_id")], 8).select("attr_id", "week_id", "heat_cnt", "heat_share"))
-_register("agg_growth_histogram", f"SELECT bucket, count(*) AS n FROM (SELECT CASE WHEN round(pred_target_growth, 9) IS NULL THEN 'none' WHEN round(pred_target_growth, 9) < -0.5 THEN 'a' WHEN round(pred_target_growth, 9) < -0.1 THEN 'b' WHEN round(pred_target_growth, 9) < 0.1 THEN 'c' WHEN round(pred_target_growth, 9) < 0.5 THEN 'd' ELSE 'e' END AS bucket FROM ({MA})) GROUP BY 1", lambda t: _histogram(t))
-
-
-def _histogram(t):
-    g = F.round("pred_target_growth", 9)
-    bucket = F.when(g.isNull(), "none").when(g < -0.5, "a").when(g < -0.1, "b").when(g < 0.1, "c").when(g < 0.5, "d").otherwise("e")
-    return forecast.moving_average(t.split).where("split <> 'train'").groupBy(bucket.alias("bucket")).agg(F.count(F.lit(1)).alias("n"))
-
-
 @query("prof_row_counts", "SELECT 'orders' AS table_name, count(*) AS n_rows FROM orders UNION ALL SELECT 'lineitem', count(*) FROM lineitem UNION ALL SELECT 'part', count(*) FROM part UNION ALL SELECT 'customer', count(*) FROM customer")
 def prof_row_counts(spark, sf_dir):
     out = None

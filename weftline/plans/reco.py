@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from functools import cached_property, lru_cache, reduce
+from functools import cached_property, reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -10,35 +10,70 @@ from pyspark.sql import functions as F
 from weftline.functions.expr import rounded, top_k
 from weftline.operators import forecast, reco
 from weftline.plans.catalog import query
-from weftline.plans.reco_sql import ALL_SCORES, RECO, U, W, minmax, ranked
-from weftline.plans.sql import rounds
+from weftline.plans.reco_sql import ALL_SCORES, RECO, U, W, coverage, evaluation, minmax, ranked, user_metrics
 from weftline.plans.trend import Trend
 from weftline.sources import tables
+from weftline.sources.written import written
 
 
 class Reco(Trend):
-    """The recommendation half over one folder, with moving-average forecasts as the trend signal."""
+    """The recommendation half over one folder, with moving-average forecasts as the trend signal.
+
+    Parts that many operators share are written to the shared folder when first used: a query that needs them starts from files with
+    known sizes, and its plan stays small.
+    """
 
     def __init__(self, spark, sf_dir):
         super().__init__(spark, sf_dir)
+        self.by_strategy: dict[str, DataFrame] = {}
+        self.scored: dict[str, DataFrame] = {}
         self.ranked: dict[str, DataFrame] = {}
         self.customers = reco.customer_profile(tables.raw_customers(spark, sf_dir))
-        # parts that many operators share are computed once; the windows are a few rows, so they go into the plan
-        self.weekly, self.edges = self.weekly.persist(), self.edges.persist()
-        self.forecast = forecast.moving_average(self.split).where("split <> 'train'").persist()
-        self.windows = spark.createDataFrame(reco.windows_of(self.forecast).collect(), "split string, cutoff_week long, label_week long")
+        self.weekly, self.edges = self.keep(self.weekly), self.keep(self.edges)
+
+    def keep(self, df: DataFrame) -> DataFrame:
+        return written(df, "reco")
+
+    @cached_property
+    def forecast(self) -> DataFrame:
+        return self.keep(forecast.moving_average(self.split).where("split <> 'train'"))
+
+    @cached_property
+    def windows(self) -> DataFrame:
+        """A few rows: a week each of two splits."""
+        return self.spark.createDataFrame(reco.windows_of(self.forecast).collect(), "split string, cutoff_week long, label_week long")
 
     @cached_property
     def users(self) -> DataFrame:
-        return reco.target_users(self.weekly, self.windows).persist()
+        return self.keep(reco.target_users(self.weekly, self.windows))
 
     @cached_property
     def truth(self) -> DataFrame:
-        return reco.labels(self.weekly, self.users).persist()
+        return self.keep(reco.labels(self.weekly, self.users))
+
+    @cached_property
+    def past(self) -> DataFrame:
+        return self.keep(reco.history(self.weekly, self.users))
+
+    @cached_property
+    def first(self) -> DataFrame:
+        return self.keep(reco.first_weeks(self.weekly))
 
     @cached_property
     def profile(self) -> DataFrame:
-        return reco.user_profile(self.weekly, self.edges, self.windows, self.users).persist()
+        return self.keep(reco.user_profile(self.past, self.edges))
+
+    @cached_property
+    def popular(self) -> DataFrame:
+        return self.keep(reco.popularity(self.weekly, self.windows))
+
+    @cached_property
+    def recent(self) -> DataFrame:
+        return self.keep(reco.popularity(self.weekly, self.windows, reco.RECENT))
+
+    @cached_property
+    def trends(self) -> DataFrame:
+        return self.keep(reco.article_trend(self.forecast, self.edges, self.windows))
 
     @cached_property
     def products(self) -> DataFrame:
@@ -46,175 +81,400 @@ class Reco(Trend):
 
     @cached_property
     def reorder(self) -> DataFrame:
-        return reco.from_reorder(self.weekly, self.windows, self.users).persist()
-
-    def sources(self, recent: bool = True) -> dict[str, DataFrame]:
-        return {
-            "popularity": reco.from_popularity(self.weekly, self.windows, self.users, reco.RECENT if recent else None),
-            "similarity": reco.from_similarity(self.profile, self.edges),
-            "trend": reco.from_trend(self.forecast, self.edges, self.windows, self.users),
-            "reorder": self.reorder,
-            "product_variant": reco.from_variants(self.reorder, self.weekly, self.products, self.windows),
-            "age_popularity": reco.from_age(self.weekly, self.customers, self.windows, self.users),
-            "preference_popularity": reco.from_preference(self.weekly, self.edges, self.profile, self.windows),
-        }
+        return self.keep(reco.from_reorder(self.past))
 
-    def candidates(self, strategy: str = "enhanced_default") -> DataFrame:
-        found = self.sources(recent=strategy != "popularity")
-        return reco.merge_sources([found[s] for s in reco.STRATEGIES[strategy]], strategy)
+    @cached_property
+    def variants(self) -> DataFrame:
+        return self.keep(reco.variant_rows(self.reorder, self.popular, self.products))
 
     @cached_property
-    def features(self) -> DataFrame:
-        """All ten scores, before the seen filter."""
-        rows = self.candidates().persist()
-        rows = reco.pop_score(reco.pop_score(rows, self.weekly, self.windows), self.weekly, self.windows, "recent_score", reco.RECENT)
-        rows = reco.trend_score(reco.sim_score(rows, self.edges, self.profile), self.forecast, self.edges, self.windows)
-        rows = reco.variant_score(reco.reorder_score(rows, self.weekly, self.windows, self.users), self.reorder, self.weekly, self.products, self.windows)
-        rows = reco.preference_pop_score(reco.age_pop_score(rows, self.weekly, self.customers, self.windows), self.weekly, self.edges, self.profile, self.windows)
-        return reco.source_scores(rows).persist()
+    def ages(self) -> DataFrame:
+        return self.keep(reco.age_pool(self.weekly, self.customers, self.windows))
+
+    @cached_property
+    def attributes(self) -> DataFrame:
+        return self.keep(reco.attribute_pool(self.recent, self.edges))
+
+    @cached_property
+    def pool(self) -> DataFrame:
+        return self.keep(reco.recommendable(self.weekly, self.windows))
+
+    def source(self, name: str, recent: bool = True) -> DataFrame:
+        build = {
+            "popularity": lambda: reco.from_popularity(self.recent if recent else self.popular, self.users),
+            "similarity": lambda: reco.from_similarity(self.profile, self.edges),
+            "trend": lambda: reco.from_trend(self.forecast, self.edges, self.windows, self.users),
+            "reorder": lambda: self.reorder,
+            "product_variant": lambda: reco.from_variants(self.variants),
+            "age_popularity": lambda: reco.from_age(self.ages, self.customers, self.users),
+            "preference_popularity": lambda: reco.from_preference(self.attributes, self.profile),
+        }
+        return build[name]()
+
+    def candidates(self, strategy: str = "enhanced_default") -> DataFrame:
+        if strategy not in self.by_strategy:
+            frames = [self.source(s, recent=strategy != "popularity") for s in reco.STRATEGIES[strategy]]
+            self.by_strategy[strategy] = self.keep(reco.merge_sources(frames, strategy))
+        return self.by_strategy[strategy]
+
+    def features(self, strategy: str = "enhanced_default") -> DataFrame:
+        """A strategy's candidates with is_seen and their scores over these candidates: four, or all ten for the enhanced strategy."""
+        if strategy not in self.scored:
+            rows = reco.seen(self.candidates(strategy), self.first)
+            rows = reco.sim_score(reco.article_scores(rows, self.popular, self.recent, self.trends), self.edges, self.profile)
+            if strategy == "enhanced_default":
+                rows = reco.variant_score(reco.reorder_score(rows, self.past), self.variants)
+                rows = reco.preference_pop_score(reco.age_pop_score(rows, self.ages, self.customers), self.attributes, self.profile)
+                rows = reco.source_scores(self.keep(rows))
+            self.scored[strategy] = self.keep(rows)
+        return self.scored[strategy]
+
+    def fill(self, ranked: DataFrame, mode: str) -> DataFrame:
+        return reco.fill_items(ranked, self.popular if mode == "pop_score" else self.recent, self.first, self.users)
 
     def items(self, method: str = "enhanced_pop_similarity_trend") -> DataFrame:
+        """The ranked items of a method. The enhanced one lets reorder items be seen and fills no one up. Where attribute_similarity has no
+        profile or candidates at all, everyone is filled up with recent popular items, which is what it falls back to."""
         if method not in self.ranked:
-            self.ranked[method] = reco.weighted(reco.without_seen(self.features, self.weekly, reorder_may=True), reco.METHODS[method]).persist()
+            mode, rows = reco.FILL.get(method), self.features(reco.STRATEGY[method])
+            best = reco.weighted(reco.allowed(rows, reorder_may=mode is None), reco.METHODS[method])
+            if mode:
+                best = self.keep(best)
+                best = reco.with_fill(best, self.fill(best, mode), mode, reco.METHODS[method])
+            self.ranked[method] = self.keep(best)
         return self.ranked[method]
 
     @cached_property
-    def pool(self) -> DataFrame:
-        return reco.recommendable(self.weekly, self.windows)
+    def every_item(self) -> DataFrame:
+        """The items of all methods."""
+        return self.keep(reduce(DataFrame.unionByName, [self.items(m).select(F.lit(m).alias("method"), *ITEM, "rank") for m in reco.METHODS]))
 
 
-@lru_cache(maxsize=1)
-def shared(spark, sf_dir: str) -> Reco:
-    """The half over one folder; its persisted parts serve all queries of a session."""
-    return Reco(spark, sf_dir)
+_NOW: dict[tuple, Reco] = {}
 
 
-#: Written, but not yet seen to finish soon enough beside the other queries; not registered until they do.
-HELD = {"ev_all", "ex_method_summary", "pr_metrics_summary", "rk_backfill", "ex_weight_grid", "ex_enhanced_grid", "ex_strict_ablation", "ex_trend_buckets"}
+def shared(spark, sf_dir: str) -> Reco:
+    """The half over one folder; its persisted parts serve all queries of a session. One folder is known at a time; files stay for frames that still read them."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _NOW:
+        _NOW.clear()
+        _NOW[key] = Reco(spark, sf_dir)
+    return _NOW[key]
 
 
 def _register(name: str, sql: str | None, build, digits: int = 6) -> None:
-    if name in HELD:
-        return
     query(name, None if sql is None else RECO + sql)(lambda spark, sf_dir: rounded(build(shared(spark, sf_dir)), digits))
 
 
 ITEM = [*reco.USER, "article_id"]
-_register("cust_profile", "SELECT customer_id, age, age_bucket, club_member_status, fashion_news_frequency FROM cust", lambda t: t.customers)
+_register("cust_profile", "SELECT customer_id, age, age_bucket, club_member_status, news_frequency FROM cust", lambda t: t.customers)
 _register("win_reco_windows", "SELECT * FROM win", lambda t: t.windows)
 _register("in_target_users", "SELECT * FROM users", lambda t: t.users)
 _register("in_eval_labels", "SELECT * FROM truth", lambda t: t.truth)
 for _n in ("agg_user_profile", "in_user_profile"):
     _register(_n, f"SELECT {U}, attr_id, attr_type, attr_value, round(preference_score, 6) AS preference_score, purchase_count, last_purchase_week FROM profile", lambda t: t.profile)
-_register("agg_user_history", "SELECT * FROM hist", lambda t: reco.history(t.weekly, t.windows, t.users))
-_register("agg_popularity_cutoff", "SELECT * FROM pop", lambda t: reco.popularity(t.weekly, t.windows))
-_register("join_range_cutoff", "SELECT * FROM rpop", lambda t: reco.popularity(t.weekly, t.windows, reco.RECENT))
+_register("agg_user_history", "SELECT * FROM hist", lambda t: t.past)
+_register("agg_popularity_cutoff", "SELECT * FROM pop", lambda t: t.popular)
+_register("join_range_cutoff", "SELECT * FROM rpop", lambda t: t.recent)
 _register("agg_weekly_popularity", "SELECT * FROM wpop", lambda t: t.weekly.groupBy("week_id", "article_id").agg(F.count(F.lit(1)).alias("n")))
 _register("agg_recommendable_pool", "SELECT * FROM pool", lambda t: t.pool)
-_register("join_cross_users_topn", f"SELECT {U}, article_id, rn AS source_rank FROM users JOIN poprank USING ({W}) WHERE rn <= 12", lambda t: t.sources(recent=False)["popularity"].drop("source"))
+_register("join_cross_users_topn", f"SELECT {U}, article_id, rn AS source_rank FROM users JOIN poprank USING ({W}) WHERE rn <= 12", lambda t: t.source("popularity", recent=False).drop("source"))
 _register("join_concat_axis1_dropna", "SELECT customer_id, a.n AS n_before, b.n AS n_after FROM (SELECT customer_id, count(*) AS n FROM tx WHERE week_id <= 300 GROUP BY 1) a JOIN (SELECT customer_id, count(*) AS n FROM tx WHERE week_id > 300 GROUP BY 1) b USING (customer_id)", lambda t: t.weekly.where("week_id <= 300").groupBy("customer_id").agg(F.count(F.lit(1)).alias("n_before")).join(t.weekly.where("week_id > 300").groupBy("customer_id").agg(F.count(F.lit(1)).alias("n_after")), "customer_id"))
 for _n, _cte, _key in (("ret_recent_popularity", "s_recent", "popularity"), ("ret_similarity", "s_sim", "similarity"), ("ret_trend", "s_trend", "trend"), ("ret_reorder", "s_reorder", "reorder"), ("ret_product_variant", "s_variant", "product_variant"), ("ret_age_popularity", "s_age", "age_popularity"), ("ret_preference_popularity", "s_pref", "preference_popularity")):
-    _register(_n, f"SELECT {U}, article_id, source, source_rank FROM {_cte}", lambda t, k=_key: t.sources()[k].select(*ITEM, "source", "source_rank"))
-_register("ret_popularity", f"SELECT {U}, article_id, source, source_rank FROM s_pop", lambda t: t.sources(recent=False)["popularity"].select(*ITEM, "source", "source_rank"))
+    _register(_n, f"SELECT {U}, article_id, source, source_rank FROM {_cte}", lambda t, k=_key: t.source(k).select(*ITEM, "source", "source_rank"))
+_register("ret_popularity", f"SELECT {U}, article_id, source, source_rank FROM s_pop", lambda t: t.source("popularity", recent=False).select(*ITEM, "source", "source_rank"))
 CAND = f"{W}, strategy, customer_id, article_id, candidate_sources, primary_source, best_source_rank, mask, has_reorder_source"
 _register("ret_merge_sources", f"SELECT {CAND} FROM cand", lambda t: t.candidates())
 _register(
     "ret_strategies",
-    "SELECT 'popularity' AS strategy, count(*) AS n FROM s_pop UNION ALL SELECT 'similarity', count(*) FROM s_sim UNION ALL SELECT 'trend_union', count(*) FROM s_trend UNION ALL SELECT 'default', count(*) FROM cand WHERE mask & 7 > 0 UNION ALL SELECT 'enhanced_default', count(*) FROM cand",
+    "SELECT 'popularity' AS strategy, count(*) AS n FROM s_pop UNION ALL SELECT 'recent_popularity', count(*) FROM s_recent UNION ALL SELECT 'similarity', count(*) FROM s_sim UNION ALL SELECT 'trend_union', count(*) FROM s_trend UNION ALL SELECT 'default', count(*) FROM cand WHERE mask & 7 > 0 UNION ALL SELECT 'enhanced_default', count(*) FROM cand",
     lambda t: reduce(DataFrame.unionByName, [t.candidates(s).groupBy("strategy").agg(F.count(F.lit(1)).alias("n")) for s in reco.STRATEGIES]),
 )
-_register("flag_candidate_seen", f"SELECT {U}, article_id, is_seen FROM feat WHERE is_seen", lambda t: reco.seen(t.candidates(), t.weekly).where("is_seen").select(*ITEM, "is_seen"))
-for _n in ("flt_seen", "flt_cached_seen", "join_anti_drop_existing"):
-    _register(_n, f"SELECT {U}, article_id FROM feat WHERE NOT is_seen", lambda t: reco.without_seen(t.candidates(), t.weekly).select(*ITEM))
-for _n in ("flt_seen_by_source", "dg_seen_filtered"):
-    _register(_n, f"SELECT {U}, article_id FROM feat WHERE NOT is_seen OR has_reorder_source", lambda t: reco.without_seen(t.candidates(), t.weekly, True).select(*ITEM))
+_register("flag_candidate_seen", f"SELECT {U}, article_id, is_seen FROM feat WHERE is_seen", lambda t: t.features().where("is_seen").select(*ITEM, "is_seen"))
+_register("flt_seen", f"SELECT {U}, article_id FROM feat WHERE NOT is_seen", lambda t: reco.without_seen(t.candidates(), t.first).select(*ITEM))
+_register("flt_seen_by_source", f"SELECT {U}, article_id FROM feat WHERE NOT is_seen OR has_reorder_source", lambda t: reco.without_seen(t.candidates(), t.first, True).select(*ITEM))
+# both policies over flags that are kept with the candidates
+_register(
+    "flt_cached_seen",
+    f"SELECT 'strict' AS policy, {U}, article_id FROM feat WHERE NOT is_seen UNION ALL SELECT 'by_source', {U}, article_id FROM feat WHERE NOT is_seen OR has_reorder_source",
+    lambda t: reco.allowed(t.features()).select(F.lit("strict").alias("policy"), *ITEM).unionByName(reco.allowed(t.features(), True).select(F.lit("by_source").alias("policy"), *ITEM)),
+)
+_register("join_anti_drop_existing", f"SELECT {U}, article_id FROM feat_dflt ANTI JOIN it_pop_similarity_trend USING ({U}, article_id)", lambda t: t.candidates("default").select(*ITEM).join(t.items("pop_similarity_trend").select(*ITEM), ITEM, "left_anti"))
+_register(
+    "dg_seen_filtered",
+    f"SELECT split, count(*) AS n_candidates, count(*) FILTER (NOT is_seen OR has_reorder_source) AS n_kept, count(*) FILTER (is_seen AND NOT has_reorder_source) AS n_dropped FROM feat GROUP BY 1",
+    lambda t: t.features().groupBy("split").agg(F.count(F.lit(1)).alias("n_candidates"), F.count_if(~F.col("is_seen") | F.col("has_reorder_source")).alias("n_kept"), F.count_if(F.col("is_seen") & ~F.col("has_reorder_source")).alias("n_dropped")),
+)
 for _n, _c in (("sc_pop", "pop_score"), ("sc_recent", "recent_score"), ("sc_sim", "sim_score"), ("sc_trend", "trend_score"), ("sc_reorder", "reorder_score"), ("sc_variant", "variant_score"), ("sc_age_pop", "age_pop_score"), ("sc_preference_pop", "preference_pop_score"), ("sc_source_rank", "source_rank_score"), ("sc_source_count", "source_count_score")):
-    _register(_n, f"SELECT {U}, article_id, round({_c}, 6) AS {_c} FROM feat", lambda t, c=_c: t.features.select(*ITEM, c))
-_register("sc_all_features", f"SELECT {U}, article_id, {ALL_SCORES} FROM feat", lambda t: t.features.select(*ITEM, *reco.SCORES))
-_register("sc_article_trend", f"SELECT {W}, article_id, round(v, 6) AS trend_score FROM atrend", lambda t: reco.article_trend(t.forecast, t.edges, t.windows))
-_register("sc_minmax_group", f"SELECT {W}, article_id, round({minmax('n', 'PARTITION BY ' + W)}, 6) AS score FROM pop", lambda t: reco._scaled(reco.popularity(t.weekly, t.windows).withColumnRenamed("n", "score"), "score", reco.WIN))
+    _register(_n, f"SELECT {U}, article_id, round({_c}, 6) AS {_c} FROM feat", lambda t, c=_c: t.features().select(*ITEM, c))
+_register("sc_all_features", f"SELECT {U}, article_id, {ALL_SCORES} FROM feat", lambda t: t.features().select(*ITEM, *reco.SCORES))
+_register("sc_article_trend", f"SELECT {W}, article_id, round(v, 6) AS trend_score FROM atrend", lambda t: t.trends)
+_register("sc_minmax_group", f"SELECT {W}, article_id, round({minmax('n', 'PARTITION BY ' + W)}, 6) AS score FROM pop", lambda t: reco.minmax_groups(t.popular.withColumnRenamed("n", "score"), "score", reco.WIN))
 _register("sc_rank_norm", f"SELECT {U}, article_id, round(greatest(0.0, least(1.0, (12 - source_rank + 1) / 12.0)), 6) AS score FROM s_reorder", lambda t: t.reorder.select(*ITEM, reco.rank_norm(F.col("source_rank"), 12).alias("score")))
 _register("rk_weighted_topk", f"SELECT {U}, article_id, round(score, 6) AS score, rank FROM items", lambda t: t.items().select(*ITEM, "score", "rank"))
-for _m in reco.METHODS:
-    _register("md_enhanced" if _m.startswith("enhanced") else f"md_{_m}", f"SELECT {U}, article_id, round(score, 6) AS score, rank FROM ({ranked(reco.METHODS[_m])})", lambda t, m=_m: t.items(m).select(*ITEM, "score", "rank"))
+_register("md_enhanced", f"SELECT {U}, article_id, round(score, 6) AS score, rank FROM items", lambda t: t.items().select(*ITEM, "score", "rank"))
+for _m in reco.FILL:
+    _register(f"md_{_m}", f"SELECT {U}, article_id, round(score, 6) AS score, rank, is_backfill FROM it_{_m}", lambda t, m=_m: t.items(m).select(*ITEM, "score", "rank", "is_backfill"))
 _register("rk_items", f"SELECT {U}, i.article_id, rank, round(score, 6) AS score, {ALL_SCORES}, candidate_sources FROM items i JOIN feat USING ({U}, article_id)", lambda t: t.items().select(*ITEM, "rank", "score", *reco.SCORES, "candidate_sources"))
 _register("rk_pack", f"SELECT {U}, string_agg(article_id, ' ' ORDER BY rank) AS prediction FROM items GROUP BY ALL", lambda t: reco.packed(t.items()))
-_register("ev_parse_prediction", f"SELECT {U}, article_id, rank FROM items", lambda t: reco.packed(t.items()).select(*reco.USER, F.posexplode(F.split("prediction", " ")).alias("p", "article_id")).select(*ITEM, (F.col("p") + 1).cast("long").alias("rank")))
-FILL = f"SELECT * FROM (SELECT {U}, have, row_number() OVER (PARTITION BY {U} ORDER BY p.rn) + have AS rank, p.article_id FROM (SELECT {U}, coalesce(have, 0) AS have FROM users LEFT JOIN (SELECT {U}, count(*) AS have FROM items GROUP BY ALL) USING ({U}) WHERE coalesce(have, 0) < 12) JOIN rpoprank p USING ({W}) LEFT JOIN firstw f USING (customer_id, article_id) ANTI JOIN items USING ({U}, article_id) WHERE p.rn <= 50 AND coalesce(first_week > cutoff_week, true)) WHERE rank <= 12"
-_register("rk_backfill", f"SELECT {U}, article_id, rank, false AS is_backfill FROM items UNION ALL SELECT {U}, article_id, rank, true FROM ({FILL})", lambda t: reco.backfill(t.items(), t.weekly, t.windows, t.users, reco.RECENT))
-_register("rk_underfilled", f"SELECT {W}, count(*) AS n_users, count(*) FILTER (coalesce(have, 0) < 12) AS n_short FROM users LEFT JOIN (SELECT {U}, count(*) AS have FROM items GROUP BY ALL) USING ({U}) GROUP BY ALL", lambda t: t.users.join(t.items().groupBy(*reco.USER).agg(F.count(F.lit(1)).alias("have")), reco.USER, "left").groupBy(*reco.WIN).agg(F.count(F.lit(1)).alias("n_users"), F.count_if(F.coalesce("have", F.lit(0)) < 12).alias("n_short")))
+_register("ev_parse_prediction", f"SELECT {U}, article_id, rank FROM items", lambda t: reco.unpacked(reco.packed(t.items())))
+MAIN = "pop_similarity_trend"
+FOUR = "round(pop_score, 6) AS pop_score, round(recent_score, 6) AS recent_score, round(sim_score, 6) AS sim_score, round(trend_score, 6) AS trend_score"
+_register("rk_backfill", f"SELECT {U}, article_id, rank, round(score, 6) AS score, {FOUR}, candidate_sources, is_backfill FROM it_{MAIN}", lambda t: t.items(MAIN))
+_have = f"SELECT {U}, count(*) FILTER (NOT is_backfill) AS b, count(*) AS a FROM it_{MAIN} GROUP BY ALL"
+_register(
+    "rk_underfilled",
+    f"SELECT {W}, count(*) AS n_users, count(*) FILTER (coalesce(b, 0) < 12) AS n_short_before, count(*) FILTER (coalesce(a, 0) < 12) AS n_short_after FROM users LEFT JOIN ({_have}) USING ({U}) GROUP BY ALL",
+    lambda t: t.users.join(t.items(MAIN).groupBy(*reco.USER).agg(F.count_if(~F.col("is_backfill")).alias("b"), F.count(F.lit(1)).alias("a")), reco.USER, "left").groupBy(*reco.WIN).agg(F.count(F.lit(1)).alias("n_users"), F.count_if(F.coalesce("b", F.lit(0)) < 12).alias("n_short_before"), F.count_if(F.coalesce("a", F.lit(0)) < 12).alias("n_short_after")),
+)
 _register("join_hash_hit_flag", f"SELECT {U}, i.article_id, rank, CAST(t.article_id IS NOT NULL AS INTEGER) AS is_hit FROM items i LEFT JOIN truth t USING ({U}, article_id)", lambda t: t.items().join(t.truth.withColumn("is_hit", F.lit(1)), ITEM, "left").select(*ITEM, "rank", F.coalesce("is_hit", F.lit(0)).alias("is_hit")))
 for _n, _c in (("ev_map", "ap"), ("ev_recall", "recall"), ("ev_hit_rate", "hit"), ("ev_ndcg", "ndcg")):
-    _register(_n, f"SELECT {U}, round({_c}, 6) AS {_c} FROM um", lambda t, c=_c: reco.user_metrics(t.items(), t.users, t.truth).select(*reco.USER, c))
-_register("ev_coverage", f"SELECT {W}, round(coverage, 6) AS coverage FROM cov", lambda t: reco.coverage(t.items(), t.pool))
-EVAL = "SELECT split, count(*) AS n_users, round(avg(ap), 6) AS map_at_12, round(avg(recall), 6) AS recall_at_12, round(avg(hit), 6) AS hit_rate_at_12, round(avg(ndcg), 6) AS ndcg_at_12, round((SELECT avg(coverage) FROM cov WHERE cov.split = um.split), 6) AS coverage_at_12 FROM um GROUP BY split"
-_register("ev_all", EVAL, lambda t: reco.evaluate(t.items(), t.users, t.truth, t.pool))
-_register("dg_candidate_recall", f"SELECT split, count(*) AS n_labels, count(c.article_id) AS n_found, round(avg(CAST(c.article_id IS NOT NULL AS INTEGER)), 6) AS candidate_recall FROM truth t LEFT JOIN cand c USING ({U}, article_id) GROUP BY 1", lambda t: reco.candidate_recall(t.candidates(), t.truth))
-_register("dg_source_credit", f"SELECT split, source, round(sum(1.0 / len(string_split(candidate_sources, '|'))), 6) AS credit, count(*) FILTER (source = primary_source) AS n_primary FROM (SELECT *, unnest(string_split(candidate_sources, '|')) AS source FROM cand SEMI JOIN truth USING ({U}, article_id)) GROUP BY 1, 2", lambda t: reco.source_credit(t.candidates(), t.truth))
-_register("dg_avg_candidates", f"SELECT split, count(*) AS n_rows, round(count(*) / CAST(count(DISTINCT (cutoff_week, customer_id)) AS DOUBLE), 6) AS per_user FROM cand GROUP BY 1", lambda t: t.candidates().groupBy("split").agg(F.count(F.lit(1)).alias("n_rows"), (F.count(F.lit(1)) / F.countDistinct("cutoff_week", "customer_id")).alias("per_user")))
-_register("dg_source_coverage", "SELECT split, source, count(*) AS n_rows FROM allsources GROUP BY 1, 2", lambda t: t.candidates().select("split", F.explode(F.split("candidate_sources", r"\|")).alias("source")).groupBy("split", "source").agg(F.count(F.lit(1)).alias("n_rows")))
+    _register(_n, f"SELECT {U}, round({_c}, 6) AS {_c} FROM ({user_metrics('items')})", lambda t, c=_c: reco.user_metrics(t.items(), t.users, t.truth).select(*reco.USER, c))
+_register("ev_coverage", f"SELECT {W}, round(coverage, 6) AS coverage FROM ({coverage('items')})", lambda t: reco.coverage(t.items(), t.pool))
+_register("ev_all", evaluation("items"), lambda t: reco.evaluate(t.items(), t.users, t.truth, t.pool))
+STAGES = (("pre_seen", "true"), ("post_seen", "NOT is_seen OR has_reorder_source"))
 
-# The weight grid, in the order pop, sim, trend, recent.
-GRID = ((0.4, 0.2, 0.3, 0.1), (0.4, 0.3, 0.2, 0.1), (0.3, 0.3, 0.3, 0.1), (0.2, 0.4, 0.3, 0.1), (0.4, 0.1, 0.0, 0.5), (0.3, 0.1, 0.2, 0.4), (0.3, 0.0, 0.2, 0.5), (0.2, 0.1, 0.2, 0.5), (0.2, 0.0, 0.3, 0.5), (0.4, 0.0, 0.1, 0.5), (0.2, 0.2, 0.1, 0.5), (0.3, 0.2, 0.1, 0.4), (0.4, 0.2, 0.0, 0.4), (0.4, 0.1, 0.1, 0.4), (0.3, 0.2, 0.2, 0.3), (0.3, 0.1, 0.3, 0.3), (0.4, 0.1, 0.2, 0.3), (0.4, 0.2, 0.1, 0.3), (0.2, 0.3, 0.2, 0.3), (0.2, 0.2, 0.3, 0.3), (0.3, 0.3, 0.0, 0.4), (0.4, 0.3, 0.0, 0.3), (0.2, 0.3, 0.0, 0.5), (0.2, 0.2, 0.4, 0.2), (0.3, 0.0, 0.4, 0.3))
-GRID_SCORES = ("pop_score", "sim_score", "trend_score", "recent_score")
 
+def by_stage(t: Reco, build) -> DataFrame:
+    """A diagnostic of the candidates before and after the source policy's seen filter."""
+    return reduce(DataFrame.unionByName, [build(t.features().where(rule)).withColumn("stage", F.lit(stage)) for stage, rule in STAGES])
 
-def grid_metrics(t: Reco, grid: list[tuple], scores: tuple[str, ...]) -> DataFrame:
-    """Every weight vector scored in one pass: candidates times a broadcast grid of a few rows."""
-    vectors = F.broadcast(t.spark.createDataFrame([(k, list(w)) for k, w in enumerate(grid)], "grid_index int, w array<double>"))
-    rows = reco.without_seen(t.features, t.weekly, True).where("split = 'valid'").crossJoin(vectors)
-    score = reduce(lambda a, b: a + b, [F.col(c) * F.col("w")[k] for k, c in enumerate(scores)])
-    user = ["grid_index", *reco.USER]
-    items = top_k(rows.withColumn("score", score), user, [F.round("score", 9).desc(), "article_id"], reco.TOP, "rank")
-    hits = items.join(t.truth, ITEM).groupBy(*user).agg(F.sum(1 / F.log2(F.col("rank") + 1)).alias("dcg"))
-    wanted = t.truth.where("split = 'valid'").groupBy(*reco.USER).agg(F.least(F.count(F.lit(1)), F.lit(12)).alias("n"))
-    ideal = F.aggregate(F.sequence(F.lit(1), F.col("n").cast("int")), F.lit(0.0), lambda a, i: a + 1 / F.log2(i + 1))
-    scored = wanted.withColumn("ideal", ideal).crossJoin(vectors.select("grid_index")).join(hits, user, "left")
-    return scored.groupBy("grid_index").agg(F.avg(F.coalesce("dcg", F.lit(0.0)) / F.col("ideal")).alias("ndcg_at_12"))
+
+def stages_sql(select: str) -> str:
+    """select: a query over c, the candidates of a stage."""
+    return " UNION ALL ".join(f"(WITH c AS (SELECT * FROM feat WHERE {rule}) {select.replace('STAGE', stage)})" for stage, rule in STAGES)
+
+
+RECALL = f"SELECT 'STAGE' AS stage, split, count(*) AS n_labels, count(c.article_id) AS n_found, round(avg(CAST(c.article_id IS NOT NULL AS INTEGER)), 6) AS candidate_recall FROM truth t LEFT JOIN c USING ({U}, article_id) GROUP BY 2"
+_register("dg_candidate_recall", stages_sql(RECALL), lambda t: by_stage(t, lambda rows: reco.candidate_recall(rows, t.truth)))
+CREDIT = f"SELECT 'STAGE' AS stage, split, source, round(sum(1.0 / len(string_split(candidate_sources, '|'))), 6) AS credit, count(*) FILTER (source = primary_source) AS n_primary FROM (SELECT *, unnest(string_split(candidate_sources, '|')) AS source FROM c SEMI JOIN truth USING ({U}, article_id)) GROUP BY 2, 3"
+PER_USER = "SELECT 'STAGE' AS stage, split, round(n / CAST(m AS DOUBLE), 6) AS per_user FROM (SELECT split, count(*) AS n FROM c GROUP BY 1) JOIN (SELECT split, count(*) AS m FROM users GROUP BY 1) USING (split)"
+SHARES = "SELECT 'STAGE' AS stage, split, source, count(*) AS n_rows FROM (SELECT split, unnest(string_split(candidate_sources, '|')) AS source FROM c) GROUP BY 2, 3"
+
+
+def per_user(t: Reco, rows: DataFrame) -> DataFrame:
+    users = t.users.groupBy("split").agg(F.count(F.lit(1)).alias("m"))
+    return rows.groupBy("split").agg(F.count(F.lit(1)).alias("n")).join(users, "split").select("split", (F.col("n") / F.col("m")).alias("per_user"))
 
 
-def _grid_sql(grid, scores) -> str:
-    values = ", ".join(f"({k}, {', '.join(map(str, w))})" for k, w in enumerate(grid))
-    names = ", ".join(f"w{k}" for k in range(len(scores)))
-    total = " + ".join(f"{c} * w{k}" for k, c in enumerate(scores))
-    return f"""SELECT grid_index, round(avg(coalesce(dcg, 0.0) / ideal), 6) AS ndcg_at_12 FROM (SELECT {U}, list_sum(list_transform(range(1, CAST(least(count(*), 12) + 1 AS BIGINT)), lambda i: 1 / log2(i + 1))) AS ideal FROM truth WHERE split = 'valid' GROUP BY ALL)
-    CROSS JOIN (SELECT CAST(column0 AS INTEGER) AS grid_index FROM (VALUES {values}))
-    LEFT JOIN (SELECT grid_index, {U}, sum(1 / log2(rank + 1)) AS dcg FROM (SELECT *, row_number() OVER (PARTITION BY grid_index, {U} ORDER BY round(score, 9) DESC, article_id) AS rank
-      FROM (SELECT grid_index, {U}, article_id, {total} AS score FROM feat CROSS JOIN (SELECT * FROM (VALUES {values}) g(grid_index, {names})) WHERE split = 'valid' AND (NOT is_seen OR has_reorder_source))) JOIN truth USING ({U}, article_id) WHERE rank <= 12 GROUP BY ALL) USING (grid_index, {U}) GROUP BY grid_index"""
+def source_rows(rows: DataFrame) -> DataFrame:
+    return rows.select("split", F.explode(F.split("candidate_sources", r"\|")).alias("source")).groupBy("split", "source").agg(F.count(F.lit(1)).alias("n_rows"))
 
 
+def diagnostics(t: Reco) -> DataFrame:
+    """All diagnostics of the candidates as one table: stage, split, diagnostic, source (empty where there is none), value."""
+
+    def all_of(rows: DataFrame) -> DataFrame:
+        long = lambda df, name, source, value: df.select("split", F.lit(name).alias("diagnostic"), source.alias("source"), F.col(value).cast("double").alias("value"))
+        none, credit = F.lit(""), reco.source_credit(rows, t.truth)
+        recall = reco.candidate_recall(rows, t.truth)
+        parts = [long(recall, n, none, n) for n in ("n_labels", "n_found", "candidate_recall")] + [long(credit, n, F.col("source"), n) for n in ("credit", "n_primary")]
+        parts += [long(per_user(t, rows), "per_user", none, "per_user"), long(source_rows(rows), "n_rows", F.col("source"), "n_rows")]
+        return reduce(DataFrame.unionByName, parts)
+
+    return by_stage(t, all_of)
+
+
+_long = lambda sql, names, source: " UNION ALL ".join(f"SELECT stage, split, '{n}' AS diagnostic, {source} AS source, CAST({n} AS DOUBLE) AS value FROM ({stages_sql(sql)})" for n in names)
+_register("dg_payload", "SELECT * FROM (" + " UNION ALL ".join((_long(RECALL, ("n_labels", "n_found", "candidate_recall"), "''"), _long(CREDIT, ("credit", "n_primary"), "source"), _long(PER_USER, ("per_user",), "''"), _long(SHARES, ("n_rows",), "source"))) + ")", diagnostics)
+_register("dg_source_credit", stages_sql(CREDIT), lambda t: by_stage(t, lambda rows: reco.source_credit(rows, t.truth)))
+_register("dg_avg_candidates", stages_sql(PER_USER), lambda t: by_stage(t, lambda rows: per_user(t, rows)))
+_register("dg_source_coverage", stages_sql(SHARES), lambda t: by_stage(t, source_rows))
+
+# The weight grid, in the order pop, sim, trend, recent.
+GRID = ((0.4, 0.2, 0.3, 0.1), (0.4, 0.3, 0.2, 0.1), (0.3, 0.3, 0.3, 0.1), (0.2, 0.4, 0.3, 0.1), (0.4, 0.1, 0.0, 0.5), (0.3, 0.1, 0.2, 0.4), (0.3, 0.0, 0.2, 0.5), (0.2, 0.1, 0.2, 0.5), (0.2, 0.0, 0.3, 0.5), (0.4, 0.0, 0.1, 0.5), (0.2, 0.2, 0.1, 0.5), (0.3, 0.2, 0.1, 0.4), (0.4, 0.2, 0.0, 0.4), (0.4, 0.1, 0.1, 0.4), (0.3, 0.2, 0.2, 0.3), (0.3, 0.1, 0.3, 0.3), (0.4, 0.1, 0.2, 0.3), (0.4, 0.2, 0.1, 0.3), (0.2, 0.3, 0.2, 0.3), (0.2, 0.2, 0.3, 0.3), (0.3, 0.3, 0.0, 0.4), (0.4, 0.3, 0.0, 0.3), (0.2, 0.3, 0.0, 0.5), (0.2, 0.2, 0.4, 0.2), (0.3, 0.0, 0.4, 0.3))
+GRID_SCORES = ("pop_score", "sim_score", "trend_score", "recent_score")
+
+
+# The enhanced grid in hundredths, in the order of SCORES; the scores that strict ablations drop; a method's name in reports.
 ENHANCED_GRID = [tuple(x / 100 for x in row) for row in ((14, 30, 10, 8, 16, 8, 4, 4, 3, 3), (16, 28, 10, 8, 16, 8, 4, 4, 3, 3), (12, 32, 10, 8, 16, 8, 4, 4, 3, 3))]
+STRICT = (("without_trend_in_rec", "w/o Trend in Rec", "trend_score"), ("without_similarity", "w/o Similarity", "sim_score"), ("without_recent", "w/o Recent", "recent_score"))
+BASELINE_VARIANTS = (("recent_only_baseline", "recent_popularity"), ("pop_similarity_baseline", "pop_similarity"))
+#: Variants of the enhanced method: sources and scores that go; whether the seen filter loses its exception.
+SOURCE_VARIANTS = (("full_model", (), (), False), ("without_trend_score", (), ("trend_score",), False), ("without_trend_source_score", ("trend",), ("trend_score",), False), ("without_reorder_variant", ("reorder", "product_variant"), ("reorder_score", "variant_score"), False), ("without_customer_segment", ("age_popularity",), ("age_pop_score",), False), ("enhanced_seen_filtered", (), (), True))
 
 
-def strict_ablations(weights: dict[str, float]) -> dict[str, dict[str, float]]:
-    """Each score dropped in turn, the other weights brought back to a sum of 1."""
-    out = {}
-    for gone in weights:
-        rest = sum(w for c, w in weights.items() if c != gone)
-        out[gone] = {c: 0.0 if c == gone else w / rest for c, w in weights.items()}
-    return out
+def dropped_weights(weights: dict[str, float], gone: tuple[str, ...]) -> dict[str, float]:
+    """The weights without some of them, the others brought back to a sum of 1."""
+    rest = sum(w for c, w in weights.items() if c not in gone)
+    return {c: 0.0 if c in gone else w / rest for c, w in weights.items()}
 
 
-STRICT = [tuple(x[c] for c in GRID_SCORES) for x in strict_ablations(reco.METHODS["pop_similarity_trend"]).values()]
-_register("ex_weight_grid", _grid_sql(GRID, GRID_SCORES), lambda t: grid_metrics(t, list(GRID), GRID_SCORES))
-_register("ex_enhanced_grid", _grid_sql(ENHANCED_GRID, reco.SCORES), lambda t: grid_metrics(t, ENHANCED_GRID, reco.SCORES))
-_register("ex_strict_ablation", _grid_sql(STRICT, GRID_SCORES), lambda t: grid_metrics(t, STRICT, GRID_SCORES))
-_register(
-    "ex_trend_buckets",
-    f"SELECT trend_weight, arg_min(grid_index, -ndcg_at_12 * 1000000 * 100 + grid_index) AS grid_index, max(ndcg_at_12) AS ndcg_at_12 FROM ({_grid_sql(GRID, GRID_SCORES)}) JOIN (SELECT CAST(column0 AS INTEGER) AS grid_index, CAST(column1 AS DOUBLE) AS trend_weight FROM (VALUES {', '.join(f'({k}, {w[2]})' for k, w in enumerate(GRID))})) USING (grid_index) GROUP BY 1",
-    lambda t: top_k(rounded(grid_metrics(t, list(GRID), GRID_SCORES)).join(F.broadcast(t.spark.createDataFrame([(k, w[2]) for k, w in enumerate(GRID)], "grid_index int, trend_weight double")), "grid_index"), ["trend_weight"], [F.desc("ndcg_at_12"), "grid_index"], 1).select("trend_weight", "grid_index", "ndcg_at_12"),
+def by_vectors(t: Reco, rows: DataFrame, vectors: DataFrame, scores: tuple[str, ...], by: str, mode: str | None) -> DataFrame:
+    """Items of every weight vector (by, w) in one pass: candidates times a broadcast list of a few rows. Who has too few candidates
+    has them all ranked by any vector, so the fill is the same for all."""
+    allowed = reco.allowed(rows, reorder_may=mode is None)
+    score = reduce(lambda a, b: a + b, [F.col(c) * F.col("w")[k] for k, c in enumerate(scores)])
+    crossed = allowed.select(*ITEM, *scores).crossJoin(F.broadcast(vectors)).withColumn("score", score)
+    items = top_k(crossed, [by, *reco.USER], [F.round("score", 9).desc(), "article_id"], reco.TOP, "rank").select(by, *ITEM, "rank")
+    if mode:
+        some = top_k(allowed.select(*ITEM), reco.USER, ["article_id"], reco.TOP, "rank")
+        items = items.unionByName(t.fill(some, mode).select(*ITEM, "rank").crossJoin(F.broadcast(vectors.select(by))))
+    return t.keep(items)
+
+
+def valid(df: DataFrame) -> DataFrame:
+    return df.where("split = 'valid'")
+
+
+def grid_metrics(t: Reco) -> DataFrame:
+    """The 25 weight vectors on the valid windows, with their place by NDCG, then index."""
+    if "grid" not in t.ranked:
+        vectors = t.spark.createDataFrame([(k, list(w)) for k, w in enumerate(GRID)], "grid_index int, w array<double>")
+        items = by_vectors(t, valid(t.features("default")), vectors, GRID_SCORES, "grid_index", reco.FILL[MAIN]).where("split = 'valid'")
+        found = rounded(reco.evaluate(items, valid(t.users), valid(t.truth), valid(t.pool), by=("grid_index",)))
+        t.ranked["grid"] = t.keep(top_k(found.join(F.broadcast(vectors), "grid_index"), ["split"], [F.desc("ndcg_at_12"), "grid_index"], len(GRID), "place"))
+    return t.ranked["grid"]
+
+
+def variant_metrics(t: Reco, vectors: DataFrame) -> DataFrame:
+    """Metrics of the main method by split, for weight vectors (variant_id, w)."""
+    items = by_vectors(t, t.features("default"), vectors, GRID_SCORES, "variant_id", reco.FILL[MAIN])
+    return reco.evaluate(items, t.users, t.truth, t.pool, by=("variant_id",))
+
+
+def best_vectors(t: Reco) -> DataFrame:
+    """variant_id and w: the best grid vector, and it without a score, the others brought back to a sum of 1."""
+    best = grid_metrics(t).where("place = 1").select("w")
+    one = [best.select(F.lit("full_model").alias("variant_id"), "w")]
+    for variant, _, gone in STRICT:
+        k = GRID_SCORES.index(gone)
+        left = F.array(*[F.lit(0.0) if i == k else F.col("w")[i] / (1 - F.col("w")[k]) for i in range(len(GRID_SCORES))])
+        one.append(best.select(F.lit(variant).alias("variant_id"), left.alias("w")))
+    return reduce(DataFrame.unionByName, one)
+
+
+def best_metrics(t: Reco) -> DataFrame:
+    if "best" not in t.ranked:
+        t.ranked["best"] = t.keep(rounded(variant_metrics(t, best_vectors(t))))
+    return t.ranked["best"]
+
+
+def method_summary(t: Reco) -> DataFrame:
+    if "methods" not in t.ranked:
+        t.ranked["methods"] = t.keep(rounded(reco.evaluate(t.every_item, t.users, t.truth, t.pool, by=("method",))))
+    return t.ranked["methods"]
+
+
+def named_ablation(t: Reco) -> DataFrame:
+    """The full model, its strict ablations and two baselines side by side."""
+    out = [best_metrics(t).withColumn("method", F.lit(MAIN))]
+    out += [method_summary(t).where(F.col("method") == m).withColumn("variant_id", F.lit(v)) for v, m in BASELINE_VARIANTS]
+    return reduce(DataFrame.unionByName, out).select("variant_id", "method", "split", *METRIC_NAMES)
+
+
+def trend_buckets(t: Reco) -> DataFrame:
+    """The best grid vector of each trend weight, with its metrics on both splits."""
+    bucket = top_k(grid_metrics(t).withColumn("trend_weight", F.col("w")[2]), ["trend_weight"], [F.desc("ndcg_at_12"), "grid_index"], 1)
+    chosen = bucket.select(F.col("grid_index").cast("string").alias("variant_id"), "w", "trend_weight")
+    found = variant_metrics(t, chosen.select("variant_id", "w"))
+    return found.join(F.broadcast(chosen.drop("w")), "variant_id").select("trend_weight", F.col("variant_id").cast("int").alias("grid_index"), "split", *METRIC_NAMES)
+
+
+def source_ablation(t: Reco) -> DataFrame:
+    """The enhanced method without some sources or scores, on the valid windows."""
+    rows, items, counts = valid(t.features()), [], []
+    for variant, sources, scores, strict in SOURCE_VARIANTS:
+        left = reco.without_sources(rows, set(sources)) if sources or strict else rows
+        best = reco.weighted(reco.allowed(left, reorder_may=not strict), dropped_weights(reco.METHODS["enhanced_pop_similarity_trend"], scores))
+        items.append(best.select(F.lit(variant).alias("variant_id"), *ITEM, "rank"))
+        counts.append(left.agg(F.lit(variant).alias("variant_id"), F.count(F.lit(1)).alias("candidate_rows")))
+    found = reco.evaluate(t.keep(reduce(DataFrame.unionByName, items)), valid(t.users), valid(t.truth), valid(t.pool), by=("variant_id",))
+    return found.join(F.broadcast(reduce(DataFrame.unionByName, counts)), "variant_id").select("variant_id", "candidate_rows", *METRIC_NAMES)
+
+
+def flattened(t: Reco) -> DataFrame:
+    """Grid, methods, named ablation and trend buckets as rows of one report: section, place, method, split, weights, metrics."""
+    weights = [F.round(F.col("w")[k], 6).alias(f"{c}_weight") for k, c in enumerate(GRID_SCORES)]
+    none = [F.lit(None).cast("double").alias(f"{c}_weight") for c in GRID_SCORES]
+    grid = grid_metrics(t).select(F.lit("search_results").alias("section"), F.col("place").cast("int").alias("place"), F.lit(MAIN).alias("method"), "split", *weights, *METRIC_NAMES)
+    place = lambda order, names: F.array_position(F.array(*[F.lit(x) for x in names]), F.col(order)).cast("int").alias("place")
+    methods = method_summary(t).select(F.lit("ablation").alias("section"), place("method", sorted(reco.METHODS)), "method", "split", *none, *METRIC_NAMES)
+    names = ["full_model", *[v for v, _, _ in STRICT], *[v for v, _ in BASELINE_VARIANTS]]
+    own = F.broadcast(best_vectors(t))
+    named = named_ablation(t).join(own, "variant_id", "left").select(F.lit("named_ablation").alias("section"), place("variant_id", names), F.col("variant_id").alias("method"), "split", *weights, *METRIC_NAMES)
+    return grid.unionByName(methods).unionByName(named)
+
+
+METRIC_NAMES = (*reco.METRICS, "user_count", "missing_users")
+_metrics = ", ".join(METRIC_NAMES)
+_values = ", ".join(f"({k}, [{', '.join(map(str, w))}])" for k, w in enumerate(GRID))
+
+
+def _vector_items(vectors: str, by: str, features: str, scores: tuple[str, ...], fill: bool) -> str:
+    """Items of every vector (by, w)."""
+    total = " + ".join(f"{c} * w[{k + 1}]" for k, c in enumerate(scores))
+    rule = "NOT is_seen" if fill else "NOT is_seen OR has_reorder_source"
+    more = f" UNION ALL SELECT {by}, {U}, article_id, rank FROM fl_{MAIN} CROSS JOIN {vectors}" if fill else ""
+    return f"SELECT {by}, {U}, article_id, rank FROM (SELECT *, row_number() OVER (PARTITION BY {by}, {U} ORDER BY round(score, 9) DESC, article_id) AS rank FROM (SELECT {by}, {U}, article_id, {total} AS score FROM {features} CROSS JOIN {vectors} WHERE {rule})) WHERE rank <= 12{more}"
+
+
+_strict = " UNION ALL ".join(f"SELECT '{v}' AS variant_id, list_transform(w, lambda x, i: CASE WHEN i = {GRID_SCORES.index(c) + 1} THEN 0.0 ELSE x / (1 - w[{GRID_SCORES.index(c) + 1}]) END) AS w FROM best" for v, _, c in STRICT)
+EXPERIMENT = RECO + f""", gridv AS (SELECT CAST(k AS INTEGER) AS grid_index, CAST(v AS DOUBLE[]) AS w FROM (VALUES {_values}) g(k, v)),
+griditems AS ({_vector_items("gridv", "grid_index", "(SELECT * FROM feat_dflt WHERE split = 'valid')", GRID_SCORES, True)}),
+gridm AS (SELECT *, row_number() OVER (ORDER BY ndcg_at_12 DESC, grid_index) AS place FROM ({evaluation("(SELECT * FROM griditems WHERE split = 'valid')", "grid_index")}) JOIN gridv USING (grid_index) WHERE split = 'valid'),
+best AS (SELECT w FROM gridm WHERE place = 1),
+bestv AS (SELECT 'full_model' AS variant_id, w FROM best UNION ALL {_strict}),
+bestitems AS ({_vector_items("bestv", "variant_id", "feat_dflt", GRID_SCORES, True)}),
+bestm AS ({evaluation("bestitems", "variant_id")}),
+bucketv AS (SELECT CAST(grid_index AS VARCHAR) AS variant_id, w, w[3] AS trend_weight FROM gridm QUALIFY row_number() OVER (PARTITION BY w[3] ORDER BY ndcg_at_12 DESC, grid_index) = 1),
+bucketitems AS ({_vector_items("bucketv", "variant_id", "feat_dflt", GRID_SCORES, True)}),
+methodm AS ({evaluation("everyitem", "method")}),
+namedm AS (SELECT variant_id, '{MAIN}' AS method, split, {_metrics} FROM bestm {" ".join(f"UNION ALL SELECT '{v}', method, split, {_metrics} FROM methodm WHERE method = '{m}'" for v, m in BASELINE_VARIANTS)}),
+envec AS (SELECT CAST(k AS INTEGER) AS grid_index, CAST(v AS DOUBLE[]) AS w FROM (VALUES {", ".join(f"({k}, [{', '.join(map(str, w))}])" for k, w in enumerate(ENHANCED_GRID))}) g(k, v)),
+enitems AS ({_vector_items("envec", "grid_index", "(SELECT * FROM feat WHERE split = 'valid')", reco.SCORES, False)})
+"""
+
+
+def _source_sql() -> str:
+    """Items of the enhanced method's variants on the valid windows."""
+    pu = f"PARTITION BY {U}"
+    parts, counts = [], []
+    for variant, sources, scores, strict in SOURCE_VARIANTS:
+        rows = "(SELECT * FROM feat WHERE split = 'valid')"
+        if sources or strict:
+            left = f"list_filter(string_split(candidate_sources, '|'), lambda x: NOT list_contains([{', '.join(repr(x) for x in sources)}]::VARCHAR[], x))"
+            rows = f"(SELECT * EXCLUDE (l, a, b), list_contains(l, 'reorder') AS has_reorder_source, {minmax('a', pu)} AS source_rank_score, {minmax('b', pu)} AS source_count_score FROM (SELECT * EXCLUDE (has_reorder_source, source_rank_score, source_count_score), 1.0 / best_source_rank AS a, CAST(len(l) AS DOUBLE) AS b FROM (SELECT *, {left} AS l FROM feat WHERE split = 'valid') WHERE len(l) > 0))"
+        total = " + ".join(f"{c} * {w}" for c, w in dropped_weights(reco.METHODS["enhanced_pop_similarity_trend"], scores).items())
+        rule = "NOT is_seen" if strict else "NOT is_seen OR has_reorder_source"
+        parts.append(f"SELECT '{variant}' AS variant_id, {U}, article_id, rank FROM (SELECT *, row_number() OVER ({pu} ORDER BY round(score, 9) DESC, article_id) AS rank FROM (SELECT *, {total} AS score FROM {rows} WHERE {rule})) WHERE rank <= 12")
+        counts.append(f"SELECT '{variant}' AS variant_id, count(*) AS candidate_rows FROM {rows}")
+    return f"SELECT variant_id, candidate_rows, {_metrics} FROM ({evaluation('(' + ' UNION ALL '.join(parts) + ')', 'variant_id')}) JOIN ({' UNION ALL '.join(counts)}) USING (variant_id) WHERE split = 'valid'"
+
+
+def _experiment(name: str, sql: str, build) -> None:
+    query(name, EXPERIMENT + sql)(lambda spark, sf_dir: rounded(build(shared(spark, sf_dir))))
+
+
+_experiment("ex_weight_grid", f"SELECT grid_index, place, {_metrics} FROM gridm", lambda t: grid_metrics(t).select("grid_index", "place", *METRIC_NAMES))
+_experiment(
+    "ex_enhanced_grid",
+    f"SELECT grid_index, row_number() OVER (ORDER BY map_at_12 DESC, ndcg_at_12 DESC, grid_index) AS place, {_metrics} FROM ({evaluation('enitems', 'grid_index')}) WHERE split = 'valid'",
+    lambda t: top_k(rounded(reco.evaluate(by_vectors(t, valid(t.features()), t.spark.createDataFrame([(k, list(w)) for k, w in enumerate(ENHANCED_GRID)], "grid_index int, w array<double>"), reco.SCORES, "grid_index", None), valid(t.users), valid(t.truth), valid(t.pool), by=("grid_index",))), ["split"], [F.desc("map_at_12"), F.desc("ndcg_at_12"), "grid_index"], 9, "place").select("grid_index", "place", *METRIC_NAMES),
+)
+_experiment("ex_strict_ablation", f"SELECT variant_id, split, {_metrics} FROM bestm WHERE variant_id <> 'full_model'", lambda t: best_metrics(t).where("variant_id <> 'full_model'").select("variant_id", "split", *METRIC_NAMES))
+_experiment("ex_named_ablation", "SELECT * FROM namedm", named_ablation)
+_experiment("ex_trend_buckets", f"SELECT trend_weight, CAST(variant_id AS INTEGER) AS grid_index, split, {_metrics} FROM ({evaluation('bucketitems', 'variant_id')}) JOIN bucketv USING (variant_id)", trend_buckets)
+_experiment("ex_method_summary", f"SELECT method, split, {_metrics} FROM methodm", method_summary)
+_experiment("ex_source_ablation", _source_sql(), source_ablation)
+_none = ", ".join(f"CAST(NULL AS DOUBLE) AS {c}_weight" for c in GRID_SCORES)
+_own = ", ".join(f"round(w[{k + 1}], 6) AS {c}_weight" for k, c in enumerate(GRID_SCORES))
+_places = lambda names: "CAST(list_position([" + ", ".join(f"'{x}'" for x in names) + "], "
+_experiment(
+    "ex_flatten",
+    f"SELECT 'search_results' AS section, CAST(place AS INTEGER) AS place, '{MAIN}' AS method, split, {_own}, {_metrics} FROM gridm UNION ALL SELECT 'ablation', {_places(sorted(reco.METHODS))}method) AS INTEGER), method, split, {_none}, {_metrics} FROM methodm UNION ALL SELECT 'named_ablation', {_places(['full_model', *[v for v, _, _ in STRICT], *[v for v, _ in BASELINE_VARIANTS]])}variant_id) AS INTEGER), variant_id, split, {_own}, {_metrics} FROM namedm LEFT JOIN bestv USING (variant_id)",
+    flattened,
 )
-_register("ex_method_summary", EVAL.replace("SELECT split", "SELECT 'enhanced_pop_similarity_trend' AS method, split", 1), lambda t: reco.evaluate(t.items(), t.users, t.truth, t.pool).select(F.lit("enhanced_pop_similarity_trend").alias("method"), "*"))
+_gone = ("reorder", "trend")
+_left = f"list_filter(string_split(candidate_sources, '|'), lambda x: x NOT IN {_gone})"
 _register(
     "ex_drop_sources",
-    f"SELECT {U}, article_id, array_to_string(list_filter(string_split(candidate_sources, '|'), lambda x: x NOT IN ('reorder', 'trend')), '|') AS candidate_sources FROM cand WHERE len(list_filter(string_split(candidate_sources, '|'), lambda x: x NOT IN ('reorder', 'trend'))) > 0",
-    lambda t: t.candidates().withColumn("left", F.array_except(F.split("candidate_sources", r"\|"), F.array(F.lit("reorder"), F.lit("trend")))).where(F.size("left") > 0).select(*ITEM, F.array_join("left", "|").alias("candidate_sources")),
+    f"SELECT {U}, article_id, array_to_string(l, '|') AS candidate_sources, l[1] AS primary_source, list_contains(l, 'reorder') AS has_reorder_source, round({minmax('a', 'PARTITION BY ' + U)}, 6) AS source_rank_score, round({minmax('b', 'PARTITION BY ' + U)}, 6) AS source_count_score FROM (SELECT *, 1.0 / best_source_rank AS a, CAST(len(l) AS DOUBLE) AS b FROM (SELECT *, {_left} AS l FROM cand) WHERE len(l) > 0)",
+    lambda t: reco.without_sources(t.candidates(), set(_gone)).select(*ITEM, "candidate_sources", "primary_source", "has_reorder_source", "source_rank_score", "source_count_score"),
 )
 _register("pr_articles", "SELECT article_id, prod_name, product_group_name, colour_group_name FROM art", lambda t: t.articles.select("article_id", "prod_name", "product_group_name", "colour_group_name").dropDuplicates(["article_id"]))
 _register("pr_article_attrs", "SELECT article_id, attr_type, attr_value FROM edges", lambda t: t.edges.select("article_id", "attr_type", "attr_value").dropDuplicates())
-_register("pr_metrics_summary", f"SELECT split, metric, value, row_number() OVER (PARTITION BY split ORDER BY metric) AS metric_order FROM (UNPIVOT ({EVAL.replace('count(*) AS n_users, ', '')}) ON map_at_12, recall_at_12, hit_rate_at_12, ndcg_at_12, coverage_at_12 INTO NAME metric VALUE value)", lambda t: top_k(rounded(reco.evaluate(t.items(), t.users, t.truth, t.pool)).unpivot("split", ["map_at_12", "recall_at_12", "hit_rate_at_12", "ndcg_at_12", "coverage_at_12"], "metric", "value"), ["split"], ["metric"], 99, "metric_order"))
 _register("pr_related_articles", "SELECT article_id, prod_name FROM edges JOIN art USING (article_id) WHERE attr_id = 'colour_group_name::red' ORDER BY article_id LIMIT 20", lambda t: t.edges.where("attr_id = 'colour_group_name::red'").join(t.articles.select("article_id", "prod_name"), "article_id").orderBy("article_id").limit(20).select("article_id", "prod_name"))
-_register("flt_article_search", "SELECT article_id, prod_name FROM art WHERE lower(prod_name) LIKE '%red%' ESCAPE '\\' ORDER BY CASE WHEN lower(prod_name) = 'red' THEN 0 WHEN lower(prod_name) LIKE 'red%' ESCAPE '\\' THEN 1 ELSE 2 END, article_id LIMIT 20", lambda t: t.articles.where(F.lower("prod_name").like("%red%")).orderBy(F.when(F.lower("prod_name") == "red", 0).when(F.lower("prod_name").like("red%"), 1).otherwise(2), "article_id").limit(20).select("article_id", "prod_name"))
-_register("dq_score_bounds", "SELECT count(*) FILTER (" + " OR ".join(f"{c} NOT BETWEEN 0 AND 1" for c in reco.SCORES) + ") AS n_violations FROM feat", lambda t: t.features.agg(F.count_if(reduce(lambda a, b: a | b, [~F.col(c).between(0, 1) for c in reco.SCORES])).alias("n_violations")))
+_register("dq_score_bounds", "SELECT count(*) FILTER (" + " OR ".join(f"{c} NOT BETWEEN 0 AND 1" for c in reco.SCORES) + ") AS n_violations FROM feat", lambda t: t.features().agg(F.count_if(reduce(lambda a, b: a | b, [~F.col(c).between(0, 1) for c in reco.SCORES])).alias("n_violations")))
 _register("dq_windows", "SELECT count(DISTINCT split) AS n_splits, count(*) FILTER (label_week <> cutoff_week + 1) AS n_violations FROM win", lambda t: t.windows.agg(F.countDistinct("split").alias("n_splits"), F.count_if(F.col("label_week") != F.col("cutoff_week") + 1).alias("n_violations")))
 _register("dq_top12_ranks", f"SELECT count(*) FILTER (low <> 1 OR high <> n OR d <> n) AS n_violations FROM (SELECT {U}, min(rank) AS low, max(rank) AS high, count(*) AS n, count(DISTINCT article_id) AS d FROM items GROUP BY ALL)", lambda t: t.items().groupBy(*reco.USER).agg(F.min("rank").alias("low"), F.max("rank").alias("high"), F.count(F.lit(1)).alias("n"), F.countDistinct("article_id").alias("d")).agg(F.count_if((F.col("low") != 1) | (F.col("high") != F.col("n")) | (F.col("d") != F.col("n"))).alias("n_violations")))

@@ -1,6 +1,6 @@
 """DuckDB text of the recommendation tables, after the preamble of the trend half."""
 
-from weftline.operators.reco import METHODS, SCORES, SOURCES, TREND_WEIGHTS
+from weftline.operators.reco import FILL, METHODS, SCORES, SOURCES, STRATEGY, TREND_WEIGHTS
 from weftline.plans.sql import TREND
 from weftline.sources.tables import CORE_TYPES
 
@@ -30,7 +30,7 @@ def ranked(weights: dict[str, float]) -> str:
 
 RECO = TREND + f""", cust AS (
   SELECT customer_id, TRY_CAST(age AS DOUBLE) AS age, CASE WHEN TRY_CAST(age AS DOUBLE) IS NULL OR TRY_CAST(age AS DOUBLE) < 0 THEN 'unknown' WHEN TRY_CAST(age AS DOUBLE) < 20 THEN '0-19' WHEN TRY_CAST(age AS DOUBLE) < 60 THEN CAST(CAST(floor(TRY_CAST(age AS DOUBLE) / 10) * 10 AS INTEGER) AS VARCHAR) || '-' || CAST(CAST(floor(TRY_CAST(age AS DOUBLE) / 10) * 10 + 9 AS INTEGER) AS VARCHAR) ELSE '60+' END AS age_bucket,
-         coalesce(nullif(trim(club_member_status), ''), 'unknown') AS club_member_status, coalesce(nullif(trim(fashion_news_frequency), ''), 'unknown') AS fashion_news_frequency FROM rawcust),
+         coalesce(nullif(trim(club_member_status), ''), 'unknown') AS club_member_status, coalesce(nullif(trim(news_frequency), ''), 'unknown') AS news_frequency FROM rawcust),
 win AS (SELECT DISTINCT split, week_id AS cutoff_week, week_id + 1 AS label_week FROM split WHERE split IN ('valid', 'test')),
 cw AS (SELECT customer_id, week_id, count(*) AS n FROM tx GROUP BY 1, 2),
 users AS (
@@ -98,15 +98,72 @@ f1 AS (
   LEFT JOIN (SELECT {_u}, article_id, max(preference_score * {norm("attr_rank", 4)}) AS v FROM profile JOIN attrpool USING ({_w}, attr_id) GROUP BY ALL) q ON q.split = c.split AND q.cutoff_week = c.cutoff_week AND q.customer_id = c.customer_id AND q.article_id = c.article_id),
 feat AS (
   SELECT * EXCLUDE (p, r, s, o, v, a, q, k, m), {minmax("p", PW)} AS pop_score, {minmax("r", PW)} AS recent_score, {", ".join(f"{minmax(x, PU)} AS {n}" for x, n in (("s", "sim_score"), ("o", "reorder_score"), ("v", "variant_score"), ("a", "age_pop_score"), ("q", "preference_pop_score"), ("k", "source_rank_score"), ("m", "source_count_score")))} FROM f1),
-items AS ({ranked(METHODS["enhanced_pop_similarity_trend"])}),
-hits AS (SELECT *, row_number() OVER ({PU} ORDER BY rank) AS hn FROM items JOIN truth USING ({_u}, article_id)),
-um AS (
-  SELECT u.split, u.cutoff_week, u.label_week, u.customer_id, coalesce(ap, 0) / least(n, 12) AS ap, coalesce(h, 0) / CAST(n AS DOUBLE) AS recall, CAST(coalesce(h, 0) > 0 AS DOUBLE) AS hit, coalesce(dcg, 0) / list_sum(list_transform(range(1, CAST(least(n, 12) + 1 AS BIGINT)), lambda i: 1 / log2(i + 1))) AS ndcg
-  FROM users u JOIN (SELECT {_u}, count(*) AS n FROM truth GROUP BY ALL) t USING ({_u})
-  LEFT JOIN (SELECT {_u}, sum(hn / CAST(rank AS DOUBLE)) AS ap, count(*) AS h, sum(1 / log2(rank + 1)) AS dcg FROM hits GROUP BY ALL) USING ({_u})),
-cov AS (
-  SELECT {_w}, coalesce(shown, 0) / CAST(n AS DOUBLE) AS coverage FROM (SELECT {_w}, count(*) AS n FROM pool GROUP BY ALL)
-  LEFT JOIN (SELECT {_w}, count(*) AS shown FROM (SELECT DISTINCT {_w}, article_id FROM items SEMI JOIN pool USING ({_w}, article_id)) GROUP BY ALL) USING ({_w}))
+items AS ({ranked(METHODS["enhanced_pop_similarity_trend"])})
 """
+
+
+def _base(name: str, union: str) -> str:
+    """Candidates of a strategy and their four scores, over these candidates."""
+    return f""", cand_{name} AS (
+  SELECT {_u}, article_id, string_agg(source, '|' ORDER BY place) AS candidate_sources, arg_min(source, source_rank * 10 + place) AS primary_source, min(source_rank) AS best_source_rank FROM (SELECT *, {_place} AS place FROM ({union})) GROUP BY ALL),
+feat_{name} AS (
+  SELECT * EXCLUDE (p, r, s), {minmax("p", PW)} AS pop_score, {minmax("r", PW)} AS recent_score, {minmax("s", PU)} AS sim_score FROM (
+    SELECT c.*, coalesce(first_week <= c.cutoff_week, false) AS is_seen, CAST(coalesce(pop.n, 0) AS DOUBLE) AS p, CAST(coalesce(rpop.n, 0) AS DOUBLE) AS r, coalesce(s.v, 0.0) AS s, coalesce(t.v, 0.0) AS trend_score
+    FROM cand_{name} c LEFT JOIN firstw USING (customer_id, article_id) LEFT JOIN pop USING ({_w}, article_id) LEFT JOIN rpop USING ({_w}, article_id)
+    LEFT JOIN (SELECT {_u}, article_id, sum(preference_score) AS v FROM profile JOIN core USING (attr_id) GROUP BY ALL) s USING ({_u}, article_id) LEFT JOIN atrend t USING ({_w}, article_id)))"""
+
+
+def _fill(name: str, popular: str) -> str:
+    """Popular items behind the ranked ones of users with fewer than 12."""
+    return f""", fl_{name} AS (
+  SELECT {_u}, article_id, have + fr AS rank, greatest(0.0, least(1.0, (max(source_rank) OVER () + 1 - source_rank) / CAST(max(source_rank) OVER () AS DOUBLE))) AS source_score FROM (
+    SELECT {_u}, article_id, have, source_rank, row_number() OVER ({PU} ORDER BY source_rank) AS fr FROM (
+      SELECT {_u}, coalesce(have, 0) AS have, p.article_id, p.rn AS source_rank FROM users LEFT JOIN (SELECT {_u}, count(*) AS have FROM rk_{name} GROUP BY ALL) USING ({_u}) JOIN {popular} p USING ({_w}) WHERE coalesce(have, 0) < 12 AND p.rn <= 50)
+    LEFT JOIN firstw USING (customer_id, article_id) ANTI JOIN rk_{name} USING ({_u}, article_id) WHERE coalesce(first_week > cutoff_week, true)) WHERE have + fr <= 12)"""
+
+
+_FEAT = {"popularity": "popg", "recent_popularity": "popr", "similarity": "simi", "default": "dflt"}
+
+
+def _method(m: str) -> str:
+    total = " + ".join(f"{c} * {w}" for c, w in METHODS[m].items())
+    mode, popular = FILL[m], "poprank" if FILL[m] == "pop_score" else "rpoprank"
+    scores = ("pop_score", "recent_score", "sim_score", "trend_score")
+    filled = ", ".join(f"{'source_score' if c == mode else '0.0'} AS {c}" for c in scores)
+    fill_score = " + ".join(f"{'source_score' if c == mode else '0.0'} * {w}" for c, w in METHODS[m].items())
+    return f""", rk_{m} AS (SELECT * FROM (SELECT *, row_number() OVER ({PU} ORDER BY round(score, 9) DESC, article_id) AS rank FROM (SELECT *, {total} AS score FROM feat_{_FEAT[STRATEGY[m]]} WHERE NOT is_seen)) WHERE rank <= 12){_fill(m, popular)},
+it_{m} AS (SELECT {_u}, article_id, rank, score, {", ".join(scores)}, candidate_sources, false AS is_backfill FROM rk_{m} UNION ALL SELECT {_u}, article_id, rank, {fill_score}, {", ".join(x.split(" AS ")[0] for x in filled.split(", "))}, 'popularity', true FROM fl_{m})"""
+
+
+BASELINES = [m for m in METHODS if m in FILL]
+RECO += _base("popg", "SELECT * FROM s_pop") + _base("popr", "SELECT * FROM s_recent") + _base("simi", "SELECT * FROM s_sim") + _base("dflt", "SELECT * FROM s_recent UNION ALL SELECT * FROM s_sim UNION ALL SELECT * FROM s_trend")
+RECO += "".join(_method(m) for m in BASELINES)
+RECO += f", everyitem AS (SELECT 'enhanced_pop_similarity_trend' AS method, {_u}, article_id, rank FROM items" + "".join(f" UNION ALL SELECT '{m}', {_u}, article_id, rank FROM it_{m}" for m in BASELINES) + ")\n"
+
+
+def user_metrics(items: str, by: str = "") -> str:
+    """Metrics of every target user, for each value of ``by``."""
+    key = f"{by}, " if by else ""
+    cross = f" CROSS JOIN (SELECT DISTINCT {by} FROM {items})" if by else ""
+    return f"""SELECT {key}{_u}, coalesce(ap, 0) / least(n, 12) AS ap, coalesce(h, 0) / CAST(n AS DOUBLE) AS recall, CAST(coalesce(h, 0) > 0 AS DOUBLE) AS hit, coalesce(dcg, 0) / ideal AS ndcg, has IS NULL AS missing
+  FROM users JOIN (SELECT {_u}, count(*) AS n, list_sum(list_transform(range(1, CAST(least(count(*), 12) + 1 AS BIGINT)), lambda i: 1 / log2(i + 1))) AS ideal FROM truth GROUP BY ALL) USING ({_u}){cross}
+  LEFT JOIN (SELECT {key}{_u}, sum(hn / CAST(rank AS DOUBLE)) AS ap, count(*) AS h, sum(1 / log2(rank + 1)) AS dcg FROM (SELECT *, row_number() OVER (PARTITION BY {key}{_u} ORDER BY rank) AS hn FROM {items} JOIN truth USING ({_u}, article_id)) GROUP BY ALL) USING ({key}{_u})
+  LEFT JOIN (SELECT DISTINCT {key}{_u}, true AS has FROM {items}) USING ({key}{_u})"""
+
+
+def coverage(items: str, by: str = "") -> str:
+    key = f"{by}, " if by else ""
+    cross = f" CROSS JOIN (SELECT DISTINCT {by} FROM {items})" if by else ""
+    return f"""SELECT {key}{_w}, coalesce(shown, 0) / CAST(n AS DOUBLE) AS coverage FROM (SELECT {_w}, count(*) AS n FROM pool GROUP BY ALL){cross}
+  LEFT JOIN (SELECT {key}{_w}, count(*) AS shown FROM (SELECT DISTINCT {key}{_w}, article_id FROM {items} SEMI JOIN pool USING ({_w}, article_id)) GROUP BY ALL) USING ({key}{_w})"""
+
+
+def evaluation(items: str, by: str = "", digits: int = 6) -> str:
+    key = f"{by}, " if by else ""
+    return f"""SELECT {key}split, round(map_at_12, {digits}) AS map_at_12, round(recall_at_12, {digits}) AS recall_at_12, round(hit_rate_at_12, {digits}) AS hit_rate_at_12, round(ndcg_at_12, {digits}) AS ndcg_at_12, round(coverage, {digits}) AS coverage, user_count, missing_users
+  FROM (SELECT {key}split, avg(ap) AS map_at_12, avg(recall) AS recall_at_12, avg(hit) AS hit_rate_at_12, avg(ndcg) AS ndcg_at_12, count(*) AS user_count, count(*) FILTER (missing) AS missing_users FROM ({user_metrics(items, by)}) GROUP BY ALL)
+  LEFT JOIN (SELECT {key}split, avg(coverage) AS coverage FROM ({coverage(items, by)}) SEMI JOIN users USING ({_w}) GROUP BY ALL) USING ({key}split)"""
+
+
 U, W = _u, _w
 ALL_SCORES = ", ".join(f"round({c}, 6) AS {c}" for c in SCORES)

@@ -18,7 +18,7 @@ art AS (
   FROM (SELECT *, CAST(regexp_extract(p_brand, '[0-9]+') AS BIGINT) AS n FROM part)),
 rawcust AS (
   SELECT lpad(CAST(c_custkey AS VARCHAR), 10, '0') AS customer_id, CASE WHEN c_acctbal >= 0 THEN CAST(CAST(floor(c_acctbal / 125) AS BIGINT) AS VARCHAR) END AS age, c_mktsegment AS club_member_status,
-         CASE c_nationkey % 3 WHEN 0 THEN 'Regularly' WHEN 1 THEN 'NONE' ELSE '  ' END AS fashion_news_frequency FROM customer),
+         CASE c_nationkey % 3 WHEN 0 THEN 'Regularly' WHEN 1 THEN 'NONE' ELSE '  ' END AS news_frequency FROM customer),
 edges AS (
   SELECT article_id, 'article_' || article_id AS article_node_id, attr_type || '::' || attr_value AS attr_id, attr_type, attr_value, 'has_' || regexp_replace(attr_type, '_name$', '') AS edge_type, CAST(1.0 AS DOUBLE) AS edge_weight
   FROM (UNPIVOT (SELECT article_id, {", ".join(ATTRIBUTES)} FROM art) ON {", ".join(ATTRIBUTES)} INTO NAME attr_type VALUE attr_value)),

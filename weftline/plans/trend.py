@@ -10,13 +10,14 @@ from weftline.operators import forecast, trend
 from weftline.plans.catalog import query
 from weftline.plans.sql import TREND, rounds
 from weftline.sources import tables
+from weftline.sources.written import written
 
 
 class Trend:
     """The trend half over one folder; every part is a lazy frame."""
 
     def __init__(self, spark: SparkSession, sf_dir: str):
-        self.spark = spark
+        self.spark, self.sf_dir = spark, sf_dir
         self.raw = tables.raw_transactions(spark, sf_dir)
         self.articles = tables.raw_articles(spark, sf_dir)
         self.weekly = trend.with_week_id(self.raw)
@@ -37,13 +38,7 @@ class Trend:
         return trend.rank_percent(self.samples).select("week_id", "attr_id", "heat_t", "share_t", "growth_lag_1", "rank_pct")
 
 
-#: Written, but not yet run; not registered until they are.
-HELD = {"fc_ablation_masks", "fc_ablation_summary", "fc_feature_importance"}
-
-
 def _register(name: str, sql: str | None, build, digits: int = 6) -> None:
-    if name in HELD:
-        return
     query(name, None if sql is None else TREND + sql)(lambda spark, sf_dir: rounded(build(Trend(spark, sf_dir)), digits))
 
 
@@ -184,17 +179,45 @@ _register(
 )
 _register("kg_context_features", None, lambda t: trend.graph_context(t.samples, t.nodes, t.hierarchy))
 _register("kg_enhanced_samples", None, lambda t: t.split.join(trend.graph_context(t.samples, t.nodes, t.hierarchy), ["week_id", "attr_id"], "left"))
-_register("app_attr_neighborhood", "SELECT parent_attr_id, child_attr_id, relation_type, edge_weight FROM hier WHERE parent_attr_id = 'index_name::I1' OR child_attr_id = 'index_name::I1'", lambda t: t.hierarchy.where("parent_attr_id = 'index_name::I1' OR child_attr_id = 'index_name::I1'").select("parent_attr_id", "child_attr_id", "relation_type", "edge_weight"))
+#: The attribute whose neighbourhood is shown.
+ATTRIBUTE = "index_name::I1"
+_near = f"FROM hier WHERE parent_attr_id = '{ATTRIBUTE}' OR child_attr_id = '{ATTRIBUTE}'"
+_register(
+    "app_attr_neighborhood",
+    f"SELECT 'edge' AS kind, parent_attr_id, child_attr_id, relation_type, NULL AS attr_id, NULL AS attr_type {_near} UNION ALL SELECT 'node', NULL, NULL, NULL, attr_id, attr_type FROM (SELECT parent_attr_id AS attr_id, parent_attr_type AS attr_type {_near} UNION SELECT child_attr_id, child_attr_type {_near})",
+    lambda t: trend.neighbourhood(t.hierarchy, ATTRIBUTE),
+)
 _register("pres_hierarchy_labeled", "SELECT h.*, p.attr_value AS parent_value, c.attr_value AS child_value FROM hier h JOIN nodes p ON p.attr_id = parent_attr_id JOIN nodes c ON c.attr_id = child_attr_id", lambda t: t.hierarchy.join(t.nodes.select(F.col("attr_id").alias("parent_attr_id"), F.col("attr_value").alias("parent_value")), "parent_attr_id").join(t.nodes.select(F.col("attr_id").alias("child_attr_id"), F.col("attr_value").alias("child_value")), "child_attr_id"))
 
 
+_FITTED: dict[tuple, object] = {}
+
+
+def _once(t: Trend, name: str, build):
+    """What fitting gave, kept for the session: several queries show the same models."""
+    key = (t.spark.sparkContext.applicationId, t.sf_dir, name)
+    if key not in _FITTED:
+        _FITTED[key] = build()
+    return _FITTED[key]
+
+
+def _model(t: Trend):
+    return _once(t, "model", lambda: forecast.fit_boosted_trees(t.split, forecast.numeric_features(t.split)))
+
+
 def _boosted(t: Trend) -> DataFrame:
-    return forecast.boosted_trees(t.split)
+    features = forecast.numeric_features(t.split)
+    return _once(t, "predictions", lambda: written(forecast.predicted(_model(t).transform(forecast.prepared(t.split, features)).drop("features"), "boosted_trees", "predicted_growth"), "trees"))
+
+
+def _importance(t: Trend) -> DataFrame:
+    return forecast.feature_importance(_model(t), forecast.numeric_features(t.split), t.spark)
 
 
 _register("fc_gbt", None, _boosted)
 _register("fc_predict_frame", None, lambda t: _boosted(t).select(*forecast.PREDICTION_COLUMNS))
-_register("fc_feature_importance", None, lambda t: forecast.feature_importance(forecast.fit_boosted_trees(t.split, forecast.numeric_features(t.split)), forecast.numeric_features(t.split), t.spark))
+_register("fc_feature_importance", None, _importance)
+_register("pr_feature_top_n", None, lambda t: _importance(t).orderBy(F.desc("gain_norm"), "feature").limit(15))
 
 
 def ablation_masks(features: list[str], context: list[str]) -> dict[str, list[str]]:
@@ -206,13 +229,16 @@ def ablation_masks(features: list[str], context: list[str]) -> dict[str, list[st
 
 def _ablation(t: Trend) -> DataFrame:
     context = [c for c in trend.graph_context(t.samples, t.nodes, t.hierarchy).columns if c not in ("week_id", "attr_id")]
-    rows = t.split.join(trend.graph_context(t.samples, t.nodes, t.hierarchy), ["week_id", "attr_id"]).persist()
+    rows = t.split.join(trend.graph_context(t.samples, t.nodes, t.hierarchy), ["week_id", "attr_id"])
+    rows = written(rows, "trees")
     out = None
     for name, features in ablation_masks(forecast.numeric_features(t.split), context).items():
-        one = forecast.boosted_trees(rows, features, trees=5).withColumn("model_name", F.lit(name))
+        one = forecast.boosted_trees(rows, features, ABLATION_TREES).withColumn("model_name", F.lit(name))
         out = one if out is None else out.union(one)
     return out
 
 
-_register("fc_ablation_masks", None, _ablation)
-_register("fc_ablation_summary", None, lambda t: forecast.overall_metrics(forecast.group_metrics(_ablation(t))).select("model_name", "split", "ndcg_at_10", "spearman", "precision_at_10", "recall_at_10"))
+#: Trees of each of the five variants, which are compared with each other.
+ABLATION_TREES = 10
+_register("fc_ablation_masks", None, lambda t: _once(t, "ablation", lambda: written(_ablation(t), "trees")))
+_register("fc_ablation_summary", None, lambda t: forecast.overall_metrics(forecast.group_metrics(_once(t, "ablation", lambda: written(_ablation(t), "trees")))).select("model_name", "split", "ndcg_at_10", "spearman", "precision_at_10", "recall_at_10"))

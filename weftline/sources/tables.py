@@ -76,5 +76,5 @@ def raw_customers(spark: SparkSession, sf_dir: str) -> DataFrame:
         key("c_custkey").alias("customer_id"),
         F.when(F.col("c_acctbal") >= 0, F.floor(F.col("c_acctbal") / 125).cast("string")).alias("age"),
         F.col("c_mktsegment").alias("club_member_status"),
-        news.alias("fashion_news_frequency"),
+        news.alias("news_frequency"),
     )
