@@ -147,3 +147,12 @@ def test_plan_is_optimal(steps, window):
             best = total(stops) if best is None else min(best, total(stops))
     stops = packing.plan(positions, costs, window)
     assert stops[-1] == where[-1] and total(stops) == best
+
+
+def test_no_session_setting_changes(spark, odd_documents):
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    files = token_files.write_token_files(odd_documents, BYTE, 2)
+    rows = token_files.read_token_files(files.read()).orderBy("start").collect()
+    assert spark.conf.get(name) == before
+    assert [r.start for r in rows] == [sum(x.n_tokens for x in rows[:k]) for k in range(len(rows))]
