@@ -38,3 +38,8 @@ def log_growth(after: Column, before: Column, epsilon: float = EPSILON) -> Colum
 def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
     """Doubles rounded, so that engines that sum in another order agree."""
     return df.select(*[F.round(c, digits).alias(c) if kind == "double" else F.col(c) for c, kind in df.dtypes])
+
+
+def half_up(df: DataFrame, digits: int = 6) -> DataFrame:
+    """Doubles rounded to 12 digits and then to fewer: the order of a sum may put a value that is half-way in exact terms on either side, and here it goes up."""
+    return df.select(*[F.round(F.round(c, 12), digits).alias(c) if kind == "double" else F.col(c) for c, kind in df.dtypes])

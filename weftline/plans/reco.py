@@ -7,10 +7,12 @@ from functools import cached_property, reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftline.functions.expr import rounded, top_k
+from weftline.functions import expr
+from weftline.functions.expr import top_k
 from weftline.operators import forecast, reco
 from weftline.plans.catalog import query
 from weftline.plans.reco_sql import ALL_SCORES, RECO, U, W, coverage, evaluation, minmax, ranked, user_metrics
+from weftline.plans.sql import half_up
 from weftline.plans.trend import Trend
 from weftline.sources import tables
 from weftline.sources.written import written
@@ -163,7 +165,7 @@ def shared(spark, sf_dir: str) -> Reco:
 
 
 def _register(name: str, sql: str | None, build, digits: int = 6) -> None:
-    query(name, None if sql is None else RECO + sql)(lambda spark, sf_dir: rounded(build(shared(spark, sf_dir)), digits))
+    query(name, None if sql is None else RECO + sql)(lambda spark, sf_dir: expr.half_up(build(shared(spark, sf_dir)), digits))
 
 
 ITEM = [*reco.USER, "article_id"]
@@ -211,16 +213,16 @@ _register("sc_all_features", f"SELECT {U}, article_id, {ALL_SCORES} FROM feat",
 _register("sc_article_trend", f"SELECT {W}, article_id, round(v, 6) AS trend_score FROM atrend", lambda t: t.trends)
 _register("sc_minmax_group", f"SELECT {W}, article_id, round({minmax('n', 'PARTITION BY ' + W)}, 6) AS score FROM pop", lambda t: reco.minmax_groups(t.popular.withColumnRenamed("n", "score"), "score", reco.WIN))
 _register("sc_rank_norm", f"SELECT {U}, article_id, round(greatest(0.0, least(1.0, (12 - source_rank + 1) / 12.0)), 6) AS score FROM s_reorder", lambda t: t.reorder.select(*ITEM, reco.rank_norm(F.col("source_rank"), 12).alias("score")))
-_register("rk_weighted_topk", f"SELECT {U}, article_id, round(score, 6) AS score, rank FROM items", lambda t: t.items().select(*ITEM, "score", "rank"))
-_register("md_enhanced", f"SELECT {U}, article_id, round(score, 6) AS score, rank FROM items", lambda t: t.items().select(*ITEM, "score", "rank"))
+_register("rk_weighted_topk", f"SELECT {U}, article_id, {half_up('score')} AS score, rank FROM items", lambda t: t.items().select(*ITEM, "score", "rank"))
+_register("md_enhanced", f"SELECT {U}, article_id, {half_up('score')} AS score, rank FROM items", lambda t: t.items().select(*ITEM, "score", "rank"))
 for _m in reco.FILL:
-    _register(f"md_{_m}", f"SELECT {U}, article_id, round(score, 6) AS score, rank, is_backfill FROM it_{_m}", lambda t, m=_m: t.items(m).select(*ITEM, "score", "rank", "is_backfill"))
-_register("rk_items", f"SELECT {U}, i.article_id, rank, round(score, 6) AS score, {ALL_SCORES}, candidate_sources FROM items i JOIN feat USING ({U}, article_id)", lambda t: t.items().select(*ITEM, "rank", "score", *reco.SCORES, "candidate_sources"))
+    _register(f"md_{_m}", f"SELECT {U}, article_id, {half_up('score')} AS score, rank, is_backfill FROM it_{_m}", lambda t, m=_m: t.items(m).select(*ITEM, "score", "rank", "is_backfill"))
+_register("rk_items", f"SELECT {U}, i.article_id, rank, {half_up('score')} AS score, {ALL_SCORES}, candidate_sources FROM items i JOIN feat USING ({U}, article_id)", lambda t: t.items().select(*ITEM, "rank", "score", *reco.SCORES, "candidate_sources"))
 _register("rk_pack", f"SELECT {U}, string_agg(article_id, ' ' ORDER BY rank) AS prediction FROM items GROUP BY ALL", lambda t: reco.packed(t.items()))
 _register("ev_parse_prediction", f"SELECT {U}, article_id, rank FROM items", lambda t: reco.unpacked(reco.packed(t.items())))
 MAIN = "pop_similarity_trend"
 FOUR = "round(pop_score, 6) AS pop_score, round(recent_score, 6) AS recent_score, round(sim_score, 6) AS sim_score, round(trend_score, 6) AS trend_score"
-_register("rk_backfill", f"SELECT {U}, article_id, rank, round(score, 6) AS score, {FOUR}, candidate_sources, is_backfill FROM it_{MAIN}", lambda t: t.items(MAIN))
+_register("rk_backfill", f"SELECT {U}, article_id, rank, {half_up('score')} AS score, {FOUR}, candidate_sources, is_backfill FROM it_{MAIN}", lambda t: t.items(MAIN))
 _have = f"SELECT {U}, count(*) FILTER (NOT is_backfill) AS b, count(*) AS a FROM it_{MAIN} GROUP BY ALL"
 _register(
     "rk_underfilled",
@@ -322,7 +324,7 @@ def grid_metrics(t: Reco) -> DataFrame:
     if "grid" not in t.ranked:
         vectors = t.spark.createDataFrame([(k, list(w)) for k, w in enumerate(GRID)], "grid_index int, w array<double>")
         items = by_vectors(t, valid(t.features("default")), vectors, GRID_SCORES, "grid_index", reco.FILL[MAIN]).where("split = 'valid'")
-        found = rounded(reco.evaluate(items, valid(t.users), valid(t.truth), valid(t.pool), by=("grid_index",)))
+        found = expr.half_up(reco.evaluate(items, valid(t.users), valid(t.truth), valid(t.pool), by=("grid_index",)))
         t.ranked["grid"] = t.keep(top_k(found.join(F.broadcast(vectors), "grid_index"), ["split"], [F.desc("ndcg_at_12"), "grid_index"], len(GRID), "place"))
     return t.ranked["grid"]
 
@@ -346,13 +348,13 @@ def best_vectors(t: Reco) -> DataFrame:
 
 def best_metrics(t: Reco) -> DataFrame:
     if "best" not in t.ranked:
-        t.ranked["best"] = t.keep(rounded(variant_metrics(t, best_vectors(t))))
+        t.ranked["best"] = t.keep(expr.half_up(variant_metrics(t, best_vectors(t))))
     return t.ranked["best"]
 
 
 def method_summary(t: Reco) -> DataFrame:
     if "methods" not in t.ranked:
-        t.ranked["methods"] = t.keep(rounded(reco.evaluate(t.every_item, t.users, t.truth, t.pool, by=("method",))))
+        t.ranked["methods"] = t.keep(expr.half_up(reco.evaluate(t.every_item, t.users, t.truth, t.pool, by=("method",))))
     return t.ranked["methods"]
 
 
@@ -443,14 +445,14 @@ def _source_sql() -> str:
 
 
 def _experiment(name: str, sql: str, build) -> None:
-    query(name, EXPERIMENT + sql)(lambda spark, sf_dir: rounded(build(shared(spark, sf_dir))))
+    query(name, EXPERIMENT + sql)(lambda spark, sf_dir: expr.half_up(build(shared(spark, sf_dir))))
 
 
 _experiment("ex_weight_grid", f"SELECT grid_index, place, {_metrics} FROM gridm", lambda t: grid_metrics(t).select("grid_index", "place", *METRIC_NAMES))
 _experiment(
     "ex_enhanced_grid",
     f"SELECT grid_index, row_number() OVER (ORDER BY map_at_12 DESC, ndcg_at_12 DESC, grid_index) AS place, {_metrics} FROM ({evaluation('enitems', 'grid_index')}) WHERE split = 'valid'",
-    lambda t: top_k(rounded(reco.evaluate(by_vectors(t, valid(t.features()), t.spark.createDataFrame([(k, list(w)) for k, w in enumerate(ENHANCED_GRID)], "grid_index int, w array<double>"), reco.SCORES, "grid_index", None), valid(t.users), valid(t.truth), valid(t.pool), by=("grid_index",))), ["split"], [F.desc("map_at_12"), F.desc("ndcg_at_12"), "grid_index"], 9, "place").select("grid_index", "place", *METRIC_NAMES),
+    lambda t: top_k(expr.half_up(reco.evaluate(by_vectors(t, valid(t.features()), t.spark.createDataFrame([(k, list(w)) for k, w in enumerate(ENHANCED_GRID)], "grid_index int, w array<double>"), reco.SCORES, "grid_index", None), valid(t.users), valid(t.truth), valid(t.pool), by=("grid_index",))), ["split"], [F.desc("map_at_12"), F.desc("ndcg_at_12"), "grid_index"], 9, "place").select("grid_index", "place", *METRIC_NAMES),
 )
 _experiment("ex_strict_ablation", f"SELECT variant_id, split, {_metrics} FROM bestm WHERE variant_id <> 'full_model'", lambda t: best_metrics(t).where("variant_id <> 'full_model'").select("variant_id", "split", *METRIC_NAMES))
 _experiment("ex_named_ablation", "SELECT * FROM namedm", named_ablation)

@@ -1,7 +1,7 @@
 """DuckDB text of the recommendation tables, after the preamble of the trend half."""
 
-from weftline.operators.reco import FILL, METHODS, SCORES, SOURCES, STRATEGY, TREND_WEIGHTS
-from weftline.plans.sql import TREND
+from weftline.operators.reco import FILL, METHODS, METRICS, SCORES, SOURCES, STRATEGY, TREND_WEIGHTS
+from weftline.plans.sql import TREND, half_up
 from weftline.sources.tables import CORE_TYPES
 
 _core = ", ".join(f"'{x}'" for x in CORE_TYPES)
@@ -160,7 +160,8 @@ def coverage(items: str, by: str = "") -> str:
 
 def evaluation(items: str, by: str = "", digits: int = 6) -> str:
     key = f"{by}, " if by else ""
-    return f"""SELECT {key}split, round(map_at_12, {digits}) AS map_at_12, round(recall_at_12, {digits}) AS recall_at_12, round(hit_rate_at_12, {digits}) AS hit_rate_at_12, round(ndcg_at_12, {digits}) AS ndcg_at_12, round(coverage, {digits}) AS coverage, user_count, missing_users
+    metrics = ", ".join(f"{half_up(m, digits)} AS {m}" for m in METRICS)
+    return f"""SELECT {key}split, {metrics}, user_count, missing_users
   FROM (SELECT {key}split, avg(ap) AS map_at_12, avg(recall) AS recall_at_12, avg(hit) AS hit_rate_at_12, avg(ndcg) AS ndcg_at_12, count(*) AS user_count, count(*) FILTER (missing) AS missing_users FROM ({user_metrics(items, by)}) GROUP BY ALL)
   LEFT JOIN (SELECT {key}split, avg(coverage) AS coverage FROM ({coverage(items, by)}) SEMI JOIN users USING ({_w}) GROUP BY ALL) USING ({key}split)"""
 

@@ -85,3 +85,8 @@ sib AS (SELECT a.child_attr_id AS attr_id, b.child_attr_id AS sibling_id, CAST(s
 
 def rounds(*names: str, digits: int = 6) -> str:
     return ", ".join(f"round({x}, {digits}) AS {x}" for x in names)
+
+
+def half_up(value: str, digits: int = 6) -> str:
+    """Rounds in decimals, half away from zero, as ``functions.expr.half_up`` does: means that lie half-way in exact terms round alike."""
+    return f"CAST(round(CAST({value} AS DECIMAL(38, 12)), {digits}) AS DOUBLE)"
