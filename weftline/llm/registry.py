@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftline.llm import byte_bpe, embeddings, language_model, line_dedup, packing, pages, quality, sharding, simhash, token_files
+from weftline.llm import byte_bpe, embeddings, language_id, language_model, line_dedup, packing, pages, quality, sharding, simhash, token_files
 from weftline.llm.common import table
 
 END_ID = 2
@@ -58,6 +58,10 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(table(spark, sf_dir, "documents"), 40)
 
 
+def op13_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.identify(table(spark, sf_dir, "documents"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -65,7 +69,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_packing, op2_pages, op3_simhash, op4_embeddings, op5_line_dedup, op6_quality, op7_token_files, op8_byte_bpe, op9_language_model, op10_sharding, pipeline)}
+    return {f.__name__: f for f in (op1_packing, op2_pages, op3_simhash, op4_embeddings, op5_line_dedup, op6_quality, op7_token_files, op8_byte_bpe, op9_language_model, op10_sharding, op13_language_id, pipeline)}
 
 
 def oracle_sql() -> dict:
