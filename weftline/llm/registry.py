@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftline.llm import byte_bpe, embeddings, language_id, language_model, line_dedup, packing, pages, quality, sharding, simhash, token_files
+from weftline.llm import byte_bpe, embeddings, hard_negatives, language_id, language_model, lexical_search, line_dedup, packing, pages, quality, sharding, simhash, token_files
 from weftline.llm.common import table
 
 END_ID = 2
@@ -58,6 +58,55 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(table(spark, sf_dir, "documents"), 40)
 
 
+def op11_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical_search.rank(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+_TERMS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"
+#: Brute force in SQL: all scores of all items.
+LEXICAL_SEARCH_SQL = f"""
+WITH d AS MATERIALIZED (SELECT row_number() OVER () AS row, doc_id, {_TERMS} AS terms FROM documents),
+size AS (SELECT CAST(count(*) FILTER (len(terms) > 0) AS BIGINT) AS n_docs, CAST(sum(len(terms)) AS BIGINT) AS n_terms FROM d),
+tf AS (SELECT row, term, count(*) AS tf FROM (SELECT row, unnest(terms) AS term FROM d) GROUP BY 1, 2),
+w AS (SELECT term, CAST(floor(1000 * ln((2 * n_docs + 2) / (2 * count(*) + 1))) AS BIGINT) AS w FROM tf, size GROUP BY term, n_docs),
+m AS (SELECT row, doc_id, 100 - 50 + (50 * len(terms) * n_docs) // n_terms AS m FROM d, size WHERE len(terms) > 0),
+q AS (SELECT DISTINCT key, item_id, term FROM (SELECT key, item_id, unnest(terms) AS term FROM (SELECT row_number() OVER () AS key, item_id, {_TERMS} AS terms FROM benchmark))),
+s AS (
+    SELECT key, item_id, row, doc_id, CAST(sum(w * ((1000000000 * tf) // (1000 * tf + 20 * m))) AS BIGINT) AS score
+    FROM q JOIN w USING (term) JOIN tf USING (term) JOIN m USING (row) GROUP BY 1, 2, 3, 4
+)
+SELECT item_id, CAST(row_number() OVER (PARTITION BY key ORDER BY score DESC, doc_id) AS INTEGER) AS rank, doc_id, score
+FROM s WHERE score > 0 QUALIFY rank <= 50
+"""
+
+
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings")
+    label = F.when(F.pmod("vec_id", F.lit(7)) == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.mine(rows.select("vec_id", "embedding", label.alias("label"), (F.col("vec_id") % 100 == 0).alias("is_anchor")))
+
+
+#: Brute force in SQL: every anchor's product with every row.
+HARD_NEGATIVES_SQL = """
+WITH r AS (
+    SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS v
+    FROM embeddings
+    WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), s AS (
+    SELECT a.vec_id AS anchor_id, b.vec_id, a.label = b.label AS same, CAST(list_inner_product(a.v, b.v) AS BIGINT) AS score
+    FROM r a JOIN r b ON a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id
+), p AS (
+    SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM s WHERE same
+    QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5
+), n AS (
+    SELECT anchor_id, positive_id, CAST(row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id AS negative_id, positive_score, score AS negative_score
+    FROM p JOIN s USING (anchor_id)
+    WHERE NOT same AND 80 * positive_score <= 100 * score AND score <= positive_score
+)
+SELECT * FROM n WHERE rank <= 5
+"""
+
+
 def op13_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identify(table(spark, sf_dir, "documents"))
 
@@ -69,8 +118,8 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_packing, op2_pages, op3_simhash, op4_embeddings, op5_line_dedup, op6_quality, op7_token_files, op8_byte_bpe, op9_language_model, op10_sharding, op13_language_id, pipeline)}
+    return {f.__name__: f for f in (op1_packing, op2_pages, op3_simhash, op4_embeddings, op5_line_dedup, op6_quality, op7_token_files, op8_byte_bpe, op9_language_model, op10_sharding, op11_lexical_search, op12_hard_negatives, op13_language_id, pipeline)}
 
 
 def oracle_sql() -> dict:
-    return {}
+    return {"op11_lexical_search": LEXICAL_SEARCH_SQL, "op12_hard_negatives": HARD_NEGATIVES_SQL}
