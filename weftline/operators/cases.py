@@ -9,9 +9,10 @@ from pyspark.sql import functions as F
 
 from weftline.functions.expr import top_k
 from weftline.operators.reco import TOP, USER
-from weftline.sources.tables import CORE_TYPES
 
 ITEM = [*USER, "article_id"]
+# The attribute types of the trend views, in the order in which they are shown.
+TREND_TYPES = ("colour_group_name", "product_type_name", "graphical_appearance_name", "garment_group_name")
 # Attribute types that explain a case, those of the top-k chart, buckets of growth, and tags of a case.
 EXPLAINING = ("graphical_appearance_name", "product_group_name", "colour_group_name")
 CHARTED = ("colour_group_name", "product_type_name", "graphical_appearance_name")
@@ -88,21 +89,21 @@ def trend_attributes(view: DataFrame, per_type: int = 50) -> DataFrame:
     return top_k(view, ["week_id", "attr_type"], [F.round("pred_target_growth", 9).desc(), "attr_id"], per_type, "rank").withColumns({"source_week": F.col("week_id"), "target_week": F.col("week_id") + 1}).drop("week_id")
 
 
-def latest_week(view: DataFrame) -> DataFrame:
-    """The last test week, as one row."""
-    return F.broadcast(view.where("split = 'test'").agg(F.max("week_id").alias("week")))
+def latest_week(view: DataFrame, back: int = 0) -> DataFrame:
+    """The last test week, or ``back`` weeks before it, as one row."""
+    return F.broadcast(view.where("split = 'test'").agg((F.max("week_id") - back).alias("week")))
 
 
-def at_latest(attributes: DataFrame, view: DataFrame) -> DataFrame:
-    return attributes.join(latest_week(view), F.col("source_week") == F.col("week")).drop("week")
+def at_latest(attributes: DataFrame, view: DataFrame, back: int = 0) -> DataFrame:
+    return attributes.join(latest_week(view, back), F.col("source_week") == F.col("week")).drop("week")
 
 
 def core_trends(attributes: DataFrame, limit: int) -> DataFrame:
-    return attributes.where(F.col("attr_type").isin(*CORE_TYPES) & (F.col("rank") <= limit))
+    return attributes.where(F.col("attr_type").isin(*TREND_TYPES) & (F.col("rank") <= limit))
 
 
 def type_place() -> Column:
-    return F.array_position(F.array(*[F.lit(x) for x in CORE_TYPES]), F.col("attr_type"))
+    return F.array_position(F.array(*[F.lit(x) for x in TREND_TYPES]), F.col("attr_type"))
 
 
 def growth_histogram(core: DataFrame) -> DataFrame:
@@ -120,10 +121,11 @@ def trend_summary(core: DataFrame, edges: DataFrame) -> DataFrame:
     return core.agg(F.min("target_week").alias("target_week"), F.count_if(g > 0).alias("rising_attribute_count"), F.count_if(g >= CONFIDENT).alias("high_confidence_attribute_count"), F.avg("pred_target_growth").alias("mean_growth")).crossJoin(covered)
 
 
-def new_high_potential(attributes: DataFrame, view: DataFrame, limit: int) -> DataFrame:
-    """The latest week's core trends that no earlier week had among its first ``limit``; the first ``limit`` of them by type, then rank."""
-    now = core_trends(at_latest(attributes, view), limit)
-    before = attributes.where(F.col("rank") <= limit).join(latest_week(view), F.col("source_week") < F.col("week")).select("attr_id")
+def new_high_potential(attributes: DataFrame, view: DataFrame, limit: int, back: int = 0) -> DataFrame:
+    """A week's core trends that no earlier week had among its first ``limit``; the first ``limit`` of them by type, then rank. The
+    week is the latest one, or ``back`` weeks before it."""
+    now = core_trends(at_latest(attributes, view, back), limit)
+    before = attributes.where(F.col("rank") <= limit).join(latest_week(view, back), F.col("source_week") < F.col("week")).select("attr_id")
     fresh = now.join(before, "attr_id", "left_anti").withColumn("place", type_place())
     return fresh.orderBy("place", "rank").limit(limit).drop("place")
 

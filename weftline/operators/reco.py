@@ -28,8 +28,10 @@ METHODS = {
     "pop_similarity_trend": {"pop_score": 0.2, "sim_score": 0.2, "trend_score": 0.1, "recent_score": 0.5},
     "enhanced_pop_similarity_trend": dict(zip(SCORES, (0.14, 0.30, 0.10, 0.08, 0.16, 0.08, 0.04, 0.04, 0.03, 0.03), strict=True)),
 }
-STRATEGY = {"global_popularity": "popularity", "recent_popularity": "recent_popularity", "attribute_similarity": "similarity", "pop_similarity": "default", "pop_similarity_trend": "default", "enhanced_pop_similarity_trend": "enhanced_default"}
-STRATEGIES = {"popularity": SOURCES[:1], "recent_popularity": SOURCES[:1], "similarity": SOURCES[1:2], "trend_union": SOURCES[2:3], "default": SOURCES[:3], "enhanced_default": SOURCES}
+STRATEGY = {"global_popularity": "all_popularity", "recent_popularity": "popularity", "attribute_similarity": "similarity", "pop_similarity": "default", "pop_similarity_trend": "default", "enhanced_pop_similarity_trend": "enhanced_default"}
+# The candidate strategies and their sources. Popularity is that of the last weeks; only the method global_popularity, with a strategy of its own, counts all weeks.
+STRATEGIES = {"popularity": SOURCES[:1], "similarity": SOURCES[1:2], "trend_union": SOURCES[2:3], "default": SOURCES[:3], "enhanced_default": SOURCES}
+ALL_WEEKS = {"all_popularity": SOURCES[:1]}
 
 
 def customer_profile(customers: DataFrame) -> DataFrame:
@@ -132,19 +134,33 @@ def from_reorder(past: DataFrame, top: int = TOP) -> DataFrame:
     return top_k(past, USER, [F.desc("last_week"), F.desc("n"), "article_id"], top).select(*ITEM, F.lit("reorder").alias("source"), F.col("rn").alias("source_rank"))
 
 
-def variant_rows(reorder: DataFrame, popular: DataFrame, products: DataFrame, seeds: int = 6, per_seed: int = 3) -> DataFrame:
-    """Other articles of the products of a user's first reorder articles, by popularity: the first few of each seed."""
+def product_map(articles: DataFrame) -> DataFrame:
+    """Articles with a product code, each pair once."""
+    return articles.where("product_code IS NOT NULL AND product_code <> ''").select("article_id", "product_code").distinct()
+
+
+def variant_rows(reorder: DataFrame, popular: DataFrame, products: DataFrame, windows: DataFrame, seeds: int = 6, per_seed: int = 3) -> DataFrame:
+    """Other articles of the products of a user's first reorder articles, by popularity up to the cutoff: the first few of each seed.
+
+    Articles that nobody bought yet have popularity 0. products: product_map.
+    """
     seed = reorder.where(F.col("source_rank") <= seeds).select(*USER, F.col("article_id").alias("seed_id"), F.col("source_rank").alias("seed_rank"))
-    known = products.select("article_id", "product_code")
+    offered = products.crossJoin(F.broadcast(windows)).join(popular, [*WIN, "article_id"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
     # a product's candidates are cut to the seeds' needs first: a seed takes the best few that aren't itself
-    best = top_k(popular.join(known, "article_id"), [*WIN, "product_code"], [F.desc("n"), "article_id"], per_seed + 1).drop("rn")
-    pairs = seed.join(known.withColumnRenamed("article_id", "seed_id"), "seed_id").join(best, [*WIN, "product_code"]).where("article_id <> seed_id")
+    best = top_k(offered, [*WIN, "product_code"], [F.desc("n"), "article_id"], per_seed + 1).drop("rn")
+    pairs = seed.join(products.withColumnRenamed("article_id", "seed_id"), "seed_id").join(best, [*WIN, "product_code"]).where("article_id <> seed_id")
     return top_k(pairs, [*USER, "seed_id"], [F.desc("n"), "article_id"], per_seed)
 
 
+def variant_ranks(pairs: DataFrame, top: int | None = None) -> DataFrame:
+    """rn of a user's variants (ITEM, n, seed_rank, a row for each seed): by greatest popularity, then least seed rank, then id."""
+    once = pairs.groupBy(*ITEM).agg(F.max("n").alias("n"), F.min("seed_rank").alias("seed_rank"))
+    order = [F.desc("n"), "seed_rank", "article_id"]
+    return top_k(once, USER, order, top) if top else once.withColumn("rn", F.row_number().over(Window.partitionBy(*USER).orderBy(*order)))
+
+
 def from_variants(variants: DataFrame, top: int = TOP) -> DataFrame:
-    once = top_k(variants.drop("rn"), ITEM, ["seed_rank", F.desc("n")], 1).drop("rn")
-    return top_k(once, USER, ["seed_rank", F.desc("n"), "article_id"], top).select(*ITEM, F.lit("product_variant").alias("source"), F.col("rn").alias("source_rank"))
+    return variant_ranks(variants, top).select(*ITEM, F.lit("product_variant").alias("source"), F.col("rn").alias("source_rank"))
 
 
 def age_pool(weekly: DataFrame, profile: DataFrame, windows: DataFrame, pool: int = 50) -> DataFrame:
@@ -255,9 +271,15 @@ def reorder_score(rows: DataFrame, past: DataFrame) -> DataFrame:
     return _scaled(out, "reorder_score", USER)
 
 
-def variant_score(rows: DataFrame, variants: DataFrame) -> DataFrame:
-    best = variants.groupBy(*ITEM).agg(F.max(0.7 * rank_norm(F.col("rn"), TOP) + 0.3 * rank_norm(F.col("seed_rank"), 6)).alias("variant_score"))
-    return _scaled(_attach(rows, best, ITEM, "variant_score"), "variant_score", USER)
+def variant_score(rows: DataFrame, reorder: DataFrame, popular: DataFrame, products: DataFrame, seeds: int = 6) -> DataFrame:
+    """Of candidates that the variant source brought: their rank among the user's by popularity and seed, and the best seed's rank.
+    Every seed of the same product counts, also one whose own first variants didn't include the candidate."""
+    ours = rows.where(F.col("mask").bitwiseAND(1 << SOURCES.index("product_variant")) > 0).select(*ITEM).join(products, "article_id")
+    seed = reorder.where(F.col("source_rank") <= seeds).select(*USER, F.col("article_id").alias("seed_id"), F.col("source_rank").alias("seed_rank"))
+    pairs = ours.join(seed.join(products.withColumnRenamed("article_id", "seed_id"), "seed_id"), [*USER, "product_code"]).where("article_id <> seed_id")
+    known = pairs.join(popular.select(*WIN, "article_id", "n"), [*WIN, "article_id"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    scored = variant_ranks(known).select(*ITEM, (0.7 * rank_norm(F.col("rn"), TOP) + 0.3 * rank_norm(F.col("seed_rank"), seeds)).alias("variant_score"))
+    return _scaled(_attach(rows, scored, ITEM, "variant_score"), "variant_score", USER)
 
 
 def age_pop_score(rows: DataFrame, pool: DataFrame, profile: DataFrame) -> DataFrame:
@@ -302,8 +324,8 @@ def fill_items(ranked: DataFrame, popular: DataFrame, first: DataFrame, users: D
     best = top_k(popular, WIN, [F.desc("n"), "article_id"], pool).select(*WIN, "article_id", F.col("rn").alias("source_rank"))
     offered = seen(short.join(F.broadcast(best), WIN), first).where("NOT is_seen").drop("is_seen").join(ranked.select(*ITEM), ITEM, "left_anti")
     more = top_k(offered, USER, ["source_rank"], top).withColumn("rank", (F.col("have") + F.col("rn")).cast("int")).where(F.col("rank") <= top)
-    last = F.broadcast(more.agg(F.greatest(F.max("source_rank"), F.lit(1)).alias("last")))
-    return more.crossJoin(last).select(*ITEM, "rank", F.greatest(F.lit(0.0), F.least(F.lit(1.0), (F.col("last") + 1 - F.col("source_rank")) / F.col("last"))).alias("source_score"))
+    last = F.broadcast(more.groupBy(*WIN).agg(F.greatest(F.max("source_rank"), F.lit(1)).alias("last")))  # a row for each window
+    return more.join(last, WIN).select(*ITEM, "rank", F.greatest(F.lit(0.0), F.least(F.lit(1.0), (F.col("last") + 1 - F.col("source_rank")) / F.col("last"))).alias("source_score"))
 
 
 ITEM_SCORES = ("pop_score", "recent_score", "sim_score", "trend_score")

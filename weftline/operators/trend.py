@@ -145,31 +145,13 @@ def sibling_links(hierarchy: DataFrame) -> DataFrame:
     return a.join(b, "parent_attr_id").where("attr_id <> sibling_id").groupBy("attr_id", "sibling_id").agg(F.sum(F.col("wa") * F.col("wb")).alias("weight"))
 
 
-def sibling_features(base: DataFrame, hierarchy: DataFrame) -> DataFrame:
-    other = base.select("week_id", F.col("attr_id").alias("sibling_id"), F.col("share_t").alias("s"), F.col("growth_lag_1").alias("g"), F.col("rank_pct").alias("r"))
-    own = base.select("week_id", "attr_id", F.col("share_t").alias("own_s"), F.col("growth_lag_1").alias("own_g"))
-    mean = lambda c: F.sum(F.col(c) * F.col("weight")) / F.sum("weight")
-    joined = own.join(sibling_links(hierarchy), "attr_id").join(other, ["week_id", "sibling_id"])
-    return joined.groupBy("week_id", "attr_id").agg(F.countDistinct("sibling_id").alias("sibling_count"), mean("s").alias("sibling_share"), mean("g").alias("sibling_growth"), mean("r").alias("sibling_rank_pct"), F.max("s").alias("sibling_max_share"), (F.first("own_s") - mean("s")).alias("sibling_share_gap"), (F.first("own_g") - mean("g")).alias("sibling_growth_gap"))
-
-
 def hierarchy_structure(nodes: DataFrame, hierarchy: DataFrame) -> DataFrame:
     up = hierarchy.groupBy(F.col("child_attr_id").alias("attr_id")).agg(F.sum("edge_weight").alias("u"))
     down = hierarchy.groupBy(F.col("parent_attr_id").alias("attr_id")).agg(F.sum("edge_weight").alias("d"))
     u, d = F.coalesce("u", F.lit(0)), F.coalesce("d", F.lit(0))
     flag = lambda c: c.cast("int")
-    return nodes.select("attr_id").join(up, "attr_id", "left").join(down, "attr_id", "left").select("attr_id", u.alias("parent_weight"), d.alias("child_weight"), F.log1p(u).alias("log_parent_weight"), F.log1p(d).alias("log_child_weight"), flag(u > 0).alias("has_parent"), flag(d > 0).alias("has_child"), flag((u == 0) & (d > 0)).alias("is_root"), flag((u > 0) & (d == 0)).alias("is_leaf"))
-
-
-def graph_context(samples: DataFrame, nodes: DataFrame, hierarchy: DataFrame) -> DataFrame:
-    """All graph columns of a sample; none where there is no such neighbour means 0."""
-    base = rank_percent(samples).select("week_id", "attr_id", "heat_t", "share_t", "growth_lag_1", "rank_pct")
-    keys = ["week_id", "attr_id"]
-    out = base.join(neighbour_means(base, hierarchy, "parent"), keys, "left").join(neighbour_means(base, hierarchy, "child"), keys, "left").join(sibling_features(base, hierarchy), keys, "left").join(hierarchy_structure(nodes, hierarchy), "attr_id", "left")
-    gap = lambda a, b: F.coalesce(F.col(a) - F.col(b), F.lit(0.0))
-    gaps = [gap(a, f"{s}_{n}").alias(f"{s}_{n}_gap") for s in ("parent", "child") for a, n in (("share_t", "share"), ("growth_lag_1", "growth"))]
-    kept = [c for c in out.columns if c not in ("week_id", "attr_id", "heat_t", "share_t", "growth_lag_1")]
-    return out.select(*keys, *[F.coalesce(c, F.lit(0)).alias(c) for c in kept], *gaps)
+    # an isolated attribute is a root and a leaf
+    return nodes.select("attr_id").join(up, "attr_id", "left").join(down, "attr_id", "left").select("attr_id", u.alias("parent_weight"), d.alias("child_weight"), F.log1p(u).alias("log_parent_weight"), F.log1p(d).alias("log_child_weight"), flag(u > 0).alias("has_parent"), flag(d > 0).alias("has_child"), flag(u == 0).alias("is_root"), flag(d == 0).alias("is_leaf"))
 
 
 def neighbourhood(hierarchy: DataFrame, attribute: str) -> DataFrame:

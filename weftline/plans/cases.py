@@ -10,13 +10,14 @@ from pyspark.sql import functions as F
 from weftline.functions.expr import rounded, top_k
 from weftline.operators import cases, checks, forecast, reco
 from weftline.plans.catalog import query
-from weftline.plans.reco import EXPERIMENT, MAIN, METRIC_NAMES, Reco, method_summary, shared
-from weftline.plans.reco_sql import PU, U
+from weftline.plans.reco import EXPERIMENT, MAIN, Reco, method_summary, shared
+from weftline.plans.reco_sql import U
 from weftline.plans.sql import rounds
-from weftline.sources.tables import CORE_TYPES
 
 #: Parameters of the views as registered: cases shown, trends of a type, how far before the last week heat is shown, texts looked for.
 REPORT_CASES, DEMO_CASES, LIMIT, WEEKS_BACK, QUERY = 20, 30, 5, 2, "re"
+#: The week whose new trends are shown lies so many weeks before the latest: by the latest week, hardly any attribute is new on the given tables.
+NEW_BACK = 13
 
 
 class Views:
@@ -89,7 +90,7 @@ def _long(rows: str, domain: str, name: str, metrics: tuple[str, ...]) -> str:
 VIEWS = EXPERIMENT + f""", tv AS (SELECT p.*, heat_t, history_total_heat_t, history_active_weeks_t, is_trend_eligible_t FROM ma p JOIN samples s USING (week_id, attr_id) WHERE p.split <> 'train'),
 lastweek AS (SELECT max(week_id) AS week FROM tv WHERE split = 'test'),
 ta AS (SELECT * EXCLUDE (week_id), week_id AS source_week, week_id + 1 AS target_week FROM (SELECT *, row_number() OVER (PARTITION BY week_id, attr_type ORDER BY round(pred_target_growth, 9) DESC, attr_id) AS rank FROM tv) WHERE rank <= 50),
-coretop AS (SELECT * FROM ta WHERE source_week = (SELECT week FROM lastweek) AND attr_type IN {_in(CORE_TYPES)}),
+coretop AS (SELECT * FROM ta WHERE source_week = (SELECT week FROM lastweek) AND attr_type IN {_in(cases.TREND_TYPES)}),
 series AS (
   SELECT s.*, target_growth AS actual_target_growth, pred_target_growth, pred_share_t1 FROM (SELECT DISTINCT attr_id, attr_type, attr_value, week_id, heat FROM (
     SELECT a.source_week, h.attr_id, h.attr_type, h.attr_value, h.week_id, heat_cnt AS heat, row_number() OVER (PARTITION BY h.attr_id, a.source_week ORDER BY h.week_id DESC) AS rn FROM (SELECT DISTINCT attr_id, source_week FROM ta) a JOIN heat h ON h.attr_id = a.attr_id AND h.week_id <= source_week) WHERE rn <= 8) s
@@ -122,8 +123,9 @@ _register("win_topk_trend_attrs", f"SELECT {TREND_ROW} FROM ta", lambda v: v.att
 _register("win_core_trends", f"SELECT {TREND_ROW} FROM coretop WHERE rank <= {LIMIT}", lambda v: v.core(LIMIT).select(*TREND_COLUMNS))
 _register(
     "win_new_high_potential",
-    f"SELECT {TREND_ROW} FROM coretop ANTI JOIN (SELECT attr_id FROM ta WHERE rank <= {LIMIT} AND source_week < (SELECT week FROM lastweek)) USING (attr_id) WHERE rank <= {LIMIT} ORDER BY list_position({_list(CORE_TYPES)}, attr_type), rank LIMIT {LIMIT}",
-    lambda v: cases.new_high_potential(v.attributes, v.view, LIMIT).select(*TREND_COLUMNS),
+    f"SELECT {TREND_ROW} FROM ta ANTI JOIN (SELECT attr_id FROM ta WHERE rank <= {LIMIT} AND source_week < (SELECT week FROM lastweek) - {NEW_BACK}) USING (attr_id) "
+    f"WHERE rank <= {LIMIT} AND source_week = (SELECT week FROM lastweek) - {NEW_BACK} AND attr_type IN {_in(cases.TREND_TYPES)} ORDER BY list_position({_list(cases.TREND_TYPES)}, attr_type), rank LIMIT {LIMIT}",
+    lambda v: cases.new_high_potential(v.attributes, v.view, LIMIT, NEW_BACK).select(*TREND_COLUMNS),
 )
 _register("win_latest_per_attr", f"SELECT {TREND_ROW} FROM ta QUALIFY row_number() OVER (PARTITION BY attr_id ORDER BY source_week DESC, rank) = 1", lambda v: top_k(v.attributes, ["attr_id"], [F.desc("source_week"), "rank"], 1).select(*TREND_COLUMNS))
 _register("win_last_n_history", f"SELECT {SERIES} FROM series", lambda v: v.series.select(*SERIES_COLUMNS))
@@ -190,4 +192,3 @@ def report_tables(v: Views) -> DataFrame:
 
 _register("join_cte_missing_rows", f"SELECT (SELECT count(*) FROM demousers ANTI JOIN caseitems USING (case_id)) AS n_without_items, (SELECT count(*) FROM users ANTI JOIN it_{MAIN} USING ({U})) AS n_users_without_items", lambda v: v.users.join(v.items, reco.USER, "left_anti").agg(F.count(F.lit(1)).alias("n_without_items")).crossJoin(v.half.users.join(v.items, reco.USER, "left_anti").agg(F.count(F.lit(1)).alias("n_users_without_items"))))
 _register("dq_score_components", f"SELECT (SELECT count(*) FROM items ANTI JOIN feat USING ({U}, article_id)) AS n_missing, (SELECT count(*) FROM (SELECT 1 FROM feat GROUP BY {U}, article_id HAVING count(*) > 1)) AS n_repeated", lambda v: v.half.items().join(v.half.features(), ITEM, "left_anti").agg(F.count(F.lit(1)).alias("n_missing")).crossJoin(checks.unique_key(v.half.features(), ITEM).select(F.col("n_violations").alias("n_repeated"))))
-assert METRIC_NAMES[-1] == "missing_users" and PU

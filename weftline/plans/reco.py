@@ -79,7 +79,7 @@ class Reco(Trend):
 
     @cached_property
     def products(self) -> DataFrame:
-        return self.articles.select("article_id", "product_code")
+        return self.keep(reco.product_map(self.articles))
 
     @cached_property
     def reorder(self) -> DataFrame:
@@ -87,7 +87,7 @@ class Reco(Trend):
 
     @cached_property
     def variants(self) -> DataFrame:
-        return self.keep(reco.variant_rows(self.reorder, self.popular, self.products))
+        return self.keep(reco.variant_rows(self.reorder, self.popular, self.products, self.windows))
 
     @cached_property
     def ages(self) -> DataFrame:
@@ -115,7 +115,7 @@ class Reco(Trend):
 
     def candidates(self, strategy: str = "enhanced_default") -> DataFrame:
         if strategy not in self.by_strategy:
-            frames = [self.source(s, recent=strategy != "popularity") for s in reco.STRATEGIES[strategy]]
+            frames = [self.source(s, recent=strategy not in reco.ALL_WEEKS) for s in (reco.STRATEGIES | reco.ALL_WEEKS)[strategy]]
             self.by_strategy[strategy] = self.keep(reco.merge_sources(frames, strategy))
         return self.by_strategy[strategy]
 
@@ -125,7 +125,7 @@ class Reco(Trend):
             rows = reco.seen(self.candidates(strategy), self.first)
             rows = reco.sim_score(reco.article_scores(rows, self.popular, self.recent, self.trends), self.edges, self.profile)
             if strategy == "enhanced_default":
-                rows = reco.variant_score(reco.reorder_score(rows, self.past), self.variants)
+                rows = reco.variant_score(reco.reorder_score(rows, self.past), self.reorder, self.popular, self.products)
                 rows = reco.preference_pop_score(reco.age_pop_score(rows, self.ages, self.customers), self.attributes, self.profile)
                 rows = reco.source_scores(self.keep(rows))
             self.scored[strategy] = self.keep(rows)
@@ -189,7 +189,7 @@ CAND = f"{W}, strategy, customer_id, article_id, candidate_sources, primary_sour
 _register("ret_merge_sources", f"SELECT {CAND} FROM cand", lambda t: t.candidates())
 _register(
     "ret_strategies",
-    "SELECT 'popularity' AS strategy, count(*) AS n FROM s_pop UNION ALL SELECT 'recent_popularity', count(*) FROM s_recent UNION ALL SELECT 'similarity', count(*) FROM s_sim UNION ALL SELECT 'trend_union', count(*) FROM s_trend UNION ALL SELECT 'default', count(*) FROM cand WHERE mask & 7 > 0 UNION ALL SELECT 'enhanced_default', count(*) FROM cand",
+    "SELECT 'popularity' AS strategy, count(*) AS n FROM s_recent UNION ALL SELECT 'similarity', count(*) FROM s_sim UNION ALL SELECT 'trend_union', count(*) FROM s_trend UNION ALL SELECT 'default', count(*) FROM cand WHERE mask & 7 > 0 UNION ALL SELECT 'enhanced_default', count(*) FROM cand",
     lambda t: reduce(DataFrame.unionByName, [t.candidates(s).groupBy("strategy").agg(F.count(F.lit(1)).alias("n")) for s in reco.STRATEGIES]),
 )
 _register("flag_candidate_seen", f"SELECT {U}, article_id, is_seen FROM feat WHERE is_seen", lambda t: t.features().where("is_seen").select(*ITEM, "is_seen"))

@@ -64,13 +64,15 @@ wpred AS (SELECT w.split, w.cutoff_week, w.label_week, attr_id, attr_type, pred_
 tscore AS (SELECT {_w}, article_id, max(pred_target_growth) AS score FROM wpred JOIN core USING (attr_id) GROUP BY ALL),
 s_trend AS (SELECT {_u}, article_id, 'trend' AS source, rn AS source_rank FROM users JOIN (SELECT *, row_number() OVER ({PW} ORDER BY round(score, 9) DESC, article_id) AS rn FROM tscore) USING ({_w}) WHERE rn <= 12),
 s_reorder AS (SELECT {_u}, article_id, 'reorder' AS source, rn AS source_rank FROM (SELECT *, row_number() OVER ({PU} ORDER BY last_week DESC, n DESC, article_id) AS rn FROM hist) WHERE rn <= 12),
+prodmap AS (SELECT DISTINCT article_id, product_code FROM art WHERE product_code <> ''),
+offered AS (SELECT {_w}, article_id, product_code, coalesce(n, 0) AS n FROM prodmap CROSS JOIN win LEFT JOIN pop USING ({_w}, article_id)),
+seeds AS (SELECT {_u}, s.article_id AS seed_id, source_rank AS seed_rank, product_code FROM s_reorder s JOIN prodmap USING (article_id) WHERE source_rank <= 6),
 variants AS (
-  SELECT * FROM (SELECT s.split, s.cutoff_week, s.label_week, s.customer_id, p.article_id, s.article_id AS seed_id, s.source_rank AS seed_rank, p.n, row_number() OVER (PARTITION BY s.split, s.cutoff_week, s.label_week, s.customer_id, s.article_id ORDER BY p.n DESC, p.article_id) AS rn
-  FROM s_reorder s JOIN art a ON a.article_id = s.article_id JOIN (SELECT pop.*, product_code FROM pop JOIN art USING (article_id)) p ON p.product_code = a.product_code AND p.split = s.split AND p.cutoff_week = s.cutoff_week AND p.label_week = s.label_week AND p.article_id <> s.article_id
-  WHERE s.source_rank <= 6) WHERE rn <= 3),
+  SELECT * FROM (SELECT {_u}, article_id, seed_id, seed_rank, n, row_number() OVER ({PU}, seed_id ORDER BY n DESC, article_id) AS rn
+  FROM seeds JOIN offered USING ({_w}, product_code) WHERE article_id <> seed_id) WHERE rn <= 3),
 s_variant AS (
-  SELECT {_u}, article_id, 'product_variant' AS source, rn AS source_rank FROM (SELECT *, row_number() OVER ({PU} ORDER BY seed_rank, n DESC, article_id) AS rn
-  FROM (SELECT * EXCLUDE (once, rn) FROM (SELECT *, row_number() OVER ({PU}, article_id ORDER BY seed_rank, n DESC) AS once FROM variants) WHERE once = 1)) WHERE rn <= 12),
+  SELECT {_u}, article_id, 'product_variant' AS source, rn AS source_rank FROM (SELECT *, row_number() OVER ({PU} ORDER BY n DESC, seed_rank, article_id) AS rn
+  FROM (SELECT {_u}, article_id, max(n) AS n, min(seed_rank) AS seed_rank FROM variants GROUP BY ALL)) WHERE rn <= 12),
 agepool AS (
   SELECT * FROM (SELECT *, row_number() OVER ({PW}, age_bucket ORDER BY n DESC, article_id) AS rn
   FROM (SELECT {_w}, age_bucket, article_id, count(*) AS n FROM tx JOIN cust USING (customer_id) JOIN win ON week_id <= cutoff_week AND week_id > cutoff_week - 4 GROUP BY ALL)) WHERE rn <= 50),
@@ -83,6 +85,9 @@ allsources AS (SELECT *, {_place} AS place FROM (SELECT * FROM s_recent UNION AL
 cand AS (
   SELECT {_w}, 'enhanced_default' AS strategy, customer_id, article_id, string_agg(source, '|' ORDER BY place) AS candidate_sources, arg_min(source, source_rank * 10 + place) AS primary_source, min(source_rank) AS best_source_rank,
          CAST(sum(1 << place) AS INTEGER) AS mask, bool_or(source = 'reorder') AS has_reorder_source FROM allsources GROUP BY ALL),
+vscore AS (
+  SELECT {_u}, article_id, 0.7 * {norm("rn", 12)} + 0.3 * {norm("seed_rank", 6)} AS v FROM (SELECT *, row_number() OVER ({PU} ORDER BY n DESC, seed_rank, article_id) AS rn
+  FROM (SELECT {_u}, article_id, max(n) AS n, min(seed_rank) AS seed_rank FROM (SELECT {_u}, article_id, product_code FROM cand JOIN prodmap USING (article_id) WHERE mask & 16 > 0) JOIN seeds USING ({_u}, product_code) JOIN offered USING ({_w}, product_code, article_id) WHERE article_id <> seed_id GROUP BY ALL))),
 atrend AS (
   SELECT {_w}, article_id, sum(g * w) / sum(w) AS v FROM (SELECT *, {_weight} AS w, {minmax("pred_target_growth", PW + ", attr_type")} AS g FROM wpred WHERE attr_type IN ({_core})) JOIN core USING (attr_id) GROUP BY ALL),
 f1 AS (
@@ -93,7 +98,7 @@ f1 AS (
   LEFT JOIN (SELECT {_u}, article_id, sum(preference_score) AS v FROM profile JOIN core USING (attr_id) GROUP BY ALL) s ON s.split = c.split AND s.cutoff_week = c.cutoff_week AND s.customer_id = c.customer_id AND s.article_id = c.article_id
   LEFT JOIN atrend t ON t.split = c.split AND t.cutoff_week = c.cutoff_week AND t.article_id = c.article_id
   LEFT JOIN (SELECT {_u}, article_id, 0.7 * {norm("lr", 12)} + 0.3 * {norm("cr", 12)} AS v FROM (SELECT *, row_number() OVER ({PU} ORDER BY last_week DESC, n DESC, article_id) AS lr, row_number() OVER ({PU} ORDER BY n DESC, last_week DESC, article_id) AS cr FROM hist)) o ON o.split = c.split AND o.cutoff_week = c.cutoff_week AND o.customer_id = c.customer_id AND o.article_id = c.article_id
-  LEFT JOIN (SELECT {_u}, article_id, max(0.7 * {norm("rn", 12)} + 0.3 * {norm("seed_rank", 6)}) AS v FROM variants GROUP BY ALL) v ON v.split = c.split AND v.cutoff_week = c.cutoff_week AND v.customer_id = c.customer_id AND v.article_id = c.article_id
+  LEFT JOIN vscore v ON v.split = c.split AND v.cutoff_week = c.cutoff_week AND v.customer_id = c.customer_id AND v.article_id = c.article_id
   LEFT JOIN cust ON cust.customer_id = c.customer_id LEFT JOIN (SELECT {_w}, age_bucket, article_id, {norm("rn", 12)} AS v FROM agepool) a ON a.split = c.split AND a.cutoff_week = c.cutoff_week AND a.age_bucket = cust.age_bucket AND a.article_id = c.article_id
   LEFT JOIN (SELECT {_u}, article_id, max(preference_score * {norm("attr_rank", 4)}) AS v FROM profile JOIN attrpool USING ({_w}, attr_id) GROUP BY ALL) q ON q.split = c.split AND q.cutoff_week = c.cutoff_week AND q.customer_id = c.customer_id AND q.article_id = c.article_id),
 feat AS (
@@ -116,13 +121,13 @@ feat_{name} AS (
 def _fill(name: str, popular: str) -> str:
     """Popular items behind the ranked ones of users with fewer than 12."""
     return f""", fl_{name} AS (
-  SELECT {_u}, article_id, have + fr AS rank, greatest(0.0, least(1.0, (max(source_rank) OVER () + 1 - source_rank) / CAST(max(source_rank) OVER () AS DOUBLE))) AS source_score FROM (
+  SELECT {_u}, article_id, have + fr AS rank, greatest(0.0, least(1.0, (max(source_rank) OVER ({PW}) + 1 - source_rank) / CAST(max(source_rank) OVER ({PW}) AS DOUBLE))) AS source_score FROM (
     SELECT {_u}, article_id, have, source_rank, row_number() OVER ({PU} ORDER BY source_rank) AS fr FROM (
       SELECT {_u}, coalesce(have, 0) AS have, p.article_id, p.rn AS source_rank FROM users LEFT JOIN (SELECT {_u}, count(*) AS have FROM rk_{name} GROUP BY ALL) USING ({_u}) JOIN {popular} p USING ({_w}) WHERE coalesce(have, 0) < 12 AND p.rn <= 50)
     LEFT JOIN firstw USING (customer_id, article_id) ANTI JOIN rk_{name} USING ({_u}, article_id) WHERE coalesce(first_week > cutoff_week, true)) WHERE have + fr <= 12)"""
 
 
-_FEAT = {"popularity": "popg", "recent_popularity": "popr", "similarity": "simi", "default": "dflt"}
+_FEAT = {"all_popularity": "popg", "popularity": "popr", "similarity": "simi", "default": "dflt"}
 
 
 def _method(m: str) -> str:

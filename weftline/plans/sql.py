@@ -6,6 +6,22 @@ _in = lambda names: ", ".join(f"'{x}'" for x in names)
 _levels = " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in LEVELS.items())
 _hierarchy = " UNION ALL ".join(f"SELECT '{p}::' || {p} AS parent_attr_id, '{c}::' || {c} AS child_attr_id, '{p}' AS parent_attr_type, '{c}' AS child_attr_type, '{r}' AS relation_type FROM art" for p, c, r in RELATIONS)
 
+
+
+def _around(side: str, target: str, other: str) -> str:
+    """Edge-weighted means over parents or children in the same week."""
+    means = ", ".join(f"sum({c} * edge_weight) / sum(edge_weight) AS {side}_{n}" for c, n in (("heat_t", "heat"), ("share_t", "share"), ("growth_lag_1", "growth"), ("rank_pct", "rank_pct")))
+    return f"{side}m AS (SELECT week_id, {target} AS attr_id, {means} FROM kbase JOIN hier ON attr_id = {other} GROUP BY 1, 2)"
+
+
+def _wide(side: str) -> str:
+    return ", ".join(f"coalesce({side}_{short}, 0) AS kg_{side}_{long}_wavg" for short, long in (("heat", "heat_t"), ("share", "share_t"), ("growth", "growth_lag_1"), ("rank_pct", "rank_pct_t")))
+
+
+def _gaps(side: str) -> str:
+    return f"coalesce(share_t - {side}_share, 0) AS kg_self_{side}_share_gap_t, coalesce(growth_lag_1 - {side}_growth, 0) AS kg_self_{side}_growth_gap_lag_1"
+
+
 TREND = f"""WITH raw AS (
   SELECT CAST(o_orderdate AS DATE) AS t_dat, lpad(CAST(o_custkey AS VARCHAR), 10, '0') AS customer_id, lpad(CAST(l_partkey AS VARCHAR), 10, '0') AS article_id,
          l_extendedprice AS price, CAST(l_linenumber % 2 + 1 AS INTEGER) AS sales_channel_id
@@ -35,7 +51,7 @@ filled AS (
   SELECT week_id, attr_id, attr_type, attr_value, coalesce(heat_cnt, 0) AS heat_cnt
   FROM (SELECT DISTINCT week_id FROM sales) CROSS JOIN nodes LEFT JOIN observed USING (week_id, attr_id)),
 totalled AS (SELECT *, CAST(sum(heat_cnt) OVER (PARTITION BY week_id, attr_type) AS BIGINT) AS type_total_heat FROM filled),
-heat AS (
+heat AS MATERIALIZED (
   SELECT *, CASE WHEN type_total_heat = 0 THEN 0.0 ELSE CAST(heat_cnt AS DOUBLE) / type_total_heat END AS heat_share, ln(1 + heat_cnt) AS log_heat,
          row_number() OVER (PARTITION BY week_id, attr_type ORDER BY heat_cnt DESC, attr_id) AS rank_in_type FROM totalled),
 target AS (
@@ -78,8 +94,24 @@ groups AS (
          {", ".join(f'''sum(CAST(pr <= {k} AND tr <= {k} AS INTEGER)) / CAST(least({k}, max(n)) AS DOUBLE) AS precision_at_{k}, sum(CAST(pr <= {k} AND tr <= {k} AS INTEGER)) / CAST(least({k}, max(n)) AS DOUBLE) AS recall_at_{k},
          CASE WHEN max(gain) > 0 THEN sum(CASE WHEN pr <= {k} THEN gain / log2(pr + 1) ELSE 0 END) / sum(CASE WHEN tr <= {k} THEN gain / log2(tr + 1) ELSE 0 END) END AS ndcg_at_{k}''' for k in (5, 10, 20))}
   FROM centred GROUP BY ALL),
-kbase AS (SELECT week_id, attr_id, heat_t, share_t, growth_lag_1, (rank_in_type_t - 1) / CAST(greatest(count(*) OVER (PARTITION BY week_id, attr_type) - 1, 1) AS DOUBLE) AS rank_pct FROM samples),
-sib AS (SELECT a.child_attr_id AS attr_id, b.child_attr_id AS sibling_id, CAST(sum(a.edge_weight * b.edge_weight) AS DOUBLE) AS weight FROM hier a JOIN hier b ON a.parent_attr_id = b.parent_attr_id AND a.child_attr_id <> b.child_attr_id GROUP BY 1, 2)
+kbase AS MATERIALIZED (SELECT week_id, attr_id, heat_t, share_t, growth_lag_1, (rank_in_type_t - 1) / CAST(greatest(count(*) OVER (PARTITION BY week_id, attr_type) - 1, 1) AS DOUBLE) AS rank_pct FROM samples),
+sib AS (SELECT a.child_attr_id AS attr_id, b.child_attr_id AS sibling_id, CAST(sum(a.edge_weight * b.edge_weight) AS DOUBLE) AS weight FROM hier a JOIN hier b ON a.parent_attr_id = b.parent_attr_id AND a.child_attr_id <> b.child_attr_id GROUP BY 1, 2),
+{_around("parent", "child_attr_id", "parent_attr_id")},
+{_around("child", "parent_attr_id", "child_attr_id")},
+sibs AS (
+  SELECT b.week_id, b.attr_id, count(DISTINCT sibling_id) AS sibling_count, sum(o.share_t * weight) / sum(weight) AS sibling_share, sum(o.growth_lag_1 * weight) / sum(weight) AS sibling_growth, sum(o.rank_pct * weight) / sum(weight) AS sibling_rank_pct,
+         max(o.share_t) AS sibling_max_share, first(b.share_t) - sum(o.share_t * weight) / sum(weight) AS sibling_share_gap, first(b.growth_lag_1) - sum(o.growth_lag_1 * weight) / sum(weight) AS sibling_growth_gap
+  FROM kbase b JOIN sib USING (attr_id) JOIN kbase o ON o.week_id = b.week_id AND o.attr_id = sibling_id GROUP BY 1, 2),
+structure AS (
+  SELECT attr_id, CAST(coalesce(u, 0) AS BIGINT) AS parent_weight, CAST(coalesce(d, 0) AS BIGINT) AS child_weight FROM nodes
+  LEFT JOIN (SELECT child_attr_id AS attr_id, sum(edge_weight) AS u FROM hier GROUP BY 1) USING (attr_id) LEFT JOIN (SELECT parent_attr_id AS attr_id, sum(edge_weight) AS d FROM hier GROUP BY 1) USING (attr_id)),
+context AS (
+  SELECT week_id, attr_id, {_wide("parent")}, {_wide("child")}, {_gaps("parent")}, {_gaps("child")},
+         coalesce(sibling_count, 0) AS kg_sibling_count, coalesce(sibling_share, 0) AS kg_sibling_share_t_wavg, coalesce(sibling_max_share, 0) AS kg_sibling_share_t_max, coalesce(sibling_growth, 0) AS kg_sibling_growth_lag_1_wavg,
+         coalesce(sibling_rank_pct, 0) AS kg_sibling_rank_pct_t_wavg, coalesce(sibling_share_gap, 0) AS kg_self_vs_sibling_share_gap_t, coalesce(sibling_growth_gap, 0) AS kg_self_vs_sibling_growth_gap_lag_1, CAST(sibling_count IS NOT NULL AS BIGINT) AS kg_has_sibling,
+         CAST(parent_weight AS DOUBLE) AS kg_parent_edge_weight_sum, CAST(child_weight AS DOUBLE) AS kg_child_edge_weight_sum, ln(1 + parent_weight) AS kg_parent_edge_weight_log, ln(1 + child_weight) AS kg_child_edge_weight_log,
+         CAST(parent_weight > 0 AS BIGINT) AS kg_has_parent, CAST(child_weight > 0 AS BIGINT) AS kg_has_child, CAST(parent_weight = 0 AS BIGINT) AS kg_is_root_attr, CAST(child_weight = 0 AS BIGINT) AS kg_is_leaf_attr
+  FROM kbase LEFT JOIN parentm USING (week_id, attr_id) LEFT JOIN childm USING (week_id, attr_id) LEFT JOIN sibs USING (week_id, attr_id) LEFT JOIN structure USING (attr_id))
 """
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from weftline.functions.expr import average_rank, rounded, top_k
-from weftline.operators import forecast, trend
+from weftline.operators import forecast, graph, trend
 from weftline.plans.catalog import query
 from weftline.plans.sql import TREND, rounds
 from weftline.sources import tables
@@ -161,24 +161,36 @@ for _side, _target, _other in (("parent", "child_attr_id", "parent_attr_id"), ("
         lambda t, s=_side: trend.neighbour_means(t.base(), t.hierarchy, s),
     )
 _register("kg_sibling_links", "SELECT * FROM sib", lambda t: trend.sibling_links(t.hierarchy))
+_SIBLINGS = rounds("sibling_share", "sibling_growth", "sibling_rank_pct", "sibling_max_share", "sibling_share_gap", "sibling_growth_gap")
 _register(
     "kg_sibling_features",
-    "SELECT b.week_id, b.attr_id, count(DISTINCT sibling_id) AS sibling_count, round(sum(o.share_t * weight) / sum(weight), 6) AS sibling_share, round(sum(o.growth_lag_1 * weight) / sum(weight), 6) AS sibling_growth, round(sum(o.rank_pct * weight) / sum(weight), 6) AS sibling_rank_pct, round(max(o.share_t), 6) AS sibling_max_share, round(first(b.share_t) - sum(o.share_t * weight) / sum(weight), 6) AS sibling_share_gap, round(first(b.growth_lag_1) - sum(o.growth_lag_1 * weight) / sum(weight), 6) AS sibling_growth_gap FROM kbase b JOIN sib USING (attr_id) JOIN kbase o ON o.week_id = b.week_id AND o.attr_id = sibling_id GROUP BY 1, 2",
-    lambda t: trend.sibling_features(t.base(), t.hierarchy),
+    f"SELECT week_id, attr_id, sibling_count, {_SIBLINGS} FROM sibs",
+    lambda t: graph.sibling_features(t.base(), t.hierarchy),
 )
 _register(
     "kg_structure",
-    "SELECT attr_id, u AS parent_weight, d AS child_weight, round(ln(1 + u), 6) AS log_parent_weight, round(ln(1 + d), 6) AS log_child_weight, CAST(u > 0 AS INTEGER) AS has_parent, CAST(d > 0 AS INTEGER) AS has_child, CAST(u = 0 AND d > 0 AS INTEGER) AS is_root, CAST(u > 0 AND d = 0 AS INTEGER) AS is_leaf FROM (SELECT attr_id, CAST(coalesce((SELECT sum(edge_weight) FROM hier WHERE child_attr_id = attr_id), 0) AS BIGINT) AS u, CAST(coalesce((SELECT sum(edge_weight) FROM hier WHERE parent_attr_id = attr_id), 0) AS BIGINT) AS d FROM nodes)",
+    "SELECT attr_id, parent_weight, child_weight, round(ln(1 + parent_weight), 6) AS log_parent_weight, round(ln(1 + child_weight), 6) AS log_child_weight, CAST(parent_weight > 0 AS INTEGER) AS has_parent, "
+    "CAST(child_weight > 0 AS INTEGER) AS has_child, CAST(parent_weight = 0 AS INTEGER) AS is_root, CAST(child_weight = 0 AS INTEGER) AS is_leaf FROM structure",
     lambda t: trend.hierarchy_structure(t.nodes, t.hierarchy),
 )
-_gaps = "parent_share_gap parent_growth_gap child_share_gap child_growth_gap".split()
+_GAPS = [f"kg_self_{side}_{gap}" for side in ("parent", "child") for gap in ("share_gap_t", "growth_gap_lag_1")]
+_WHOLE = {"kg_sibling_count", "kg_has_sibling", "kg_has_parent", "kg_has_child", "kg_is_root_attr", "kg_is_leaf_attr"}
+CONTEXT = ", ".join(c if c in _WHOLE else f"round({c}, 6) AS {c}" for c in graph.FEATURES)
 _register(
     "kg_gap",
-    f"SELECT b.week_id, b.attr_id, " + ", ".join(f"round(coalesce(b.{a} - {s}.{n}, 0), 6) AS {s}_{n}_gap" for s in ("parent", "child") for a, n in (("share_t", "share"), ("growth_lag_1", "growth"))) + " FROM kbase b " + " ".join(f"LEFT JOIN (SELECT week_id, {target} AS attr_id, sum(share_t * edge_weight) / sum(edge_weight) AS share, sum(growth_lag_1 * edge_weight) / sum(edge_weight) AS growth FROM kbase JOIN hier ON attr_id = {other} GROUP BY 1, 2) {s} ON {s}.week_id = b.week_id AND {s}.attr_id = b.attr_id" for s, target, other in (("parent", "child_attr_id", "parent_attr_id"), ("child", "parent_attr_id", "child_attr_id"))),
-    lambda t: trend.graph_context(t.samples, t.nodes, t.hierarchy).select("week_id", "attr_id", *_gaps),
+    f"SELECT week_id, attr_id, {rounds(*_GAPS)} FROM context",
+    lambda t: graph.graph_context(t.samples, t.nodes, t.hierarchy).select("week_id", "attr_id", *_GAPS),
+)
+_register(
+    "kg_context_features",
+    f"SELECT week_id, attr_id, {CONTEXT} FROM context",
+    lambda t: graph.graph_context(t.samples, t.nodes, t.hierarchy),
+)
+_register(
+    "kg_enhanced_samples",
+    f"SELECT split, {SAMPLE}, {CONTEXT} FROM split LEFT JOIN context USING (week_id, attr_id)",
+    lambda t: t.split.join(graph.graph_context(t.samples, t.nodes, t.hierarchy), ["week_id", "attr_id"], "left").select("split", *trend.SAMPLE_COLUMNS, *graph.FEATURES),
 )
-_register("kg_context_features", None, lambda t: trend.graph_context(t.samples, t.nodes, t.hierarchy))
-_register("kg_enhanced_samples", None, lambda t: t.split.join(trend.graph_context(t.samples, t.nodes, t.hierarchy), ["week_id", "attr_id"], "left"))
 #: The attribute whose neighbourhood is shown.
 ATTRIBUTE = "index_name::I1"
 _near = f"FROM hier WHERE parent_attr_id = '{ATTRIBUTE}' OR child_attr_id = '{ATTRIBUTE}'"
@@ -228,8 +240,8 @@ def ablation_masks(features: list[str], context: list[str]) -> dict[str, list[st
 
 
 def _ablation(t: Trend) -> DataFrame:
-    context = [c for c in trend.graph_context(t.samples, t.nodes, t.hierarchy).columns if c not in ("week_id", "attr_id")]
-    rows = t.split.join(trend.graph_context(t.samples, t.nodes, t.hierarchy), ["week_id", "attr_id"])
+    context = [c for c in graph.graph_context(t.samples, t.nodes, t.hierarchy).columns if c not in ("week_id", "attr_id")]
+    rows = t.split.join(graph.graph_context(t.samples, t.nodes, t.hierarchy), ["week_id", "attr_id"])
     rows = written(rows, "trees")
     out = None
     for name, features in ablation_masks(forecast.numeric_features(t.split), context).items():
