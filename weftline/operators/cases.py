@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from weftline.functions.asof import last_points
 from weftline.functions.expr import top_k
 from weftline.operators.reco import TOP, USER
 
@@ -132,11 +133,16 @@ def new_high_potential(attributes: DataFrame, view: DataFrame, limit: int, back:
 
 def heat_series(attributes: DataFrame, heat: DataFrame, predictions: DataFrame, weeks: int = 8) -> DataFrame:
     """The last ``weeks`` heat points at or before each shown week of an attribute, each point once, with its prediction."""
-    shown = attributes.select("attr_id", "source_week").distinct()
-    points = shown.join(heat.select("attr_id", "attr_type", "attr_value", "week_id", F.col("heat_cnt").alias("heat")), "attr_id").where("week_id <= source_week")
-    last = top_k(points, ["attr_id", "source_week"], [F.desc("week_id")], weeks).drop("rn", "source_week").dropDuplicates(["attr_id", "week_id"])
+    shown = attributes.select("attr_id", F.col("source_week").alias("week_id")).distinct()
+    points = heat.select("attr_id", "attr_type", "attr_value", "week_id", F.col("heat_cnt").alias("heat"))
     known = predictions.select("attr_id", "week_id", F.col("target_growth").alias("actual_target_growth"), "pred_target_growth", "pred_share_t1")
-    return last.join(known, ["attr_id", "week_id"], "left")
+    return last_points(points, shown, ["attr_id"], "week_id", weeks).join(known, ["attr_id", "week_id"], "left")
+
+
+def heat_before(series: DataFrame, view: DataFrame, back: int, weeks: int = 8) -> DataFrame:
+    """The last ``weeks`` points of each attribute at or before the week that lies ``back`` weeks before the latest."""
+    marks = series.select("attr_id").distinct().crossJoin(latest_week(view, back)).withColumnRenamed("week", "week_id")
+    return last_points(series, marks, ["attr_id"], "week_id", weeks)
 
 
 def representative(view: DataFrame, top: int = 8) -> DataFrame:

@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from weftline.functions.asof import as_of, running_totals
 from weftline.functions.expr import minmax, rank_norm, top_k
 from weftline.sources.tables import CORE_TYPES
 
@@ -76,12 +77,17 @@ def core_edges(edges: DataFrame) -> DataFrame:
 
 
 def history(weekly: DataFrame, users: DataFrame) -> DataFrame:
-    """Last week and number of purchases of every (user, article) up to the user's cutoff. Users meet their own purchases
-    alone, already counted by week, so no purchase is copied for windows that don't ask for it."""
+    """Last week and number of purchases of every (user, article) up to the user's cutoff.
+
+    A customer's purchases of an article are summed along the weeks once, and each of the customer's cutoffs looks the sum up; so a row is a purchase, counted by week, or a row of the result.
+    """
     known = users.select("customer_id").distinct()
-    bought = weekly.join(known, "customer_id", "left_semi").groupBy("customer_id", "article_id", "week_id").agg(F.count(F.lit(1)).alias("n"))
-    upto_cutoff = users.select(*USER).join(bought, "customer_id").where(F.col("week_id") <= F.col("cutoff_week"))
-    return upto_cutoff.groupBy(*ITEM).agg(F.max("week_id").alias("last_week"), F.sum("n").alias("n"))
+    pair = ["customer_id", "article_id"]
+    bought = weekly.join(known, "customer_id", "left_semi").groupBy(*pair, "week_id").agg(F.count(F.lit(1)).alias("n"))
+    sums = running_totals(bought, pair, "week_id", ["n"]).withColumn("last_week", F.col("week_id"))
+    first = bought.groupBy(*pair).agg(F.min("week_id").alias("first_week"))
+    asked = users.select(*USER).join(first, "customer_id").where("first_week <= cutoff_week").select(*ITEM, F.col("cutoff_week").alias("week_id"))
+    return as_of(asked, sums, pair, "week_id", ["last_week", "n"]).select(*ITEM, "last_week", "n")
 
 
 def user_profile(past: DataFrame, edges: DataFrame, top: int = 3) -> DataFrame:
@@ -92,9 +98,17 @@ def user_profile(past: DataFrame, edges: DataFrame, top: int = 3) -> DataFrame:
 
 
 def popularity(weekly: DataFrame, windows: DataFrame, recent: int | None = None) -> DataFrame:
-    """Purchases of each article in each window's history, from weekly counts."""
+    """Purchases of each article in each window's history: weekly counts are summed along the weeks once, and a window is the sum at its cutoff
+    less the one before its first week. So the weekly rows are read once however many windows there are."""
     counts = weekly.groupBy("week_id", "article_id").agg(F.count(F.lit(1)).alias("n"))
-    return upto(counts, windows, recent).groupBy(*WIN, "article_id").agg(F.sum("n").alias("n"))
+    sums = running_totals(counts, ["article_id"], "week_id", ["n"])
+    ends = [F.struct(F.col("cutoff_week").alias("week_id"), F.lit(1).alias("sign"))]
+    if recent:
+        ends.append(F.struct((F.col("cutoff_week") - recent).alias("week_id"), F.lit(-1).alias("sign")))
+    lookups = windows.withColumn("end", F.explode(F.array(*ends))).select(*WIN, "end.*")
+    asked = counts.select("article_id").distinct().crossJoin(F.broadcast(lookups))
+    found = as_of(asked, sums, ["article_id"], "week_id", ["n"]).where("n IS NOT NULL")
+    return found.groupBy("article_id", *WIN).agg(F.sum(F.col("n") * F.col("sign")).alias("n")).where("n > 0").select(*WIN, "article_id", "n")
 
 
 def first_weeks(weekly: DataFrame) -> DataFrame:
@@ -316,6 +330,21 @@ def weighted(rows: DataFrame, weights: dict[str, float], top: int = TOP, by: tup
     return top_k(rows.withColumn("score", score), [*by, *USER], [F.round("score", 9).desc(), "article_id"], top, "rank")
 
 
+def rank_vectors(rows: DataFrame, vectors: DataFrame, scores: tuple[str, ...], by: str, top: int = TOP) -> DataFrame:
+    """The first ``top`` items of each user for each weight vector (by, w: an array in the order of ``scores``).
+
+    A user's candidates, which the sources bound, are gathered as one array; all vectors rank it there. So the rows shuffled are the candidates, not candidates times vectors.
+    vectors: a stated list of a few rows, broadcast as one.
+    """
+    listed = F.broadcast(vectors.agg(F.collect_list(F.struct(by, "w")).alias("vectors")))
+    gathered = rows.groupBy(*USER).agg(F.collect_list(F.struct("article_id", F.array(*scores).alias("s"))).alias("candidates")).crossJoin(listed)
+    score = lambda x, v: reduce(lambda a, b: a + b, [x["s"][k] * v["w"][k] for k in range(len(scores))])
+    # ascending by the negative score, then by article
+    place = lambda v: F.array_sort(F.transform("candidates", lambda x: F.struct((-F.round(score(x, v), 9)).alias("k"), x["article_id"].alias("article_id"))))
+    ranked = gathered.select(*USER, F.explode(F.transform("vectors", lambda v: F.struct(v[by].alias(by), F.slice(place(v), 1, top).alias("items")))).alias("x"))
+    return ranked.select(F.col(f"x.{by}").alias(by), *USER, F.posexplode("x.items").alias("p", "item")).select(by, *USER, "item.article_id", (F.col("p") + 1).cast("long").alias("rank"))
+
+
 def fill_items(ranked: DataFrame, popular: DataFrame, first: DataFrame, users: DataFrame, top: int = TOP, pool: int = 50) -> DataFrame:
     """Popular items for users with fewer than ``top`` ranked ones: not bought up to the cutoff, not ranked, after their own.
     popular: popularity of all or of recent weeks; first: first_weeks. source_score falls with the place among the popular."""

@@ -130,7 +130,7 @@ _register(
 _register("win_latest_per_attr", f"SELECT {TREND_ROW} FROM ta QUALIFY row_number() OVER (PARTITION BY attr_id ORDER BY source_week DESC, rank) = 1", lambda v: top_k(v.attributes, ["attr_id"], [F.desc("source_week"), "rank"], 1).select(*TREND_COLUMNS))
 _register("win_last_n_history", f"SELECT {SERIES} FROM series", lambda v: v.series.select(*SERIES_COLUMNS))
 _register("win_top_history", f"SELECT {SERIES} FROM series SEMI JOIN (SELECT attr_id FROM coretop WHERE rank = 1) USING (attr_id) WHERE week_id <= (SELECT week FROM lastweek)", lambda v: v.series.join(F.broadcast(v.core(1).select("attr_id", "source_week")), "attr_id").where("week_id <= source_week").select(*SERIES_COLUMNS))
-_register("win_heat_at_or_before", f"SELECT {SERIES} FROM series WHERE week_id <= (SELECT week FROM lastweek) - {WEEKS_BACK} QUALIFY row_number() OVER (PARTITION BY attr_id ORDER BY week_id DESC) <= 8", lambda v: top_k(v.series.join(cases.latest_week(v.view), F.col("week_id") <= F.col("week") - WEEKS_BACK), ["attr_id"], [F.desc("week_id")], 8).select(*SERIES_COLUMNS))
+_register("win_heat_at_or_before", f"SELECT {SERIES} FROM series WHERE week_id <= (SELECT week FROM lastweek) - {WEEKS_BACK} QUALIFY row_number() OVER (PARTITION BY attr_id ORDER BY week_id DESC) <= 8", lambda v: cases.heat_before(v.series, v.view, WEEKS_BACK).select(*SERIES_COLUMNS))
 _register("win_representative_trends", "SELECT week_id, attr_type, attr_value, round(pred_target_growth, 6) AS pred_target_growth, heat_t FROM tv WHERE is_trend_eligible_t QUALIFY row_number() OVER (PARTITION BY week_id ORDER BY round(pred_target_growth, 9) DESC, heat_t DESC, attr_id) <= 8", lambda v: cases.representative(v.view).select("week_id", "attr_type", "attr_value", "pred_target_growth", "heat_t"))
 _register(
     "win_curve_examples",

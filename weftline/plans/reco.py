@@ -303,12 +303,9 @@ def dropped_weights(weights: dict[str, float], gone: tuple[str, ...]) -> dict[st
 
 
 def by_vectors(t: Reco, rows: DataFrame, vectors: DataFrame, scores: tuple[str, ...], by: str, mode: str | None) -> DataFrame:
-    """Items of every weight vector (by, w) in one pass: candidates times a broadcast list of a few rows. Who has too few candidates
-    has them all ranked by any vector, so the fill is the same for all."""
+    """Items of every weight vector (by, w) in one pass. Who has too few candidates has them all ranked by any vector, so the fill is the same for all."""
     allowed = reco.allowed(rows, reorder_may=mode is None)
-    score = reduce(lambda a, b: a + b, [F.col(c) * F.col("w")[k] for k, c in enumerate(scores)])
-    crossed = allowed.select(*ITEM, *scores).crossJoin(F.broadcast(vectors)).withColumn("score", score)
-    items = top_k(crossed, [by, *reco.USER], [F.round("score", 9).desc(), "article_id"], reco.TOP, "rank").select(by, *ITEM, "rank")
+    items = reco.rank_vectors(allowed, vectors, scores, by).select(by, *ITEM, "rank")
     if mode:
         some = top_k(allowed.select(*ITEM), reco.USER, ["article_id"], reco.TOP, "rank")
         items = items.unionByName(t.fill(some, mode).select(*ITEM, "rank").crossJoin(F.broadcast(vectors.select(by))))

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from weftline.functions.expr import average_rank, rounded, top_k
+from weftline.functions.quantiles import exact_quantiles
 from weftline.operators import forecast, graph, trend
 from weftline.plans.catalog import query
 from weftline.plans.sql import TREND, rounds
@@ -123,22 +124,22 @@ _register("setop_union_all", "SELECT parent_attr_id AS attr_id FROM hier UNION A
 _register("setop_distinct", "SELECT product_code, min(article_id) AS article_id FROM art GROUP BY 1", lambda t: top_k(t.articles, ["product_code"], ["article_id"], 1).select("product_code", "article_id"))
 _register("setop_difference", "SELECT article_id FROM art EXCEPT SELECT article_id FROM tx", lambda t: t.articles.select("article_id").join(t.weekly.select("article_id"), "article_id", "left_anti").distinct())
 _register("setop_intersect_count", "SELECT week_id, attr_type, CAST(sum(CAST(rank_in_type_t <= 5 AND target_rank_in_type_t1 <= 5 AS INTEGER)) AS BIGINT) AS n_common FROM target GROUP BY 1, 2", lambda t: t.target.groupBy("week_id", "attr_type").agg(F.count_if((F.col("rank_in_type_t") <= 5) & (F.col("target_rank_in_type_t1") <= 5)).alias("n_common")))
-_register("agg_target_distribution", "SELECT split, count(*) AS n, round(min(target_growth), 6) AS low, round(max(target_growth), 6) AS high, round(avg(target_growth), 6) AS mean, round(stddev_pop(target_growth), 6) AS std, " + ", ".join(f"round(quantile_cont(target_growth, {q}), 6) AS p{int(q * 100):02d}" for q in (0.01, 0.05, 0.5, 0.95, 0.99)) + ", count(*) FILTER (abs(target_growth) > 2) AS n_large FROM split GROUP BY 1", lambda t: _distribution(t.split, "target_growth"))
+_register("agg_target_distribution", "SELECT split, count(*) AS n, round(min(target_growth), 6) AS low, round(max(target_growth), 6) AS high, round(avg(target_growth), 6) AS mean, round(stddev_pop(target_growth), 6) AS std, " + ", ".join(f"round(quantile_cont(target_growth, {q}), 6) AS p{int(q * 100):02d}" for q in (0.01, 0.05, 0.5, 0.95, 0.99)) + ", count(*) FILTER (abs(target_growth) > 2) AS n_large FROM split GROUP BY 1", lambda t: _distribution(written(t.split.select("split", "target_growth"), "targets"), "target_growth"))
 _register("agg_residual_distribution", "SELECT split, count(*) AS n, round(min(e), 6) AS low, round(max(e), 6) AS high, round(avg(e), 6) AS mean, round(stddev_pop(e), 6) AS std, " + ", ".join(f"round(quantile_cont(e, {q}), 6) AS p{int(q * 100):02d}" for q in (0.01, 0.05, 0.5, 0.95, 0.99)) + ", count(*) FILTER (abs(e) > 2) AS n_large, round(avg(abs(e)), 6) AS mae, round(sqrt(avg(e * e)), 6) AS rmse FROM (SELECT split, target_growth - pred_target_growth AS e FROM pred WHERE model_name = 'moving_average') GROUP BY 1", lambda t: _residuals(t))
 _register("agg_zero_share_rows", "SELECT split, count(*) AS n_rows, count(*) FILTER (share_t = 0) AS n_zero FROM split GROUP BY 1", lambda t: t.split.groupBy("split").agg(F.count(F.lit(1)).alias("n_rows"), F.count_if(F.col("share_t") == 0).alias("n_zero")))
 
 
-def _figures(c: str) -> list:
-    return [F.count(F.lit(1)).alias("n"), F.min(c).alias("low"), F.max(c).alias("high"), F.avg(c).alias("mean"), F.stddev_pop(c).alias("std"), *[F.percentile(c, q).alias(f"p{int(q * 100):02d}") for q in (0.01, 0.05, 0.5, 0.95, 0.99)], F.count_if(F.abs(c) > 2).alias("n_large")]
+QUANTILES = {f"p{int(q * 100):02d}": q for q in (0.01, 0.05, 0.5, 0.95, 0.99)}
 
 
-def _distribution(df: DataFrame, c: str) -> DataFrame:
-    return df.groupBy("split").agg(*_figures(c))
+def _distribution(df: DataFrame, c: str, *more) -> DataFrame:
+    figures = df.groupBy("split").agg(F.count(F.lit(1)).alias("n"), F.min(c).alias("low"), F.max(c).alias("high"), F.avg(c).alias("mean"), F.stddev_pop(c).alias("std"), F.count_if(F.abs(c) > 2).alias("n_large"), *more)
+    return figures.join(exact_quantiles(df, ["split"], c, QUANTILES), "split")
 
 
 def _residuals(t: Trend) -> DataFrame:
     rows = forecast.moving_average(t.split).withColumn("e", F.col("target_growth") - F.col("pred_target_growth"))
-    return rows.groupBy("split").agg(*_figures("e"), F.avg(F.abs("e")).alias("mae"), F.sqrt(F.avg(F.col("e") * F.col("e"))).alias("rmse"))
+    return _distribution(written(rows.select("split", "e"), "residuals"), "e", F.avg(F.abs("e")).alias("mae"), F.sqrt(F.avg(F.col("e") * F.col("e"))).alias("rmse"))
 
 
 _register("agg_graph_summary", "SELECT 'nodes' AS part, level AS kind, count(*) AS n FROM nodes GROUP BY 2 UNION ALL SELECT 'hierarchy', relation_type, count(*) FROM hier GROUP BY 2 UNION ALL SELECT 'edges', attr_type, count(*) FROM edges GROUP BY 2", lambda t: t.nodes.groupBy(F.lit("nodes").alias("part"), F.col("level").alias("kind")).agg(F.count(F.lit(1)).alias("n")).union(t.hierarchy.groupBy(F.lit("hierarchy"), "relation_type").count()).union(t.edges.groupBy(F.lit("edges"), "attr_type").count()))
