@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from weftline.functions.expr import EPSILON, average_rank, log_growth
+from weftline.operators import boosting
 
 #: Growths that agree to so many digits tie: the last bits depend on the order of a sum.
 TIE_DIGITS = 9
@@ -37,47 +38,25 @@ def moving_average(split: DataFrame, epsilon: float = EPSILON) -> DataFrame:
     return _predictions(split, "moving_average", (F.col("growth_lag_1") + F.col("growth_lag_2")) / 2, epsilon)
 
 
-def predicted(split: DataFrame, model: str, growth: str, epsilon: float = EPSILON) -> DataFrame:
-    """Predictions from a column of predicted growth."""
-    return _predictions(split, model, F.col(growth), epsilon)
-
-
-#: Rounds and step of boosting: as much is learnt as by 300 rounds at 0.05, or less where the valid rows stop it.
-TREES, STEP = 40, 0.3
+# What is no feature of a sample, and the coarse graph features.
 NOT_FEATURES = {"split", "week_id", "attr_id", "attr_type", "attr_value", "target_growth", "target_log_heat_t1", "target_rank_in_type_t1"}
 GRAPH_FEATURES = {"article_count", "is_core_attr", "parent_count", "child_count", "degree"}
+BOOSTED = "boosted_trees"
 
 
 def numeric_features(split: DataFrame) -> list[str]:
     return [c for c, kind in split.dtypes if c not in NOT_FEATURES and kind in ("bigint", "int", "double", "boolean")]
 
 
-def fit_boosted_trees(split: DataFrame, features: list[str], trees: int = TREES, depth: int = 6, seed: int = 42):
-    """Absolute-loss boosted trees on the train rows, stopped early on the valid rows; types are indexed on train."""
-    from pyspark.ml import Pipeline
-    from pyspark.ml.feature import StringIndexer, VectorAssembler
-    from pyspark.ml.regression import GBTRegressor
-
-    rows = prepared(split, features).where("split <> 'test'").withColumn("is_valid", F.col("split") == "valid")
-    index = StringIndexer(inputCol="attr_type", outputCol="attr_type_index", handleInvalid="keep")
-    assemble = VectorAssembler(inputCols=["attr_type_index", *features], outputCol="features")
-    trees_ = GBTRegressor(featuresCol="features", labelCol="target_growth", predictionCol="predicted_growth", lossType="absolute", maxIter=trees, maxDepth=depth, stepSize=STEP, subsamplingRate=0.8, seed=seed, validationIndicatorCol="is_valid", maxBins=32)
-    return Pipeline(stages=[index, assemble, trees_]).fit(rows)
-
-
-def prepared(split: DataFrame, features: list[str]) -> DataFrame:
-    return split.withColumns({c: F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in features})
-
-
-def boosted_trees(split: DataFrame, features: list[str] | None = None, trees: int = TREES) -> DataFrame:
-    features = features or numeric_features(split)
-    model = fit_boosted_trees(split, features, trees)
-    return predicted(model.transform(prepared(split, features)).drop("features"), "boosted_trees", "predicted_growth")
+def fit_boosted_trees(split: DataFrame, masks: dict[str, list[str]], params: boosting.Params = boosting.Params()) -> DataFrame:
+    """Nodes of a model for each mask of numeric features; the attribute's type is a categorical feature of all."""
+    numeric = list(dict.fromkeys(f for fs in masks.values() for f in fs))
+    return boosting.fit(split, ["week_id", "attr_id"], "target_growth", numeric, "attr_type", masks, params)
 
 
-def feature_importance(model, features: list[str], spark) -> DataFrame:
-    weights = model.stages[-1].featureImportances.toArray().tolist()
-    return spark.createDataFrame(list(zip(["attr_type", *features], weights, strict=True)), "feature string, gain_norm double")
+def boosted_predictions(split: DataFrame, nodes: DataFrame, model: str, features: list[str]) -> DataFrame:
+    rows = boosting.predict(split, nodes, model, features, "attr_type", "predicted_growth")
+    return _predictions(rows, model, F.col("predicted_growth"), EPSILON)
 
 
 def ranked(predictions: DataFrame) -> DataFrame:

@@ -15,7 +15,7 @@ from weftline.plans.reco_sql import ALL_SCORES, RECO, U, W, coverage, evaluation
 from weftline.plans.sql import half_up
 from weftline.plans.trend import Trend
 from weftline.sources import tables
-from weftline.sources.written import written
+from weftline.sources.written import Latest, written
 
 
 class Reco(Trend):
@@ -152,16 +152,8 @@ class Reco(Trend):
         return self.keep(reduce(DataFrame.unionByName, [self.items(m).select(F.lit(m).alias("method"), *ITEM, "rank") for m in reco.METHODS]))
 
 
-_NOW: dict[tuple, Reco] = {}
-
-
-def shared(spark, sf_dir: str) -> Reco:
-    """The half over one folder; its persisted parts serve all queries of a session. One folder is known at a time; files stay for frames that still read them."""
-    key = (spark.sparkContext.applicationId, sf_dir)
-    if key not in _NOW:
-        _NOW.clear()
-        _NOW[key] = Reco(spark, sf_dir)
-    return _NOW[key]
+#: The half over one folder; its written parts serve all queries of a session until the folder's files change.
+shared = Latest(lambda spark, sf_dir: Reco(spark, sf_dir))
 
 
 def _register(name: str, sql: str | None, build, digits: int = 6) -> None:

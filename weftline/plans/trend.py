@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from functools import cached_property, reduce
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weftline.functions.expr import average_rank, rounded, top_k
 from weftline.functions.quantiles import exact_quantiles
-from weftline.operators import forecast, graph, trend
+from weftline.operators import boosting, forecast, graph, trend
 from weftline.plans.catalog import query
 from weftline.plans.sql import TREND, rounds
 from weftline.sources import tables
-from weftline.sources.written import written
+from weftline.sources.written import Latest, written
 
 
 class Trend:
@@ -203,55 +205,65 @@ _register(
 _register("pres_hierarchy_labeled", "SELECT h.*, p.attr_value AS parent_value, c.attr_value AS child_value FROM hier h JOIN nodes p ON p.attr_id = parent_attr_id JOIN nodes c ON c.attr_id = child_attr_id", lambda t: t.hierarchy.join(t.nodes.select(F.col("attr_id").alias("parent_attr_id"), F.col("attr_value").alias("parent_value")), "parent_attr_id").join(t.nodes.select(F.col("attr_id").alias("child_attr_id"), F.col("attr_value").alias("child_value")), "child_attr_id"))
 
 
-_FITTED: dict[tuple, object] = {}
+class Fitted:
+    """Models over one folder, fitted when first asked for; the written nodes and predictions serve all queries that show them."""
 
+    def __init__(self, t: Trend):
+        self.t = t
+        self.features = forecast.numeric_features(t.split)
 
-def _once(t: Trend, name: str, build):
-    """What fitting gave, kept for the session: several queries show the same models."""
-    key = (t.spark.sparkContext.applicationId, t.sf_dir, name)
-    if key not in _FITTED:
-        _FITTED[key] = build()
-    return _FITTED[key]
+    @cached_property
+    def split(self) -> DataFrame:
+        return written(self.t.split, "samples")
 
+    @cached_property
+    def nodes(self) -> DataFrame:
+        return forecast.fit_boosted_trees(self.split, {forecast.BOOSTED: self.features})
 
-def _model(t: Trend):
-    return _once(t, "model", lambda: forecast.fit_boosted_trees(t.split, forecast.numeric_features(t.split)))
+    @cached_property
+    def predictions(self) -> DataFrame:
+        return written(forecast.boosted_predictions(self.split, self.nodes, forecast.BOOSTED, self.features), "predictions")
 
+    def importance(self) -> DataFrame:
+        return boosting.importance(self.nodes, forecast.BOOSTED, ["attr_type", *self.features])
 
-def _boosted(t: Trend) -> DataFrame:
-    features = forecast.numeric_features(t.split)
-    return _once(t, "predictions", lambda: written(forecast.predicted(_model(t).transform(forecast.prepared(t.split, features)).drop("features"), "boosted_trees", "predicted_growth"), "trees"))
+    @cached_property
+    def enhanced(self) -> DataFrame:
+        context = graph.graph_context(self.t.samples, self.t.nodes, self.t.hierarchy)
+        return written(self.t.split.join(context, ["week_id", "attr_id"], "left"), "enhanced")
 
+    @cached_property
+    def masks(self) -> dict[str, list[str]]:
+        return graph.ablation_masks(self.features, forecast.GRAPH_FEATURES)
 
-def _importance(t: Trend) -> DataFrame:
-    return forecast.feature_importance(_model(t), forecast.numeric_features(t.split), t.spark)
+    @cached_property
+    def ablation_nodes(self) -> DataFrame:
+        """The five variants are grown side by side over the same bins."""
+        return forecast.fit_boosted_trees(self.enhanced, self.masks)
 
+    @cached_property
+    def ablation_predictions(self) -> DataFrame:
+        every = [forecast.boosted_predictions(self.enhanced, self.ablation_nodes, m, features) for m, features in self.masks.items()]
+        return written(reduce(DataFrame.unionByName, every), "ablation")
 
-_register("fc_gbt", None, _boosted)
-_register("fc_predict_frame", None, lambda t: _boosted(t).select(*forecast.PREDICTION_COLUMNS))
-_register("fc_feature_importance", None, _importance)
-_register("pr_feature_top_n", None, lambda t: _importance(t).orderBy(F.desc("gain_norm"), "feature").limit(15))
+    def ablation_summary(self) -> DataFrame:
+        """Metrics of each variant and split with its number of features (the type included) and its best round."""
+        counts = self.t.spark.createDataFrame([(m, 1 + len(f)) for m, f in self.masks.items()], "model_name string, feature_count int")
+        rounds_ = self.ablation_nodes.groupBy(F.col("model").alias("model_name")).agg(F.max("best_round").alias("best_round"))
+        metrics = forecast.overall_metrics(forecast.group_metrics(self.ablation_predictions))
+        return metrics.join(F.broadcast(counts.join(rounds_, "model_name")), "model_name").select("model_name", "split", "feature_count", "best_round", "mae", "rmse", "ndcg_at_10", "spearman", "precision_at_10", "recall_at_10")
 
 
-def ablation_masks(features: list[str], context: list[str]) -> dict[str, list[str]]:
-    """Which features each of five variants uses."""
-    plain = [f for f in features if f not in forecast.GRAPH_FEATURES]
-    family = lambda *words: [c for c in context if not any(w in c for w in words)]
-    return {"no_graph": plain, "coarse_graph": features, "full_graph": features + context, "without_hierarchy": features + family("parent", "child", "root", "leaf"), "without_sibling": features + family("sibling")}
+_fitted = Latest(lambda spark, sf_dir: Fitted(Trend(spark, sf_dir)))
 
 
-def _ablation(t: Trend) -> DataFrame:
-    context = [c for c in graph.graph_context(t.samples, t.nodes, t.hierarchy).columns if c not in ("week_id", "attr_id")]
-    rows = t.split.join(graph.graph_context(t.samples, t.nodes, t.hierarchy), ["week_id", "attr_id"])
-    rows = written(rows, "trees")
-    out = None
-    for name, features in ablation_masks(forecast.numeric_features(t.split), context).items():
-        one = forecast.boosted_trees(rows, features, ABLATION_TREES).withColumn("model_name", F.lit(name))
-        out = one if out is None else out.union(one)
-    return out
+def _model(name: str, build) -> None:
+    query(name)(lambda spark, sf_dir: rounded(build(_fitted(spark, sf_dir))))
 
 
-#: Trees of each of the five variants, which are compared with each other.
-ABLATION_TREES = 10
-_register("fc_ablation_masks", None, lambda t: _once(t, "ablation", lambda: written(_ablation(t), "trees")))
-_register("fc_ablation_summary", None, lambda t: forecast.overall_metrics(forecast.group_metrics(_once(t, "ablation", lambda: written(_ablation(t), "trees")))).select("model_name", "split", "ndcg_at_10", "spearman", "precision_at_10", "recall_at_10"))
+_model("fc_gbt", lambda f: f.predictions)
+_model("fc_predict_frame", lambda f: f.predictions.select(*forecast.PREDICTION_COLUMNS))
+_model("fc_feature_importance", lambda f: f.importance())
+_model("pr_feature_top_n", lambda f: f.importance().orderBy(F.desc("normalized_gain_importance"), "feature").limit(15))
+_model("fc_ablation_masks", lambda f: f.ablation_predictions)
+_model("fc_ablation_summary", lambda f: f.ablation_summary())
