@@ -198,10 +198,3 @@ def metrics_summary(trend: DataFrame, reco: DataFrame) -> DataFrame:
     both = trend.unionByName(reco)
     order = Window.orderBy(F.desc("metric_domain"), "model_or_method", "split", "place")
     return both.withColumn("display_order", F.row_number().over(order)).drop("place")
-
-
-def aligned(before: DataFrame, after: DataFrame, key: list[str], targets: list[str]) -> DataFrame:
-    """Whether two frames have the same keys and targets: row counts, and sums of row hashes that don't depend on order."""
-    digest = lambda df: df.agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64(*key, *targets).cast("decimal(38,0)")).alias("h"))
-    a, b = digest(before), digest(after)
-    return a.select(F.col("n").alias("n_before"), F.col("h").alias("h0")).crossJoin(b).select("n_before", F.col("n").alias("n_after"), F.col("h").eqNullSafe(F.col("h0")).alias("same"))

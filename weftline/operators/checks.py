@@ -33,15 +33,6 @@ def functional_dependency(df: DataFrame, key: str, values: list[str]) -> DataFra
     return df.select(key, *values).distinct().groupBy(key).count().where("count > 1").agg(F.count(F.lit(1)).alias("n_violations"))
 
 
-def missing_references(df: DataFrame, other: DataFrame, key: str) -> DataFrame:
-    return df.join(other.select(key), key, "left_anti").agg(F.count(F.lit(1)).alias("n_violations"))
-
-
-def panel_complete(heat: DataFrame) -> DataFrame:
-    got = heat.agg(F.count(F.lit(1)).alias("n"), F.countDistinct("week_id").alias("w"), F.countDistinct("attr_id").alias("a"))
-    return got.select((F.col("n") - F.col("w") * F.col("a")).alias("n_violations"))
-
-
 def heat_formulas(heat: DataFrame) -> DataFrame:
     """Totals, shares, logs and ranks recomputed."""
     w = Window.partitionBy("week_id", "attr_type")
@@ -52,13 +43,6 @@ def heat_formulas(heat: DataFrame) -> DataFrame:
     return heat.withColumn("bad", bad).agg(F.count_if("bad").alias("n_violations"))
 
 
-def split_cover(samples: DataFrame, split: DataFrame) -> DataFrame:
-    """Splits hold every sample once, in order of weeks."""
-    ends = split.agg(F.max(F.when(F.col("split") == "train", F.col("week_id"))).alias("a"), F.min(F.when(F.col("split") == "valid", F.col("week_id"))).alias("b"), F.max(F.when(F.col("split") == "valid", F.col("week_id"))).alias("c"), F.min(F.when(F.col("split") == "test", F.col("week_id"))).alias("d"), F.count(F.lit(1)).alias("n"))
-    n = samples.agg(F.count(F.lit(1)).alias("m"))
-    return ends.crossJoin(n).select((F.abs(F.col("n") - F.col("m")) + F.when((F.col("a") < F.col("b")) & (F.col("c") < F.col("d")), 0).otherwise(1)).alias("n_violations"))
-
-
 def share_sums(predictions: DataFrame) -> DataFrame:
     """Predicted shares lie in [0, 1] and sum to 1 in every group (or are all 0)."""
     g = predictions.groupBy("model_name", "split", "week_id", "attr_type").agg(F.sum("pred_share_t1").alias("s"), F.min("pred_share_t1").alias("low"), F.max("pred_share_t1").alias("high"))

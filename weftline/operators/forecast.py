@@ -15,27 +15,39 @@ KEYS = ["split", "week_id", "attr_type"]
 PREDICTION_COLUMNS = "week_id attr_id attr_type attr_value model_name split share_t pred_share_t1 target_growth pred_target_growth target_rank_in_type_t1".split()
 
 
-def _predictions(split: DataFrame, model: str, growth: Column | None, epsilon: float) -> DataFrame:
-    """growth None: the share stays, clipped at 0; else the share that the growth implies. Shares are normalised by type."""
-    share = F.greatest(F.col("share_t"), F.lit(0.0)) if growth is None else F.greatest(F.exp(growth) * (F.col("share_t") + epsilon) - epsilon, F.lit(0.0))
-    rows = split.withColumn("raw", share) if growth is None else split.withColumns({"pred_target_growth": growth, "raw": share})
-    total = F.sum("raw").over(Window.partitionBy(*KEYS))
-    rows = rows.withColumns({"pred_share_t1": F.coalesce(F.try_divide(F.col("raw"), total), F.lit(0.0)), "model_name": F.lit(model)})
-    if growth is None:
-        rows = rows.withColumn("pred_target_growth", log_growth(F.col("pred_share_t1"), F.col("share_t"), epsilon))
+def implied_share(growth: Column, epsilon: float = EPSILON) -> Column:
+    """The share that a growth implies, not below 0."""
+    return F.greatest(F.exp(growth) * (F.col("share_t") + epsilon) - epsilon, F.lit(0.0))
+
+
+def _normalised(rows: DataFrame, epsilon: float) -> DataFrame:
+    """rows: samples with model_name, pred_target_growth (null: what the predicted share gives) and raw, a share that is normalised by type."""
+    total = F.sum("raw").over(Window.partitionBy("model_name", *KEYS))
+    rows = rows.withColumn("pred_share_t1", F.coalesce(F.try_divide(F.col("raw"), total), F.lit(0.0)))
+    rows = rows.withColumn("pred_target_growth", F.coalesce("pred_target_growth", log_growth(F.col("pred_share_t1"), F.col("share_t"), epsilon)))
     return rows.select(*PREDICTION_COLUMNS)
 
 
+def baselines(split: DataFrame, models: tuple[str, ...] = ("last_week", "previous_growth", "moving_average"), epsilon: float = EPSILON) -> DataFrame:
+    """Predictions of the baseline models, from one pass over the samples: each becomes a row for each model. last_week keeps the share, the
+    others take the growth of the last week, or the mean of two."""
+    growth = {"last_week": F.lit(None).cast("double"), "previous_growth": F.col("growth_lag_1"), "moving_average": (F.col("growth_lag_1") + F.col("growth_lag_2")) / 2}
+    share = {m: F.greatest(F.col("share_t"), F.lit(0.0)) if m == "last_week" else implied_share(growth[m], epsilon) for m in models}
+    each = F.explode(F.array(*[F.struct(F.lit(m).alias("model_name"), growth[m].alias("pred_target_growth"), share[m].alias("raw")) for m in models]))
+    needed = [c for c in PREDICTION_COLUMNS if c in split.columns]
+    return _normalised(split.withColumn("_each", each).select(*needed, "_each.*"), epsilon)
+
+
 def last_week(split: DataFrame, epsilon: float = EPSILON) -> DataFrame:
-    return _predictions(split, "last_week", None, epsilon)
+    return baselines(split, ("last_week",), epsilon)
 
 
 def previous_growth(split: DataFrame, epsilon: float = EPSILON) -> DataFrame:
-    return _predictions(split, "previous_growth", F.col("growth_lag_1"), epsilon)
+    return baselines(split, ("previous_growth",), epsilon)
 
 
 def moving_average(split: DataFrame, epsilon: float = EPSILON) -> DataFrame:
-    return _predictions(split, "moving_average", (F.col("growth_lag_1") + F.col("growth_lag_2")) / 2, epsilon)
+    return baselines(split, ("moving_average",), epsilon)
 
 
 # What is no feature of a sample, and the coarse graph features.
@@ -56,7 +68,7 @@ def fit_boosted_trees(split: DataFrame, masks: dict[str, list[str]], params: boo
 
 def boosted_predictions(split: DataFrame, nodes: DataFrame, model: str, features: list[str]) -> DataFrame:
     rows = boosting.predict(split, nodes, model, features, "attr_type", "predicted_growth")
-    return _predictions(rows, model, F.col("predicted_growth"), EPSILON)
+    return _normalised(rows.withColumns({"model_name": F.lit(model), "pred_target_growth": F.col("predicted_growth"), "raw": implied_share(F.col("predicted_growth"))}), EPSILON)
 
 
 def ranked(predictions: DataFrame) -> DataFrame:

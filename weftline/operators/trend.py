@@ -121,10 +121,6 @@ def split_by_time(samples: DataFrame, valid_weeks: int = 8, test_weeks: int = 8)
     return samples.crossJoin(last).select(split.alias("split"), *samples.columns)
 
 
-def split_summary(split: DataFrame) -> DataFrame:
-    return split.groupBy("split").agg(F.count(F.lit(1)).alias("n_rows"), F.countDistinct("week_id").alias("n_weeks"), F.countDistinct("attr_id").alias("n_attributes"), F.min("week_id").alias("min_week"), F.max("week_id").alias("max_week"))
-
-
 def rank_percent(samples: DataFrame) -> DataFrame:
     n = F.count(F.lit(1)).over(Window.partitionBy("week_id", "attr_type"))
     return samples.withColumn("rank_pct", (F.col("rank_in_type_t") - 1) / F.greatest(n - 1, F.lit(1)))

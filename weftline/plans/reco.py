@@ -163,6 +163,24 @@ def _register(name: str, sql: str | None, build, digits: int = 6) -> None:
 ITEM = [*reco.USER, "article_id"]
 _register("cust_profile", "SELECT customer_id, age, age_bucket, club_member_status, news_frequency FROM cust", lambda t: t.customers)
 _register("win_reco_windows", "SELECT * FROM win", lambda t: t.windows)
+_register(
+    "agg_split_summary",
+    "SELECT 'trend' AS domain, split, min(week_id) AS week_start, max(week_id) AS week_end, count(DISTINCT week_id) AS week_count, count(*) AS row_count, count(DISTINCT attr_id) AS attribute_count, CAST(NULL AS BIGINT) AS user_count FROM split GROUP BY 2 "
+    "UNION ALL SELECT 'recommendation', split, min(cutoff_week), max(cutoff_week), count(DISTINCT cutoff_week), count(*), CAST(NULL AS BIGINT), (SELECT count(DISTINCT customer_id) FROM users u WHERE u.split = w.split) FROM win w GROUP BY 2",
+    lambda t: split_summaries(t),
+)
+
+
+def split_summaries(t: Reco) -> DataFrame:
+    """Weeks, rows, attributes and users of the splits of both domains."""
+    weeks = lambda c: [F.min(c).alias("week_start"), F.max(c).alias("week_end"), F.countDistinct(c).alias("week_count"), F.count(F.lit(1)).alias("row_count")]
+    none = F.lit(None).cast("long")
+    trends = t.split.groupBy("split").agg(*weeks("week_id"), F.countDistinct("attr_id").alias("attribute_count")).select(F.lit("trend").alias("domain"), "*", none.alias("user_count"))
+    users = t.users.groupBy("split").agg(F.countDistinct("customer_id").alias("user_count"))
+    windows = t.windows.groupBy("split").agg(*weeks("cutoff_week")).join(users, "split", "left")
+    return trends.unionByName(windows.select(F.lit("recommendation").alias("domain"), "split", "week_start", "week_end", "week_count", "row_count", none.alias("attribute_count"), F.coalesce("user_count", F.lit(0)).alias("user_count")))
+
+
 _register("in_target_users", "SELECT * FROM users", lambda t: t.users)
 _register("in_eval_labels", "SELECT * FROM truth", lambda t: t.truth)
 for _n in ("agg_user_profile", "in_user_profile"):

@@ -35,7 +35,7 @@ class Trend:
         self.split = trend.split_by_time(self.samples)
 
     def predictions(self) -> DataFrame:
-        return forecast.last_week(self.split).union(forecast.previous_growth(self.split)).union(forecast.moving_average(self.split))
+        return forecast.baselines(self.split)
 
     def base(self) -> DataFrame:
         return trend.rank_percent(self.samples).select("week_id", "attr_id", "heat_t", "share_t", "growth_lag_1", "rank_pct")
@@ -97,7 +97,6 @@ _features("feat_history_cum", ["history_total_heat_t", "history_active_weeks_t",
 _features("feat_calendar", ["week_index", "week_mod_52"])
 _register("feat_trend_samples", f"SELECT {SAMPLE} FROM samples", lambda t: t.samples)
 _register("split_time", f"SELECT split, {SAMPLE} FROM split", lambda t: t.split)
-_register("agg_split_summary", "SELECT split, count(*) AS n_rows, count(DISTINCT week_id) AS n_weeks, count(DISTINCT attr_id) AS n_attributes, min(week_id) AS min_week, max(week_id) AS max_week FROM split GROUP BY 1", lambda t: trend.split_summary(t.split))
 _register("flt_split", f"SELECT split, {SAMPLE} FROM split WHERE split IN ('valid', 'test')", lambda t: t.split.where(F.col("split").isin("valid", "test")))
 for _name in ("last_week", "previous_growth", "moving_average"):
     _register(f"fc_{_name}", f"SELECT {PRED} FROM pred WHERE model_name = '{_name}'", lambda t, f=getattr(forecast, _name): f(t.split))
@@ -112,10 +111,23 @@ _register("te_ndcg_k", f"SELECT {GROUP}, {rounds(*_nd)} FROM groups", lambda t:
 _means = ", ".join(f"round(avg({m}), 6) AS {m}" for m in forecast.METRICS)
 _register("te_overall", f"SELECT model_name, split, count(*) AS n_groups, {_means} FROM groups WHERE split <> 'train' GROUP BY 1, 2", lambda t: forecast.overall_metrics(forecast.group_metrics(t.predictions())))
 _register("te_by_attr_type", f"SELECT model_name, split, attr_type, count(*) AS n_groups, {_means} FROM groups WHERE split <> 'train' GROUP BY 1, 2, 3", lambda t: forecast.overall_metrics(forecast.group_metrics(t.predictions()), ("model_name", "split", "attr_type")))
+_by_type = f"SELECT model_name, split, attr_type, {_means} FROM groups WHERE split <> 'train' GROUP BY 1, 2, 3"
+_overall = f"SELECT model_name, split, 'all' AS attr_type, {_means} FROM groups WHERE split <> 'train' GROUP BY 1, 2"
+
+
+def flattened(t: Trend) -> DataFrame:
+    """Metrics as rows: overall (attr_type all) and by attribute type."""
+    groups = forecast.group_metrics(t.predictions())
+    overall = forecast.overall_metrics(groups).withColumn("attr_type", F.lit("all"))
+    by_type = forecast.overall_metrics(groups, ("model_name", "split", "attr_type"))
+    rows = overall.unionByName(by_type).drop("n_groups")
+    return forecast.metrics_long(rows, ["model_name", "split", "attr_type"]).where("value IS NOT NULL")
+
+
 _register(
     "te_flatten",
-    f"SELECT model_name, split, metric, value FROM (UNPIVOT (SELECT model_name, split, {_means} FROM groups WHERE split <> 'train' GROUP BY 1, 2) ON {', '.join(forecast.METRICS)} INTO NAME metric VALUE value)",
-    lambda t: forecast.metrics_long(forecast.overall_metrics(forecast.group_metrics(t.predictions())).drop("n_groups"), ["model_name", "split"]).where("value IS NOT NULL"),
+    f"SELECT model_name, split, attr_type, metric, value FROM (UNPIVOT ({_overall} UNION ALL {_by_type}) ON {', '.join(forecast.METRICS)} INTO NAME metric VALUE value)",
+    flattened,
 )
 _register("fc_run_select", "SELECT model_name, round(avg(ndcg_at_10), 6) AS ndcg_at_10, round(avg(spearman), 6) AS spearman, round(avg(mae), 6) AS mae, round(avg(rmse), 6) AS rmse FROM groups WHERE split = 'valid' GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 1", lambda t: rounded(forecast.overall_metrics(forecast.group_metrics(t.predictions()))).where("split = 'valid'").select("model_name", "ndcg_at_10", "spearman", "mae", "rmse").orderBy(F.desc("ndcg_at_10"), "model_name").limit(1))
 _register("rank_average", "SELECT week_id, attr_id, round(rank() OVER (PARTITION BY week_id, attr_type ORDER BY heat_cnt) + (count(*) OVER (PARTITION BY week_id, attr_type, heat_cnt) - 1) / 2.0, 6) AS avg_rank FROM heat", lambda t: t.heat.select("week_id", "attr_id", average_rank(F.col("heat_cnt"), ["week_id", "attr_type"]).alias("avg_rank")))
