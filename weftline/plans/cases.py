@@ -2,15 +2,15 @@
 
 from __future__ import annotations
 
-from functools import cached_property
+from functools import cached_property, reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weftline.functions.expr import rounded, top_k
-from weftline.operators import cases, checks, forecast, reco
+from weftline.operators import cases, checks, forecast, reco, reports
 from weftline.plans.catalog import query
-from weftline.plans.reco import EXPERIMENT, MAIN, Reco, method_summary, shared
+from weftline.plans.reco import EXPERIMENT, FLATTENED_SQL, GRID_SCORES, MAIN, SPLIT_SUMMARY_SQL, Reco, flattened, method_summary, shared, split_summaries
 from weftline.plans.reco_sql import U
 from weftline.plans.sql import rounds
 
@@ -176,19 +176,54 @@ _hit = " OR ".join(f"lower(coalesce({c}, '')) LIKE '%{QUERY}%' ESCAPE '~'" for c
 _register("flt_article_search", f"SELECT article_id, prod_name, product_type_name, colour_group_name FROM art WHERE {_hit} ORDER BY CASE WHEN article_id LIKE '{QUERY}%' THEN 0 WHEN lower(coalesce(prod_name, '')) LIKE '{QUERY}%' ESCAPE '~' THEN 1 ELSE 2 END, article_id LIMIT 20", lambda v: cases.search_articles(v.half.articles, QUERY, 20).select("article_id", "prod_name", "product_type_name", "colour_group_name"))
 _register("pr_metrics_summary", "SELECT * FROM metrics", lambda v: v.metrics)
 _register("pr_metrics_list", "SELECT * FROM metrics WHERE metric_domain = 'recommendation' AND split = 'test'", lambda v: v.metrics.where("metric_domain = 'recommendation' AND split = 'test'"))
+
+
+def _trend_metrics(v: Views, by: tuple[str, ...]) -> DataFrame:
+    return forecast.overall_metrics(forecast.group_metrics(v.half.predictions()), by)
+
+
+def _artifacts(v: Views) -> DataFrame:
+    t = v.half
+    trend = {"transactions": t.weekly, "articles": t.articles, "attribute_nodes": t.nodes, "article_attribute_edges": t.edges, "attribute_hierarchy_edges": t.hierarchy, "article_week_sales": t.sales, "attribute_week_heat": t.heat, "attribute_week_target": t.target, "trend_samples": t.samples}
+    recommendation = {"time_windows": t.windows, "target_users": t.users, "evaluation_labels": t.truth, "user_profile": t.profile}
+    return reports.artifact_summary({("trend", n): df for n, df in trend.items()} | {("recommendation", n): df for n, df in recommendation.items()})
+
+
+#: The rows of each report table.
+REPORTS = {
+    "data_artifact_summary": _artifacts,
+    "time_split_summary": lambda v: split_summaries(v.half),
+    "attribute_graph_summary": lambda v: reports.graph_summary(v.half.nodes, v.half.edges, v.half.hierarchy),
+    "trend_model_metrics": lambda v: _trend_metrics(v, ("model_name", "split")),
+    "trend_metrics_by_attr_type": lambda v: _trend_metrics(v, ("model_name", "split", "attr_type")),
+    "recommendation_method_metrics": lambda v: method_summary(v.half).withColumnRenamed("missing_users", "missing_recommendation_user_count"),
+    "recommendation_experiment_summary": lambda v: flattened(v.half).withColumnsRenamed({"place": "rank"} | {f"{c}_weight": c for c in GRID_SCORES}),
+}
+_tables = {
+    "trend": {"transactions": ("tx", 6), "articles": ("art", 13), "attribute_nodes": ("nodes", 7), "article_attribute_edges": ("edges", 7), "attribute_hierarchy_edges": ("hier", 6), "article_week_sales": ("sales", 5), "attribute_week_heat": ("heat", 9), "attribute_week_target": ("target", 12), "trend_samples": ("samples", 37)},
+    "recommendation": {"time_windows": ("win", 3), "target_users": ("users", 6), "evaluation_labels": ("truth", 5), "user_profile": ("profile", 10)},
+}
+_REPORT_SQL = {
+    "data_artifact_summary": " UNION ALL ".join(f"SELECT '{section}' AS section, '{name}' AS artifact, count(*) AS row_count, {n} AS column_count FROM {table}" for section, tables in _tables.items() for name, (table, n) in tables.items()),
+    "time_split_summary": SPLIT_SUMMARY_SQL,
+    "attribute_graph_summary": "SELECT 'attribute_node' AS entity_type, attr_type, '' AS relation_type, count(*) AS count FROM nodes GROUP BY 2 UNION ALL SELECT 'article_attribute_edge', attr_type, edge_type, count(*) FROM edges GROUP BY 2, 3 "
+    "UNION ALL SELECT 'attribute_hierarchy_edge', parent_attr_type || '->' || child_attr_type, relation_type, count(*) FROM hier GROUP BY 2, 3",
+    "trend_model_metrics": "SELECT * FROM trendm",
+    "trend_metrics_by_attr_type": f"SELECT model_name, split, attr_type, {_trendm} FROM groups WHERE split <> 'train' GROUP BY 1, 2, 3",
+    "recommendation_method_metrics": "SELECT * RENAME (missing_users AS missing_recommendation_user_count) FROM methodm",
+    "recommendation_experiment_summary": f"SELECT * RENAME (place AS rank, {', '.join(f'{c}_weight AS {c}' for c in GRID_SCORES)}) FROM ({FLATTENED_SQL})",
+}
+for _name, _build in REPORTS.items():
+    _order = ", ".join(f"{c} NULLS FIRST" for c in reports.SORT[_name])
+    _register(
+        f"pr_report_{_name}",
+        f"SELECT {', '.join(reports.COLUMNS[_name])}, row_number() OVER (ORDER BY {_order}) AS row_order FROM ({_REPORT_SQL[_name]})",
+        lambda v, build=_build, name=_name: reports.report_table(build(v), name),
+    )
 _register(
     "pr_report_table",
-    f"SELECT 'trend_model_metrics' AS table_name, row_number() OVER (ORDER BY model_name, split) AS row_order, model_name AS name, split, mae AS first_metric, ndcg_at_10 AS second_metric FROM trendm UNION ALL SELECT 'recommendation_method_metrics', row_number() OVER (ORDER BY method, split), method, split, map_at_12, ndcg_at_12 FROM methodm",
-    lambda v: report_tables(v),
+    " UNION ALL ".join(f"SELECT '{n}' AS table_name, count(*) AS n_rows, {len(reports.COLUMNS[n])} AS n_columns FROM ({_REPORT_SQL[n]})" for n in REPORTS),
+    lambda v: reduce(DataFrame.unionByName, [build(v).select(*reports.COLUMNS[n]).agg(F.lit(n).alias("table_name"), F.count(F.lit(1)).alias("n_rows"), F.lit(len(reports.COLUMNS[n])).alias("n_columns")) for n, build in REPORTS.items()]),
 )
-
-
-def report_tables(v: Views) -> DataFrame:
-    """The metric tables of models and methods, each in its own order: a few rows."""
-    trend = rounded(forecast.overall_metrics(forecast.group_metrics(v.half.predictions()))).select(F.lit("trend_model_metrics").alias("table_name"), F.col("model_name").alias("name"), "split", F.col("mae").alias("first_metric"), F.col("ndcg_at_10").alias("second_metric"))
-    methods = method_summary(v.half).select(F.lit("recommendation_method_metrics").alias("table_name"), F.col("method").alias("name"), "split", F.col("map_at_12").alias("first_metric"), F.col("ndcg_at_12").alias("second_metric"))
-    return top_k(trend.unionByName(methods), ["table_name"], ["name", "split"], 1000, "row_order")
-
-
 _register("join_cte_missing_rows", f"SELECT (SELECT count(*) FROM demousers ANTI JOIN caseitems USING (case_id)) AS n_without_items, (SELECT count(*) FROM users ANTI JOIN it_{MAIN} USING ({U})) AS n_users_without_items", lambda v: v.users.join(v.items, reco.USER, "left_anti").agg(F.count(F.lit(1)).alias("n_without_items")).crossJoin(v.half.users.join(v.items, reco.USER, "left_anti").agg(F.count(F.lit(1)).alias("n_users_without_items"))))
 _register("dq_score_components", f"SELECT (SELECT count(*) FROM items ANTI JOIN feat USING ({U}, article_id)) AS n_missing, (SELECT count(*) FROM (SELECT 1 FROM feat GROUP BY {U}, article_id HAVING count(*) > 1)) AS n_repeated", lambda v: v.half.items().join(v.half.features(), ITEM, "left_anti").agg(F.count(F.lit(1)).alias("n_missing")).crossJoin(checks.unique_key(v.half.features(), ITEM).select(F.col("n_violations").alias("n_repeated"))))

@@ -163,12 +163,11 @@ def _register(name: str, sql: str | None, build, digits: int = 6) -> None:
 ITEM = [*reco.USER, "article_id"]
 _register("cust_profile", "SELECT customer_id, age, age_bucket, club_member_status, news_frequency FROM cust", lambda t: t.customers)
 _register("win_reco_windows", "SELECT * FROM win", lambda t: t.windows)
-_register(
-    "agg_split_summary",
+SPLIT_SUMMARY_SQL = (
     "SELECT 'trend' AS domain, split, min(week_id) AS week_start, max(week_id) AS week_end, count(DISTINCT week_id) AS week_count, count(*) AS row_count, count(DISTINCT attr_id) AS attribute_count, CAST(NULL AS BIGINT) AS user_count FROM split GROUP BY 2 "
-    "UNION ALL SELECT 'recommendation', split, min(cutoff_week), max(cutoff_week), count(DISTINCT cutoff_week), count(*), CAST(NULL AS BIGINT), (SELECT count(DISTINCT customer_id) FROM users u WHERE u.split = w.split) FROM win w GROUP BY 2",
-    lambda t: split_summaries(t),
+    "UNION ALL SELECT 'recommendation', split, min(cutoff_week), max(cutoff_week), count(DISTINCT cutoff_week), count(*), CAST(NULL AS BIGINT), (SELECT count(DISTINCT customer_id) FROM users u WHERE u.split = w.split) FROM win w GROUP BY 2"
 )
+_register("agg_split_summary", SPLIT_SUMMARY_SQL, lambda t: split_summaries(t))
 
 
 def split_summaries(t: Reco) -> DataFrame:
@@ -469,11 +468,8 @@ _experiment("ex_source_ablation", _source_sql(), source_ablation)
 _none = ", ".join(f"CAST(NULL AS DOUBLE) AS {c}_weight" for c in GRID_SCORES)
 _own = ", ".join(f"round(w[{k + 1}], 6) AS {c}_weight" for k, c in enumerate(GRID_SCORES))
 _places = lambda names: "CAST(list_position([" + ", ".join(f"'{x}'" for x in names) + "], "
-_experiment(
-    "ex_flatten",
-    f"SELECT 'search_results' AS section, CAST(place AS INTEGER) AS place, '{MAIN}' AS method, split, {_own}, {_metrics} FROM gridm UNION ALL SELECT 'ablation', {_places(sorted(reco.METHODS))}method) AS INTEGER), method, split, {_none}, {_metrics} FROM methodm UNION ALL SELECT 'named_ablation', {_places(['full_model', *[v for v, _, _ in STRICT], *[v for v, _ in BASELINE_VARIANTS]])}variant_id) AS INTEGER), variant_id, split, {_own}, {_metrics} FROM namedm LEFT JOIN bestv USING (variant_id)",
-    flattened,
-)
+FLATTENED_SQL = f"SELECT 'search_results' AS section, CAST(place AS INTEGER) AS place, '{MAIN}' AS method, split, {_own}, {_metrics} FROM gridm UNION ALL SELECT 'ablation', {_places(sorted(reco.METHODS))}method) AS INTEGER), method, split, {_none}, {_metrics} FROM methodm UNION ALL SELECT 'named_ablation', {_places(['full_model', *[v for v, _, _ in STRICT], *[v for v, _ in BASELINE_VARIANTS]])}variant_id) AS INTEGER), variant_id, split, {_own}, {_metrics} FROM namedm LEFT JOIN bestv USING (variant_id)"
+_experiment("ex_flatten", FLATTENED_SQL, flattened)
 _gone = ("reorder", "trend")
 _left = f"list_filter(string_split(candidate_sources, '|'), lambda x: x NOT IN {_gone})"
 _register(
