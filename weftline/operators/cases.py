@@ -175,9 +175,13 @@ def _is_like(column: str, pattern: str) -> Column:
     return F.like(F.lower(F.coalesce(column, F.lit(""))), F.lit(pattern), F.lit("~"))
 
 
+# The columns that an article is searched by.
+SEARCHED = ("article_id", "prod_name", "product_type_name", "colour_group_name")
+
+
 def search_articles(articles: DataFrame, text: str, limit: int) -> DataFrame:
     """Articles with the text in their id, name, type or colour; ids that begin with it first, then names that do, then by id."""
-    hit = reduce(lambda a, b: a | b, [_is_like(c, like(text)) for c in ("article_id", "prod_name", "product_type_name", "colour_group_name")])
+    hit = reduce(lambda a, b: a | b, [_is_like(c, like(text)) for c in SEARCHED])
     place = F.when(_is_like("article_id", like(text, True)), 0).when(_is_like("prod_name", like(text, True)), 1).otherwise(2)
     return articles.where(hit).orderBy(place, "article_id").limit(limit)
 

@@ -2,20 +2,22 @@
 
 from __future__ import annotations
 
+import uuid
 from functools import cached_property, reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weftline.functions.expr import rounded, top_k
-from weftline.operators import cases, checks, forecast, reco, reports
+from weftline.operators import cases, checks, forecast, reco, reports, search
 from weftline.plans.catalog import query
 from weftline.plans.reco import EXPERIMENT, FLATTENED_SQL, GRID_SCORES, MAIN, SPLIT_SUMMARY_SQL, Reco, flattened, method_summary, shared, split_summaries
 from weftline.plans.reco_sql import U
 from weftline.plans.sql import rounds
+from weftline.sources.written import shared_folder
 
 #: Parameters of the views as registered: cases shown, trends of a type, how far before the last week heat is shown, texts looked for.
-REPORT_CASES, DEMO_CASES, LIMIT, WEEKS_BACK, QUERY = 20, 30, 5, 2, "re"
+REPORT_CASES, DEMO_CASES, LIMIT, WEEKS_BACK, QUERY = 20, 30, 5, 2, "red"
 #: The week whose new trends are shown lies so many weeks before the latest: by the latest week, hardly any attribute is new on the given tables.
 NEW_BACK = 13
 
@@ -52,6 +54,13 @@ class Views:
     def users(self) -> DataFrame:
         return cases.demo_users(self.demo, self.half.profile, self.items)
 
+    @cached_property
+    def postings(self) -> str:
+        """Trigrams of what articles are searched by."""
+        path = f"{shared_folder(self.half.spark)}/postings-{uuid.uuid4().hex}"
+        search.write_postings(self.half.articles, "article_id", list(cases.SEARCHED), path)
+        return path
+
     @cached_property
     def metrics(self) -> DataFrame:
         trend = forecast.overall_metrics(forecast.group_metrics(self.half.predictions()))
@@ -173,7 +182,7 @@ _register("pr_score_components", f"SELECT case_id, article_id, {PARTS}, round(sc
 _register("pr_case_items_joined", "SELECT case_id, c.article_id, rank, is_hit, prod_name, product_type_name, colour_group_name FROM caseitems c JOIN art USING (article_id)", lambda v: cases.marked(cases.of_cases(v.items, v.demo, 12), v.half.truth).join(v.half.articles, "article_id").select("case_id", "article_id", "rank", "is_hit", "prod_name", "product_type_name", "colour_group_name"))
 _register("flt_user_search", f"SELECT case_id, customer_id, hit_count FROM demousers WHERE lower(primary_tags) LIKE '%colour~_group%' ESCAPE '~' AND (case_id LIKE '%test%' OR customer_id LIKE '%test%') ORDER BY hit_count DESC, case_id LIMIT 20", lambda v: cases.search_users(v.users, "test", "colour_group", 20).select("case_id", "customer_id", "hit_count"))
 _hit = " OR ".join(f"lower(coalesce({c}, '')) LIKE '%{QUERY}%' ESCAPE '~'" for c in ("article_id", "prod_name", "product_type_name", "colour_group_name"))
-_register("flt_article_search", f"SELECT article_id, prod_name, product_type_name, colour_group_name FROM art WHERE {_hit} ORDER BY CASE WHEN article_id LIKE '{QUERY}%' THEN 0 WHEN lower(coalesce(prod_name, '')) LIKE '{QUERY}%' ESCAPE '~' THEN 1 ELSE 2 END, article_id LIMIT 20", lambda v: cases.search_articles(v.half.articles, QUERY, 20).select("article_id", "prod_name", "product_type_name", "colour_group_name"))
+_register("flt_article_search", f"SELECT article_id, prod_name, product_type_name, colour_group_name FROM art WHERE {_hit} ORDER BY CASE WHEN article_id LIKE '{QUERY}%' THEN 0 WHEN lower(coalesce(prod_name, '')) LIKE '{QUERY}%' ESCAPE '~' THEN 1 ELSE 2 END, article_id LIMIT 20", lambda v: cases.search_articles(search.narrowed(v.half.articles, "article_id", v.postings, QUERY), QUERY, 20).select("article_id", "prod_name", "product_type_name", "colour_group_name"))
 _register("pr_metrics_summary", "SELECT * FROM metrics", lambda v: v.metrics)
 _register("pr_metrics_list", "SELECT * FROM metrics WHERE metric_domain = 'recommendation' AND split = 'test'", lambda v: v.metrics.where("metric_domain = 'recommendation' AND split = 'test'"))
 
