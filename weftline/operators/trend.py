@@ -13,11 +13,11 @@ def date_range(transactions: DataFrame) -> DataFrame:
     return transactions.agg(F.min("t_dat").alias("min_date"), F.max("t_dat").alias("max_date"), F.count(F.lit(1)).alias("n_rows"))
 
 
-def with_week_id(transactions: DataFrame) -> DataFrame:
-    """week_id: whole weeks since the first date of the table, which is one row and broadcast."""
-    first = F.broadcast(transactions.agg(F.min("t_dat").alias("first")))
+def with_week_id(transactions: DataFrame, first: DataFrame | None = None) -> DataFrame:
+    """week_id: whole weeks since the first date. first: one row with it (column ``first``), broadcast; by default it is taken from the table, which is then read twice."""
+    first = transactions.agg(F.min("t_dat").alias("first")) if first is None else first
     week = F.floor(F.datediff("t_dat", "first") / 7).cast("long")
-    return transactions.crossJoin(first).select("t_dat", week.alias("week_id"), "customer_id", "article_id", "price", "sales_channel_id")
+    return transactions.crossJoin(F.broadcast(first)).select("t_dat", week.alias("week_id"), "customer_id", "article_id", "price", "sales_channel_id")
 
 
 def article_nodes(articles: DataFrame) -> DataFrame:
@@ -113,12 +113,19 @@ def trend_samples(heat: DataFrame, target: DataFrame, degree: DataFrame, min_lag
     return features.join(labels, ["week_id", "attr_id"]).join(degree, "attr_id").select(*SAMPLE_COLUMNS)
 
 
-def split_by_time(samples: DataFrame, valid_weeks: int = 8, test_weeks: int = 8) -> DataFrame:
-    """By week ids: the last ones are test, those before valid, the rest train."""
-    last = F.broadcast(samples.agg(F.max("week_id").alias("last")))
+def last_labelled_week(weeks: DataFrame) -> DataFrame:
+    """Of the weeks of a panel, the last one with a following week: one row, column ``last``."""
+    after = weeks.select((F.col("week_id") - 1).alias("week_id")).distinct()
+    return weeks.select("week_id").distinct().join(after, "week_id", "left_semi").agg(F.max("week_id").alias("last"))
+
+
+def split_by_time(samples: DataFrame, valid_weeks: int = 8, test_weeks: int = 8, last: DataFrame | None = None) -> DataFrame:
+    """By week ids: the last ones are test, those before valid, the rest train. last: one row with the last week, as last_labelled_week gives it; by default
+    it is taken from the samples, which are then derived twice."""
+    last = samples.agg(F.max("week_id").alias("last")) if last is None else last
     week = F.col("week_id")
     split = F.when(week > F.col("last") - test_weeks, "test").when(week > F.col("last") - test_weeks - valid_weeks, "valid").otherwise("train")
-    return samples.crossJoin(last).select(split.alias("split"), *samples.columns)
+    return samples.crossJoin(F.broadcast(last)).select(split.alias("split"), *samples.columns)
 
 
 def rank_percent(samples: DataFrame) -> DataFrame:

@@ -23,7 +23,7 @@ class Trend:
         self.spark, self.sf_dir = spark, sf_dir
         self.raw = tables.raw_transactions(spark, sf_dir)
         self.articles = tables.raw_articles(spark, sf_dir)
-        self.weekly = trend.with_week_id(self.raw)
+        self.weekly = trend.with_week_id(self.raw, tables.first_date(spark, sf_dir))
         self.sales = trend.article_week_sales(self.weekly)
         self.edges = trend.article_edges(self.articles)
         self.nodes = trend.attribute_nodes(self.articles)
@@ -32,7 +32,7 @@ class Trend:
         self.heat = trend.heat_panel(self.sales, self.edges, self.nodes)
         self.target = trend.next_week_target(self.heat)
         self.samples = trend.trend_samples(self.heat, self.target, self.degree)
-        self.split = trend.split_by_time(self.samples)
+        self.split = trend.split_by_time(self.samples, last=trend.last_labelled_week(self.weekly))
 
     def predictions(self) -> DataFrame:
         return forecast.baselines(self.split)

@@ -51,6 +51,12 @@ def raw_transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def first_date(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The date of the first order that has a line, as one row (column ``first``): dates and keys are all that is read."""
+    lines = read(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("o_orderkey"))
+    return read(spark, sf_dir, "orders").join(lines, "o_orderkey", "left_semi").agg(F.min("o_orderdate").cast("date").alias("first"))
+
+
 def raw_articles(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = F.regexp_extract("p_brand", "[0-9]+", 0).cast("long")
     return read(spark, sf_dir, "part").select(
