@@ -5,7 +5,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from weftline.operators import audit, cases, checks, graph
@@ -27,7 +27,6 @@ _register("dq_share_distribution", "SELECT count(*) AS n_violations FROM (SELECT
 
 
 # The checks below run over the tables as built and over damaged copies: what the twins count is the damage.
-SEVEN, EIGHT, NINE = (F.col("week_id") % 50 == k for k in (7, 8, 9))
 _STATES = ("as_built", "damaged")
 
 
@@ -46,10 +45,15 @@ def both_states_sql(rules: list[str], built: dict[str, str], damaged: dict[str,
 _at = lambda table, k: f"SELECT count(*) FROM {table} WHERE week_id % 50 = {k}"
 
 
+def week(k: int) -> Column:
+    """The weeks that a damage hits."""
+    return F.col("week_id") % 50 == k
+
+
 def damaged_targets(target: DataFrame) -> DataFrame:
     """Growth is off in some weeks, some weeks lack, some come twice."""
-    off = target.withColumn("target_growth", F.col("target_growth") + F.when(SEVEN, 1.0).otherwise(0.0)).where(~EIGHT)
-    return off.unionByName(off.where(NINE))
+    off = target.withColumn("target_growth", F.col("target_growth") + F.when(week(7), 1.0).otherwise(0.0)).where(~week(8))
+    return off.unionByName(off.where(week(9)))
 
 
 _register(
@@ -69,7 +73,7 @@ _register(
 
 def damaged_split(split: DataFrame) -> DataFrame:
     """Some weeks have other values, some lack, some are in no split."""
-    return split.where(~EIGHT).withColumns({"attr_value": F.when(SEVEN, F.lit("?")).otherwise(F.col("attr_value")), "split": F.when(NINE, F.lit("other")).otherwise(F.col("split"))})
+    return split.where(~week(8)).withColumns({"attr_value": F.when(week(7), F.lit("?")).otherwise(F.col("attr_value")), "split": F.when(week(9), F.lit("other")).otherwise(F.col("split"))})
 
 
 _register(
@@ -85,7 +89,7 @@ _register(
 
 def damaged_predictions(predictions: DataFrame) -> DataFrame:
     """Some weeks carry another share than the sample, some lack, some have no finite share."""
-    return predictions.where(~EIGHT).withColumns({"share_t": F.col("share_t") + F.when(SEVEN, 1.0).otherwise(0.0), "pred_share_t1": F.when(NINE, F.lit(float("nan"))).otherwise(F.col("pred_share_t1"))})
+    return predictions.where(~week(8)).withColumns({"share_t": F.col("share_t") + F.when(week(7), 1.0).otherwise(0.0), "pred_share_t1": F.when(week(9), F.lit(float("nan"))).otherwise(F.col("pred_share_t1"))})
 
 
 _register(
@@ -102,7 +106,7 @@ _register(
 def damaged_panel(heat: DataFrame) -> DataFrame:
     """One attribute type lacks in all weeks, and some weeks hold an unknown attribute."""
     rest = heat.where("attr_type <> 'index_name'")
-    return rest.unionByName(rest.where(SEVEN & (F.col("rank_in_type") == 1)).withColumn("attr_id", F.concat(F.lit("unknown::"), F.col("attr_id"))))
+    return rest.unionByName(rest.where(week(7) & (F.col("rank_in_type") == 1)).withColumn("attr_id", F.concat(F.lit("unknown::"), F.col("attr_id"))))
 
 
 _register(
@@ -178,7 +182,7 @@ def aligned(t) -> DataFrame:
     audit.store_ranges(t.split.select(*key, *values), key, f"{folder}/before")
     audit.store_ranges(rich, key, f"{folder}/as_built")
     kept = t.spark.read.parquet(f"{folder}/as_built").drop("_range")
-    damaged = kept.where(~(EIGHT & (F.col("attr_id") < "d"))).withColumn("target_growth", F.when(SEVEN & (F.col("attr_id") < "d"), 0.0).otherwise(F.col("target_growth")))
+    damaged = kept.where(~(week(8) & (F.col("attr_id") < "d"))).withColumn("target_growth", F.when(week(7) & (F.col("attr_id") < "d"), 0.0).otherwise(F.col("target_growth")))
     audit.store_ranges(damaged, key, f"{folder}/damaged")
     found = [audit.different_keys(t.spark, f"{folder}/before", f"{folder}/{state}", key, values).select(F.lit(state).alias("state"), "rule", F.get_json_object("key", "$.week_id").cast("long").alias("week_id"), F.get_json_object("key", "$.attr_id").alias("attr_id")) for state in _STATES]
     return found[0].unionByName(found[1])
