@@ -36,7 +36,7 @@ def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = quality.judge(table(spark, sf_dir, "documents").select("doc_id", "lang", "text"))
-    return rows.select("row.doc_id", *[f"measures.{c}" for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")], "base_failed", "kept", "measures.log_ppl")
+    return rows.select("row.doc_id", *[f"measures.{c}" for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")], "base_failed", "kept", "measures.word_cost")
 
 
 def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
