@@ -1,5 +1,6 @@
+import math
 import zlib
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 from pyspark.sql import functions as F
 
@@ -46,5 +47,30 @@ def test_weights_move_rows_only_into_grown_subtrees(spark):
     assert 2 / 42 < share < 4 / 42
 
 
+def test_rows_without_an_id_are_spread(spark):
+    df = spark.range(4000).select(F.lit(None).cast("long").alias("doc_id"), F.concat(F.lit("text "), "id").alias("text"))
+    out = sharding.shard_documents(df.union(df), 40)
+    rows = out.collect()
+    assert len({r.shard for r in rows}) == 1 and sorted(r.slot for r in rows) == list(range(8000))
+    assert max(Counter(r.part for r in out.select(F.spark_partition_id().alias("part")).collect()).values()) < 8000
+
+
+def test_draws_against_brute_force(spark):
+    """The shard of an id is where the greatest draw wins on every level."""
+    nodes = [(0, 0, 0, 1.0), (0, 0, 1, 2.0), (0, 1, 2, 0.5), (1, 2, 3, 1.5), (1, 3, 4, 0.0)]
+    ids = [None, 0, -5, *range(1, 200)]
+    keys = spark.createDataFrame([(x,) for x in ids], "id long")
+    names = {"region": {0: 3.5, 1: 1.5}, "rack": {0: 3.0, 1: 0.5, 2: 1.5}, "shard": {0: 1.0, 1: 2.0, 2: 0.5, 3: 1.5}}
+    hashes = [F.xxhash64("id", F.lit(level), F.lit(child)).alias(f"{level}{child}") for level, children in names.items() for child in children]
+    for row in keys.select("id", sharding.shard_of(F.col("id"), nodes).alias("shard"), *hashes).collect():
+
+        def best(level, children):
+            return max(children, key=lambda c: math.log(((row[f"{level}{c}"] % (1 << 64) >> 11) + 0.5) / (1 << 53)) / names[level][c])
+
+        region = best("region", [0, 1])
+        rack = best("rack", {0: [0, 1], 1: [2]}[region])
+        assert row["shard"] == best("shard", {0: [0, 1], 1: [2], 2: [3]}[rack])
+
+
 def test_nothing(no_documents):
     assert sharding.shard_documents(no_documents, 40).count() == 0

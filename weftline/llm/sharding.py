@@ -61,7 +61,7 @@ def shard_documents(documents: DataFrame, n_shards: int) -> DataFrame:
 
     The law is ``key``: doc_id and the number of shards decide. Slots number a shard's rows from 0 without gaps:
     rows are counted by (shard, hash bucket), a bucket starts after the earlier ones, and rows are numbered inside it
-    by doc_id, so that no task sees a whole shard. Null texts count as empty and a null doc_id hashes like any
+    by doc_id, so that no task sees a whole shard, nor all texts of a null or often repeated doc_id; only rows equal in both meet. Null texts count as empty and a null doc_id hashes like any
     other value; repeated rows get a slot each; an empty table gives no rows; other columns are ignored.
     """
     spark = documents.sparkSession
@@ -76,8 +76,8 @@ def shard_documents(documents: DataFrame, n_shards: int) -> DataFrame:
         F.lit("key").alias("law"),
         shard_of(key, nodes).cast("int").alias("shard"),
         shard_of(key, grown(nodes)).cast("int").alias("grown_shard"),
-        F.pmod(F.xxhash64(F.lit("slot"), key), F.lit(buckets)).cast("int").alias("bucket"),
     )
+    rows = rows.withColumn("bucket", F.pmod(F.xxhash64(F.lit("slot"), "doc_id", "text_crc32", "size"), F.lit(buckets)).cast("int"))
     counts = rows.groupBy("shard", "bucket").count()
     before = F.sum("count").over(Window.partitionBy("shard").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1))
     starts = counts.select("shard", "bucket", F.coalesce(before, F.lit(0)).alias("first"))
