@@ -156,3 +156,13 @@ def test_no_session_setting_changes(spark, odd_documents):
     rows = token_files.read_token_files(files.read()).orderBy("start").collect()
     assert spark.conf.get(name) == before
     assert [r.start for r in rows] == [sum(x.n_tokens for x in rows[:k]) for k in range(len(rows))]
+
+
+def test_a_word_encoders_cache_is_smaller_and_holds_its_bound():
+    from weftline.llm import pieces
+
+    few = pieces.WordEncoder(lambda piece: piece.encode(), entries=10)
+    text = " ".join(f"w{k % 37}" for k in range(500))
+    assert few(text) == text.replace(" ", "").encode()
+    assert len(few.cache) <= 10 and len(few.cache.older) <= 10
+    assert pieces.WordEncoder(lambda piece: piece.encode()).cache.entries < pieces.SpacedEncoder(lambda piece: piece.encode()).cache.entries

@@ -75,6 +75,7 @@ def pack_documents(documents: DataFrame, tokenizer_path: str, end_id: int, windo
     assert 0 < stride <= window
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pa.default_memory_pool().release_unused()  # a worker may have served other stages before
         encode, end = word_encoder(tokenizer_path), np.array([end_id], "<u4").tobytes()
         ends = sentence_end_ids(tokenizer_path)
         if end_id >= len(ends):

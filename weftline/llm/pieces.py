@@ -11,6 +11,8 @@ from collections.abc import Callable
 
 #: Entries of a worker's cache before it becomes the older half and a new one starts; the longest piece that is kept.
 CACHE_ENTRIES, CACHED_LENGTH = 450_000, 64
+#: Entries of a word encoder's cache: with its older half some 50 MB a worker, as it runs behind stages that have filled their executors.
+WORD_ENTRIES = 160_000
 #: A run of letters ends before such signs, so those after a letter at a piece's end are encoded on their own.
 MARKS = ".,!?;:&*#%$|"
 
@@ -22,9 +24,9 @@ class Uneven(Exception):
 class PieceCache(dict):
     """piece -> bytes of its ids; a missing piece is encoded, after ``lead``. strict: white space at a piece's ends is Uneven."""
 
-    def __init__(self, encode: Callable[[str], bytes], lead: str, strict: bool):
+    def __init__(self, encode: Callable[[str], bytes], lead: str, strict: bool, entries: int = CACHE_ENTRIES):
         super().__init__()
-        self.encode, self.lead, self.strict = encode, lead, strict
+        self.encode, self.lead, self.strict, self.entries = encode, lead, strict, entries
         self.older: dict[str, bytes] = {}
         self.after_break: PieceCache | None = None
         self.line_break = encode("\n")
@@ -55,7 +57,7 @@ class PieceCache(dict):
 
     def _keep(self, piece: str, found: bytes) -> bytes:
         if len(piece) <= CACHED_LENGTH:
-            if len(self) >= CACHE_ENTRIES:
+            if len(self) >= self.entries:
                 self.older = dict(self)
                 self.clear()
             self[piece] = found
@@ -103,8 +105,8 @@ class SpacedEncoder:
 class WordEncoder:
     """For patterns that drop white space: every piece stands alone."""
 
-    def __init__(self, encode: Callable[[str], bytes]):
-        self.cache = PieceCache(encode, "", strict=False)
+    def __init__(self, encode: Callable[[str], bytes], entries: int = WORD_ENTRIES):
+        self.cache = PieceCache(encode, "", strict=False, entries=entries)
 
     def __call__(self, text: str) -> bytes:
         return b"".join(map(self.cache.__getitem__, text.split(" ")))
