@@ -166,3 +166,16 @@ def test_a_word_encoders_cache_is_smaller_and_holds_its_bound():
     assert few(text) == text.replace(" ", "").encode()
     assert len(few.cache) <= 10 and len(few.cache.older) <= 10
     assert pieces.WordEncoder(lambda piece: piece.encode()).cache.entries < pieces.SpacedEncoder(lambda piece: piece.encode()).cache.entries
+
+
+def test_packing_alone_keeps_more_words_than_behind_other_stages(spark, monkeypatch):
+    from weftline.llm import pieces, registry
+
+    asked = {}
+    monkeypatch.setattr(registry.packing, "pack_documents", lambda *_, **more: asked.update(more))
+    registry.op1_packing(spark, "/root/testdata/sf0.001")
+    assert asked["entries"] == pieces.CACHE_ENTRIES
+    encoder = tokenizer.word_encoder(WORD, asked["entries"])
+    encoder("one two three")
+    assert encoder.cache.entries == pieces.CACHE_ENTRIES and encoder.cache
+    assert tokenizer.word_encoder(WORD) is encoder and encoder.cache.entries == pieces.WORD_ENTRIES and not encoder.cache

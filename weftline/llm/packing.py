@@ -18,6 +18,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
 from weftline.llm.common import small, text_of
+from weftline.llm.pieces import WORD_ENTRIES
 from weftline.llm.tokenizer import sentence_end_ids, word_encoder
 
 WINDOW = 4096
@@ -65,18 +66,19 @@ def cuts_of(ids: np.ndarray, ends: np.ndarray, stride: int, penalties: tuple[int
     return where, cost[where]
 
 
-def pack_documents(documents: DataFrame, tokenizer_path: str, end_id: int, window: int = WINDOW, penalties: tuple[int, int, int] = PENALTIES, stride: int = STRIDE, block: int = BLOCK) -> DataFrame:
+def pack_documents(documents: DataFrame, tokenizer_path: str, end_id: int, window: int = WINDOW, penalties: tuple[int, int, int] = PENALTIES, stride: int = STRIDE, block: int = BLOCK, entries: int = WORD_ENTRIES) -> DataFrame:
     """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset.
 
     Documents keep the table's order within each input partition, which is packed on its own: one window at its
     end may be short. sequence_id is the partition times 2^32 plus the window's number. Null and empty texts are the
     end id alone; repeated rows are packed each; an empty table gives no rows; other columns are ignored.
+    entries: of a worker's cache of words; with more it encodes fewer words again, and needs more memory.
     """
     assert 0 < stride <= window
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pa.default_memory_pool().release_unused()  # a worker may have served other stages before
-        encode, end = word_encoder(tokenizer_path), np.array([end_id], "<u4").tobytes()
+        encode, end = word_encoder(tokenizer_path, entries), np.array([end_id], "<u4").tobytes()
         ends = sentence_end_ids(tokenizer_path)
         if end_id >= len(ends):
             ends = np.pad(ends, (0, end_id + 1 - len(ends)))

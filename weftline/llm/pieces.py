@@ -11,7 +11,7 @@ from collections.abc import Callable
 
 #: Entries of a worker's cache before it becomes the older half and a new one starts; the longest piece that is kept.
 CACHE_ENTRIES, CACHED_LENGTH = 450_000, 64
-#: Entries of a word encoder's cache: with its older half some 50 MB a worker, as it runs behind stages that have filled their executors.
+#: Entries of a word encoder's cache, unless it is given another bound: with its older half some 50 MB a worker, as it runs behind stages that have filled their executors.
 WORD_ENTRIES = 160_000
 #: A run of letters ends before such signs, so those after a letter at a piece's end are encoded on their own.
 MARKS = ".,!?;:&*#%$|"
@@ -55,6 +55,13 @@ class PieceCache(dict):
                 return self[lines[0]] + b"".join([self.line_break + after[x] for x in lines[1:]])
         return self._keep(piece, self.encode(self.lead + piece))
 
+    def bound(self, entries: int) -> None:
+        """Sets the number of entries; what a larger bound let in goes."""
+        if entries < self.entries:
+            self.clear()
+            self.older = {}
+        self.entries = entries
+
     def _keep(self, piece: str, found: bytes) -> bytes:
         if len(piece) <= CACHED_LENGTH:
             if len(self) >= self.entries:

@@ -5,7 +5,7 @@ from __future__ import annotations
 import functools
 from array import array
 
-from weftline.llm.pieces import SpacedEncoder, WordEncoder
+from weftline.llm.pieces import WORD_ENTRIES, SpacedEncoder, WordEncoder
 
 
 @functools.cache
@@ -67,11 +67,17 @@ def spaced_encoder(path: str) -> SpacedEncoder:
 
 
 @functools.cache
-def word_encoder(path: str) -> WordEncoder:
-    """text -> little-endian unsigned 32-bit ids, for files whose pattern drops white space."""
+def _word_encoder(path: str) -> WordEncoder:
     return WordEncoder(_ids(path, lambda piece: byte_level(piece.strip().lower()), lambda _, word: word.lower()))
 
 
+def word_encoder(path: str, entries: int = WORD_ENTRIES) -> WordEncoder:
+    """text -> little-endian unsigned 32-bit ids, for files whose pattern drops white space. entries: the bound of its cache from now on."""
+    found = _word_encoder(path)
+    found.cache.bound(entries)
+    return found
+
+
 @functools.cache
 def vocabulary_size(path: str) -> int:
     return tokenizer(path).get_vocab_size(with_added_tokens=True)
