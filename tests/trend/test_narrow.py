@@ -57,3 +57,10 @@ def test_popularity_has_a_row_per_article(spark):
     assert rows(reco.spread_counts(counts, windows), *WIN, "article_id", "n") == [("test", 5, 6, "a", 2), ("test", 9, 10, "a", 3), ("test", 9, 10, "b", 1), ("valid", 5, 6, "a", 2)]
     assert reco.popularity(weekly, windows.where("false")).count() == 0
 
+
+def test_seen_candidates_need_no_score(spark):
+    half = plans.Reco(spark, SF)
+    got = rows(plans.seen_candidates(half), *plans.ITEM, "is_seen")
+    assert half.scored == {}
+    assert got == rows(half.features().where("is_seen"), *plans.ITEM, "is_seen")
+
