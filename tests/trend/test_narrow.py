@@ -64,3 +64,9 @@ def test_seen_candidates_need_no_score(spark):
     assert half.scored == {}
     assert got == rows(half.features().where("is_seen"), *plans.ITEM, "is_seen")
 
+
+def test_strategies_are_counted_once(spark):
+    half = plans.Reco(spark, SF)
+    got = dict(rows(plans.strategy_counts(half), "strategy", "n"))
+    assert list(half.by_strategy) == ["enhanced_default"]
+    assert got == {s: half.candidates(s).count() for s in reco.STRATEGIES}
