@@ -65,6 +65,15 @@ def test_seen_candidates_need_no_score(spark):
     assert got == rows(half.features().where("is_seen"), *plans.ITEM, "is_seen")
 
 
+def test_one_score_waits_for_no_other(spark):
+    half = plans.Reco(spark, SF)
+    got = {c: rows(plans.one_score(half, c).select(*plans.ITEM, F.round(c, 9).alias(c)), *plans.ITEM, c) for c in ("pop_score", "recent_score", "trend_score")}
+    assert half.scored == {}
+    every = half.features()
+    for c, found in got.items():
+        assert found == rows(every.select(*plans.ITEM, F.round(c, 9).alias(c)), *plans.ITEM, c)
+
+
 def test_strategies_are_counted_once(spark):
     half = plans.Reco(spark, SF)
     got = dict(rows(plans.strategy_counts(half), "strategy", "n"))
