@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from weftline.operators import reco, trend
 from weftline.plans import reco as plans
+from weftline.sources import tables
 
 WIN = reco.WIN
 
@@ -79,3 +80,15 @@ def test_strategies_are_counted_once(spark):
     got = dict(rows(plans.strategy_counts(half), "strategy", "n"))
     assert list(half.by_strategy) == ["enhanced_default"]
     assert got == {s: half.candidates(s).count() for s in reco.STRATEGIES}
+
+
+def test_purchases_are_joined_by_sort_and_merge(spark):
+    plan = tables.raw_transactions(spark, SF).join(tables.first_date(spark, SF))._jdf.queryExecution().sparkPlan().toString()
+    assert plan.count("SortMergeJoin") == 2 and "BroadcastHashJoin" not in plan
+
+
+def test_names_of_a_mask(spark):
+    frames = [spark.createDataFrame([("test", 1, 2, "c", a, s, r) for a, r in items], "split string, cutoff_week long, label_week long, customer_id string, article_id string, source string, source_rank long") for s, items in (("trend", [("x", 3), ("y", 1)]), ("popularity", [("x", 3)]), ("preference_popularity", [("x", 2)]))]
+    merged = reco.merge_sources(frames, "s")
+    assert rows(merged, "article_id", "candidate_sources", "primary_source", "best_source_rank", "mask") == [("x", "popularity|trend|preference_popularity", "preference_popularity", 2, 69), ("y", "trend", "trend", 1, 4)]
+    assert "lambdafunction" not in merged._jdf.queryExecution().optimizedPlan().toString()
