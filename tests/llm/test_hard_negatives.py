@@ -68,6 +68,37 @@ def test_heap_order():
     assert all(abs(u[i] + v[j] - b) < 1e-12 for b, i, j in found)
 
 
+def test_visits_and_what_is_held_stay_small(spark, monkeypatch):
+    """An anchor is dealt once to a codeword of the first half, not to each of its cells; a batch of visits and what a task holds are bounded."""
+    counts = []
+
+    class Seen(hard_negatives.Saved):
+        def __init__(self, df, name):
+            super().__init__(df, name)
+            if name == "visits":
+                counts.append(self.read().groupBy("aid").count().selectExpr("max(count) AS n").first().n)
+
+    monkeypatch.setattr(hard_negatives, "Saved", Seen)
+    monkeypatch.setattr(hard_negatives, "WRITTEN", 7)
+    monkeypatch.setattr(hard_negatives, "FIRST", 30)
+    monkeypatch.setattr(hard_negatives, "PRODUCT", 16)
+    rnd = np.random.default_rng(7)
+    rows = [(i, rnd.normal(size=8).tolist(), int(rnd.integers(4)), i % 20 == 0) for i in range(1200)]
+    check(spark, rows, per_cell=8, block=64)  # 150 cells of 13 x 13 codewords; nearly all are visited
+    assert len(counts) == 4 and max(n or 0 for n in counts) <= 13
+
+    top, want = hard_negatives.Best(3), {}
+    monkeypatch.setattr(hard_negatives, "HELD", 100)
+    top.room = 100
+    for _ in range(50):
+        group, score, row = rnd.integers(0, 5, 40), rnd.integers(0, 9, 40), rnd.integers(0, 1 << 40, 40)
+        top.add(group, score, row, row)
+        assert sum(len(p[0]) for p in top.parts) <= 100
+        for g, x, r in zip(group, score, row, strict=True):
+            want.setdefault(g, []).append((-x, r))
+    assert [(g, -x, r) for g, x, r, _ in zip(*top.found(), strict=True)] == [(g, *x) for g in sorted(want) for x in sorted(want[g])[:3]]
+
+
 def test_query_as_sql(spark):
     folder = "/root/testdata/sf0.01"
     con = duckdb.connect()

@@ -10,7 +10,9 @@ the further cells whose bound reaches it: what no bound reaches is certified. Ea
 the first cells raise the window's floor, and only cells whose bound reaches the floor are visited.
 
 Equal vectors of one label are one class with its least ids, as many as any list can use; so repeated rows cost nothing, neither as anchors nor as rows.
-A crowded cell is cut into blocks of about ``BLOCK`` classes, and the visitors of a block into parts of about ``VISITORS``: one matrix product each.
+Cells of one codeword of the first half lie together, so an anchor goes there once, with the list of the cells it visits. A crowded codeword is cut into blocks
+of about ``BLOCK`` classes, and the visitors of a block into parts of about ``VISITORS`` (fewer of long vectors); in them each cell meets its visitors in products of ``PRODUCT`` by ``PRODUCT``.
+So memory doesn't grow with anchors, rows or cells, and what is dealt is not each pair of anchor and cell.
 """
 
 from __future__ import annotations
@@ -21,14 +23,17 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from weftline.functions.expr import top_k
 from weftline.llm.common import Saved
 
-#: Rows, and numbers, that the codebooks are fitted on; rows a cell on average; rows of the first visits; sizes of a product; lengths with a smaller share of all rows are one cell.
-SAMPLE, NUMBERS, PER_CELL, FIRST, BLOCK, VISITORS, MIN_SHARE, ROUNDS = 20_000, 1 << 23, 400, 4096, 2048, 1024, 0.01, 8
+#: Rows, and numbers, that the codebooks are fitted on; rows a cell on average; rows of the first visits; lengths with a smaller share of all rows are one cell.
+SAMPLE, NUMBERS, PER_CELL, FIRST, MIN_SHARE, ROUNDS = 20_000, 1 << 23, 400, 4096, 0.01, 8
+#: Classes of a block and visitors of a part, if vectors have up to WIDE numbers; sides of a product; found ones that are held before the best are taken; visits of a written batch.
+BLOCK, VISITORS, WIDE, PRODUCT, HELD, WRITTEN = 16_384, 8192, 64, 1024, 1 << 19, 4096
 LIMIT = float(1 << 62)
 NO_ID = np.iinfo(np.int64).max
 FAR = np.iinfo(np.int64).min
@@ -73,10 +78,12 @@ def products(left: np.ndarray, right: np.ndarray) -> np.ndarray:
 
 def best(scores: np.ndarray, fits: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     """(row, column) of each row's k greatest scores that fit; of equal ones the first columns."""
-    masked = np.where(fits, scores, FAR)
-    if k < masked.shape[1]:
+    many = np.flatnonzero(np.count_nonzero(fits, axis=1) > k)
+    if len(many):
+        masked = np.where(fits[many], scores[many], FAR)
         last = np.partition(masked, masked.shape[1] - k, axis=1)[:, masked.shape[1] - k]
-        fits = fits & (scores >= last[:, None])
+        fits = fits.copy()
+        fits[many] &= masked >= last[:, None]
     r, c = np.nonzero(fits)
     order = np.lexsort((c, -scores[r, c], r))
     r, c = r[order], c[order]
@@ -85,6 +92,30 @@ def best(scores: np.ndarray, fits: np.ndarray, k: int) -> tuple[np.ndarray, np.n
     return r[few], c[few]
 
 
+class Best:
+    """The k greatest scores of each group, of equal ones those of the least ids; holds HELD or k a group."""
+
+    def __init__(self, k: int):
+        self.k, self.parts, self.held, self.room = k, [], 0, HELD
+
+    def add(self, group: np.ndarray, score: np.ndarray, row: np.ndarray, least: np.ndarray) -> None:
+        self.parts.append((group, score, row, least))
+        self.held += len(group)
+        if self.held > self.room:
+            self.parts = [self.found()]
+            self.held = len(self.parts[0][0])
+            self.room = max(HELD, 2 * self.held)
+
+    def found(self) -> tuple[np.ndarray, ...]:
+        if not self.parts:
+            return (np.zeros(0, np.int64),) * 4
+        group, score, row, least = (np.concatenate(x) for x in zip(*self.parts, strict=True))
+        order = np.lexsort((least, -score, group))
+        group = group[order]
+        few = np.arange(len(group)) - np.searchsorted(group, group) < self.k
+        return group[few], score[order][few], row[order][few], least[order][few]
+
+
 def finite(column: str) -> Column:
     number = lambda x: x.cast("double")
     return F.coalesce(F.forall(column, lambda x: x.isNotNull() & ~F.isnan(number(x)) & (F.abs(number(x)) < float("inf"))), F.lit(False))
@@ -134,9 +165,10 @@ class Index:
 
         placed = Saved(classes.select("cid", "label", "ids", "v").mapInArrow(assign, "d int, i int, j int, far1 double, far2 double, cid long, label long, ids array<long>, vector binary"), "placed").read()
         self.sizes = Saved(placed.groupBy("d", "i", "j").agg(F.count(F.lit(1)).alias("n"), F.max("far1").alias("r1"), F.max("far2").alias("r2")), "cells").read()
-        blocks = self.sizes.select("d", "i", "j", F.ceil(F.col("n") / block).cast("int").alias("blocks"))
+        large = F.col("n") * F.greatest("d", F.lit(WIDE)) / (WIDE * block)
+        blocks = self.sizes.groupBy("d", "i").agg(F.sum("n").alias("n")).select("d", "i", F.ceil(large).cast("int").alias("blocks"))
         self.blocks = blocks
-        self.placed = placed.join(blocks, ["d", "i", "j"]).select("d", "i", "j", F.pmod(F.xxhash64("cid"), "blocks").cast("int").alias("b"), "cid", "label", "ids", "vector")
+        self.placed = placed.join(F.broadcast(blocks), ["d", "i"]).select("d", "i", "j", F.pmod(F.xxhash64("cid"), "blocks").cast("int").alias("b"), "cid", "label", "ids", "vector")
         self.cells = {}
         for r in self.sizes.where(F.col("d").isin(list(self.books))).collect() if self.books else []:
             radii, n = self.cells.setdefault(r.d, ([np.zeros(len(x)) for x in self.books[r.d]], {}))
@@ -151,57 +183,84 @@ class Index:
 
         def order(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             books, cells = shared.value
+            there = {}
+            for d, (_, n) in cells.items():
+                there[d] = np.zeros([len(x) for x in books[d]], bool)
+                there[d][tuple(zip(*n, strict=True))] = True
             for batch in batches:
                 at: list[int] = []
-                pairs: list[tuple[int, int]] = []
+                first_half: list[int] = []
+                lists: list[bytes] = []
+
+                def visits(batch=batch, at=at, first_half=first_half, lists=lists) -> pa.RecordBatch:
+                    out = batch.take(pa.array(at, pa.int64()))
+                    out = pa.RecordBatch.from_arrays([pa.array(first_half, pa.int32()), pa.array(lists, pa.binary()), *out.columns], names=["i", "js", *batch.schema.names])
+                    for x in (at, first_half, lists):
+                        x.clear()
+                    return out
+
                 floors = batch.column(floor).to_pylist() if floor else [None] * batch.num_rows
                 for k, (d, data, least) in enumerate(zip(batch.column("d").to_pylist(), batch.column("vector").to_pylist(), floors, strict=True)):
                     if d not in cells:  # a rare length is one cell
-                        seen = [] if floor else [(0, 0)]
+                        seen = np.zeros((1, 1), bool) if floor else np.ones((1, 1), bool)
                     else:
                         radii, n = cells[d]
                         x = np.frombuffer(data, np.int32).astype(np.float64)
                         halves = x[: d // 2], x[d // 2 :]
                         u, v = (c @ y + np.linalg.norm(y) * r for c, y, r in zip(books[d], halves, radii, strict=True))
-                        slack = 1 + 1e-9 * np.linalg.norm(x) * (np.abs(u).max() + np.abs(v).max() + 1)
-                        seen, met = [], 0
-                        for bound, i, j in by_bound(u, v):
-                            if floor and least is not None and bound + slack < least:
-                                break
-                            early = met < first
+                        early, met = np.zeros(there[d].shape, bool), 0
+                        for _, i, j in by_bound(u, v):
+                            early[i, j] = True
                             met += n.get((i, j), 0)
-                            if (i, j) in n and early != bool(floor):
-                                seen.append((i, j))
-                            if not floor and met >= first:
+                            if met >= first:
                                 break
-                    at += [k] * len(seen)
-                    pairs += seen
-                where = np.array(pairs, np.int32).reshape(-1, 2)
-                out = batch.take(pa.array(at, pa.int64()))
-                yield pa.RecordBatch.from_arrays([pa.array(where[:, 0]), pa.array(where[:, 1]), *out.columns], names=["i", "j", *batch.schema.names])
+                        seen = there[d] & (early ^ bool(floor))
+                        if least is not None:
+                            slack = 1 + 1e-9 * np.linalg.norm(x) * (np.abs(u).max() + np.abs(v).max() + 1)
+                            seen &= u[:, None] + v[None, :] + slack >= least
+                    for i in np.flatnonzero(seen.any(1)).tolist():
+                        at.append(k)
+                        first_half.append(i)
+                        lists.append(np.flatnonzero(seen[i]).astype(np.int32).tobytes())
+                        if len(at) >= max(1, WRITTEN * WIDE // max(d, WIDE)):
+                            yield visits()
+                if at:
+                    yield visits()
 
         fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in asks.schema)
-        visits = Saved(asks.mapInArrow(order, f"i int, j int, {fields}"), "visits").read()
-        parts = visits.groupBy("d", "i", "j").agg(F.ceil(F.count(F.lit(1)) / visitors).cast("int").alias("parts"))
+        visits = Saved(asks.mapInArrow(order, f"i int, js binary, {fields}"), "visits").read()
+        many = F.count(F.lit(1)) * F.greatest("d", F.lit(WIDE)) / (WIDE * visitors)
+        parts = visits.groupBy("d", "i").agg(F.ceil(many).cast("int").alias("parts"))
         upto = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
-        keys = ["d", "i", "j", "b", "p"]
-        come = visits.join(parts.join(self.blocks, ["d", "i", "j"]), ["d", "i", "j"]).withColumn("p", F.pmod(F.xxhash64("aid"), "parts").cast("int")).withColumn("b", upto("blocks")).drop("blocks", "parts")
-        rows = self.placed.join(parts, ["d", "i", "j"]).withColumn("p", upto("parts")).drop("parts")
+        keys = ["d", "i", "b", "p"]
+        # a row for each codeword is broadcast, by hint: files of visits, which repeat vectors, are far smaller than their rows, and Spark would collect these
+        come = visits.join(F.broadcast(parts.join(F.broadcast(self.blocks), ["d", "i"])), ["d", "i"]).withColumn("p", F.pmod(F.xxhash64("aid"), "parts").cast("int")).withColumn("b", upto("blocks")).drop("blocks", "parts")
+        rows = self.placed.join(F.broadcast(parts), ["d", "i"]).withColumn("p", upto("parts")).drop("parts")
         return rows.groupBy(*keys).cogroup(come.groupBy(*keys)).applyInArrow(search, schema)
 
 
-def _laid_out(rows: pa.Table, visits: pa.Table) -> tuple | None:
-    """Rows by their least id, so that the first of equal scores is the right one, and all products."""
+def _meetings(rows: pa.Table, visits: pa.Table) -> Iterator[tuple[np.ndarray, ...]]:
+    """(visitors, rows, the rows' least ids, scores, whether labels are equal) of each product: a slice of a cell's rows by their least id, so that the first
+    of equal scores is the right one, and a slice of the cell's visitors. Both are positions."""
     if not rows.num_rows or not visits.num_rows:
-        return None
-    rows, visits = rows.combine_chunks(), visits.combine_chunks()
-    ids = rows["ids"].to_pylist()
-    least = np.array([x[0] if x[0] is not None else NO_ID for x in ids], np.int64)
-    rows = rows.take(pa.array(np.argsort(least, kind="stable")))
-    d = rows["d"][0].as_py()
+        return
+    least = np.array([NO_ID if x is None else x for x in pc.list_element(rows["ids"], 0).to_pylist()], np.int64)
+    d, cell, labels, asked = rows["d"][0].as_py(), rows["j"].to_numpy(), rows["label"].to_numpy(), visits["label"].to_numpy()
+    lists = [np.frombuffer(x, np.int32) for x in visits["js"].to_pylist()]
+    at, where = np.repeat(np.arange(len(lists)), [len(x) for x in lists]), np.concatenate(lists)
+    order = np.argsort(where, kind="stable")
+    at, where = at[order], where[order]
+    by_cell = np.lexsort((least, cell))
     x, y = _vectors(visits["vector"], d), _vectors(rows["vector"], d)
-    same = visits["label"].to_numpy()[:, None] == rows["label"].to_numpy()[None, :]
-    return rows, visits, products(x, y), same
+    side = max(64, PRODUCT * WIDE // max(d, WIDE))
+    for j in np.unique(cell).tolist():
+        come = at[np.searchsorted(where, j) : np.searchsorted(where, j, "right")]
+        own = by_cell[np.searchsorted(cell[by_cell], j) : np.searchsorted(cell[by_cell], j, "right")]
+        for a in range(0, len(come), side):
+            some = come[a : a + side]
+            for b in range(0, len(own), side):
+                part = own[b : b + side]
+                yield some, part, least[part], products(x[some], y[part]), asked[some][:, None] == labels[part][None, :]
 
 
 def _floors(visits: pa.Table, column: str) -> np.ndarray:
@@ -231,14 +290,13 @@ def mine(rows: DataFrame, positives: int = 5, negatives: int = 5, low: int = 80,
     asks = Saved(built.placed.join(asked, F.col("cid") == F.col("aid"), "left_semi").select(F.col("cid").alias("aid"), "d", "label", "vector"), "asks").read()
 
     def same_label(rows: pa.Table, visits: pa.Table) -> pa.Table:
-        found = _laid_out(rows, visits)
-        if found is None:
-            return pa.table({"aid": pa.array([], pa.int64()), "score": pa.array([], pa.int64()), "ids": pa.array([], pa.list_(pa.int64()))})
-        rows, visits, scores, same = found
-        if "floor" in visits.column_names:
-            same = same & (scores >= _floors(visits, "floor")[:, None])
-        r, c = best(scores, same, take)
-        return pa.table({"aid": visits["aid"].take(pa.array(r)), "score": scores[r, c], "ids": rows["ids"].take(pa.array(c))})
+        top = Best(take)
+        floors = _floors(visits, "floor") if "floor" in visits.column_names else np.full(visits.num_rows, FAR)
+        for asks, part, least, scores, same in _meetings(rows, visits):
+            r, c = best(scores, same & (scores >= floors[asks][:, None]), take)
+            top.add(asks[r], scores[r, c], part[c], least[c])
+        ask, score, row, _ = top.found()
+        return pa.table({"aid": visits["aid"].take(pa.array(ask)), "score": score, "ids": rows["ids"].take(pa.array(row))})
 
     def ranked(found: DataFrame, keys: list[str], k: int) -> DataFrame:
         return top_k(found.select(*keys, "score", F.explode("ids").alias("id")), keys, [F.desc("score"), F.col("id").asc_nulls_last()], k)
@@ -251,21 +309,22 @@ def mine(rows: DataFrame, positives: int = 5, negatives: int = 5, low: int = 80,
     lists = Saved(chosen.groupBy("aid").agg(F.sort_array(F.collect_list(F.struct("rn", "score", "id"))).alias("list")), "positives").read()
 
     def other_labels(rows: pa.Table, visits: pa.Table) -> pa.Table:
-        found = _laid_out(rows, visits)
-        out: list[tuple[np.ndarray, ...]] = []
-        if found is not None:
-            rows, visits, scores, same = found
-            tops, bottoms = visits["tops"].to_pylist(), visits["bottoms"].to_pylist()
-            for k in range(max(map(len, tops), default=0)):
-                has = np.flatnonzero([len(t) > k for t in tops])
-                top, bottom = (np.array([x[i][k] for i in has], np.int64) for x in (tops, bottoms))
-                part = scores[has]
-                r, c = best(part, ~same[has] & (part <= top[:, None]) & (part >= bottom[:, None]), negatives)
-                out.append((has[r], top[r], part[r, c], c))
-        if not out:
-            return pa.table({"aid": pa.array([], pa.int64()), "top": pa.array([], pa.int64()), "score": pa.array([], pa.int64()), "ids": pa.array([], pa.list_(pa.int64()))})
-        r, top, score, c = (np.concatenate(x) for x in zip(*out, strict=True))
-        return pa.table({"aid": visits["aid"].take(pa.array(r)), "top": top, "score": score, "ids": rows["ids"].take(pa.array(c))})
+        tops, bottoms = visits["tops"].to_pylist(), visits["bottoms"].to_pylist()
+        width = max(map(len, tops), default=0)
+        has = np.array([[len(t) > k for k in range(width)] for t in tops], bool).reshape(-1, width)
+        high, low = (np.array([[x[k] if k < len(x) else 0 for k in range(width)] for x in lists], np.int64).reshape(-1, width) for lists in (tops, bottoms))
+        top = Best(negatives)
+        ends = np.where(has, low, NO_ID).min(1, initial=NO_ID), np.where(has, high, FAR).max(1, initial=FAR)
+        for asks, part, least, scores, same in _meetings(rows, visits):
+            inside = ~same & (scores >= ends[0][asks][:, None]) & (scores <= ends[1][asks][:, None])
+            few = np.flatnonzero(inside.any(1))
+            asks, scores, inside = asks[few], scores[few], inside[few]
+            for k in range(width):
+                r, c = best(scores, inside & has[asks, k, None] & (scores <= high[asks, k, None]) & (scores >= low[asks, k, None]), negatives)
+                top.add(asks[r] * width + k, scores[r, c], part[c], least[c])
+        group, score, row, _ = top.found()
+        ask, k = np.divmod(group, max(width, 1))
+        return pa.table({"aid": visits["aid"].take(pa.array(ask)), "top": high[ask, k] if width else group, "score": score, "ids": rows["ids"].take(pa.array(row))})
 
     # the least whole number n with 100 n >= low p, without a product that could overflow
     bottom = F.expr(f"(p - pmod(p, 100L)) div 100 * {low} + (pmod(p, 100L) * {low} + 99) div 100")
@@ -281,8 +340,8 @@ def mine(rows: DataFrame, positives: int = 5, negatives: int = 5, low: int = 80,
     own = asks.select("aid", "d", "vector").mapInArrow(_own_scores, "aid long, own long")
     at = F.array_position(F.transform("list", lambda x: x["id"].eqNullSafe(F.col("vec_id")) & (x["score"] == F.col("own"))), True) - 1
     others = F.slice(F.filter("list", lambda x, i: i != F.col("at")), 1, positives)
-    each = anchors.join(lists.join(own, "aid"), "aid").withColumn("at", at).select(F.col("vec_id").alias("anchor_id"), "aid", F.explode(others).alias("x")).select("anchor_id", "aid", F.col("x.id").alias("positive_id"), F.col("x.score").alias("positive_score"))
-    return each.join(mined, ["aid", "positive_score"]).select("anchor_id", "positive_id", "rank", "negative_id", "positive_score", "negative_score")
+    each = anchors.join(lists.join(own.hint("merge"), "aid").hint("merge"), "aid").withColumn("at", at).select(F.col("vec_id").alias("anchor_id"), "aid", F.explode(others).alias("x")).select("anchor_id", "aid", F.col("x.id").alias("positive_id"), F.col("x.score").alias("positive_score"))
+    return each.join(mined.hint("merge"), ["aid", "positive_score"]).select("anchor_id", "positive_id", "rank", "negative_id", "positive_score", "negative_score")
 
 
 def _own_scores(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
